@@ -1,6 +1,7 @@
 """Substring dedup: units of text are normalised and hashed, digests grouped over the corpus, repeats removed.
 
-A unit is a line, cut further where a sentence ends or a word with a capital begins, so that a passage
+A unit is a line, cut further where a sentence ends or a word with a capital begins, and if it then still
+is long, before one word in eight as the words' hashes have it; so a passage
 that was set into another line still falls into the same units. Normalised: lower case, white space
 as one space. The earliest occurrence (by doc_id, null first, then position) keeps its text. Another is
 removed as part of a run of consecutive repeated units that together have at least ``LEAST_WORDS`` words:
@@ -23,18 +24,33 @@ from .common import cut, fresh, row_key
 
 #: Words that a run of repeated units needs to be removed.
 LEAST_WORDS = 30
+#: Characters of a unit from which it is cut at words; one word in so many begins a new unit.
+LONG = 150
+ONE_IN = 8
 _START = re.compile(r"\n+|(?<=[.!?…])[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
 
 
+_INNER = re.compile(r"[ \t]+([^ \t]+)")
+
+
+def _cut_at_words(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    out, at = [], begin
+    for m in _INNER.finditer(text, begin, end):
+        if m.start() > at and xxhash.xxh32_intdigest(m[1].lower()) % ONE_IN == 0:
+            out.append((at, m.start()))
+            at = m.start(1)
+    out.append((at, end))
+    return out
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """Where units begin and end; what is between them is white space."""
-    out, at = [], 0
-    for m in _START.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
+    out: list[tuple[int, int]] = []
+    at = 0
+    for begin, end in [*(m.span() for m in _START.finditer(text)), (len(text), len(text))]:
+        if begin > at:
+            out += [(at, begin)] if begin - at <= LONG else _cut_at_words(text, at, begin)
+        at = end
     return out
 
 
