@@ -6,6 +6,7 @@ UDF each, and short-circuits on plain ASCII where it can.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -33,17 +34,30 @@ CONFLICT_CUES = [
 ]
 
 
+def arrow_udf(kind: str):
+    """A pandas UDF that is made at its first call: modules with one can be imported where no session is."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*cols):
+            return F.pandas_udf(f, kind)(*cols)
+
+        return call
+
+    return wrap
+
+
 def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def unescaped(s: pd.Series) -> pd.Series:
     """HTML character references decoded once."""
     return s.map(lambda x: html.unescape(x) if x and "&" in x else x)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def folded(s: pd.Series) -> pd.Series:
     """NFKC, then case folding."""
     return s.map(lambda x: x if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold())
@@ -75,7 +89,7 @@ def _stripped(x: str | None) -> str:
     return " ".join(html.unescape(" ".join(parser.parts)).split())
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def strip_html(s: pd.Series) -> pd.Series:
     """Text nodes of a fragment, joined by a space and cleaned."""
     return s.map(_stripped, na_action=None)
@@ -151,7 +165,7 @@ def sequence_similarity(left: str, right: str) -> float:
     return min(SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in ((left, right), (right, left)))
 
 
-@F.pandas_udf("double")
+@arrow_udf("double")
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([sequence_similarity(a or "", b or "") for a, b in zip(left, right)])
 

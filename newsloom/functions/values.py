@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_key
+from .text import arrow_udf, normalize_key
 
 
 class InvalidInput(ValueError):
@@ -115,7 +115,7 @@ def public_url(url: str | None) -> bool:
         return "." in host and not re.search(r"[%\\]", host)
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def is_public_url(s: pd.Series) -> pd.Series:
     return s.map(public_url, na_action=None)
 

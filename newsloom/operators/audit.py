@@ -44,7 +44,11 @@ def phrase_evidence(df: DataFrame, phrases: list[tuple[str, str]], fields: list[
     long = df.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(F.col(n), F.lit("")).alias("text")) for n in names])).alias("f")).select("id", "f.field", "f.text")
     if normalize:
         long = long.withColumn("text", T.normalize_rule_text("text"))
-    found = [F.transform(spans(F.col("text"), phrase_pattern(p)), lambda s, label=label, p=p: F.struct(F.lit(label).alias("label"), F.lit(p).alias("phrase"), s["s"].alias("start"), s["e"].alias("end"))) for label, p in phrases]
+
+    def named(label: str, phrase: str) -> Column:
+        return F.transform(spans(F.col("text"), phrase_pattern(phrase)), lambda s: F.struct(F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), s["s"].alias("start"), s["e"].alias("end")))
+
+    found = [named(label, phrase) for label, phrase in phrases]
     hits = long.select("id", "field", "text", F.explode(F.flatten(F.array(*found))).alias("h"))
     return hits.select("id", "field", "h.label", "h.phrase", "h.start", "h.end", F.substring(F.col("text"), F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("matched"), T.excerpt(F.col("text"), F.col("h.start"), F.col("h.end")).alias("excerpt"))
 

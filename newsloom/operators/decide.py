@@ -24,12 +24,13 @@ def is_ambiguous(score: Column, margin: Column, least_score: float = 0.50, least
 
 def prediction(labels: Column, scores: Column, k: int = 3) -> Column:
     """struct(label, score, margin, top_labels, top_scores) of parallel label and score arrays; ties in given order."""
-    keyed = F.array_sort(F.transform(F.arrays_zip(labels.alias("l"), scores.alias("s")), lambda x, i: F.struct((-x["s"]).alias("k"), i.alias("i"), x["l"].alias("label"), x["s"].alias("score"))))
-    first, second = F.get(keyed, 0), F.get(keyed, 1)
-    return F.when(F.size(labels) > 0, F.struct(
-        first["label"].alias("label"), first["score"].alias("score"), (first["score"] - F.coalesce(second["score"], F.lit(0.0))).alias("margin"),
-        F.transform(F.slice(keyed, 1, k), lambda x: x["label"]).alias("top_labels"), F.transform(F.slice(keyed, 1, k), lambda x: x["score"]).alias("top_scores"),
-    )).otherwise(failed_prediction())
+    pairs = F.transform(F.arrays_zip(labels.alias("l"), scores.alias("s")), lambda x, i: F.struct((-x["s"]).alias("k"), i.alias("i"), x["l"].alias("label"), x["s"].alias("score")))
+    # bound once by a one-element transform, as the sorted array is read in several places
+    told = F.transform(F.array(F.array_sort(pairs)), lambda a: F.struct(
+        F.get(a, 0)["label"].alias("label"), F.get(a, 0)["score"].alias("score"), (F.get(a, 0)["score"] - F.coalesce(F.get(a, 1)["score"], F.lit(0.0))).alias("margin"),
+        F.transform(F.slice(a, 1, k), lambda x: x["label"]).alias("top_labels"), F.transform(F.slice(a, 1, k), lambda x: x["score"]).alias("top_scores"),
+    ))
+    return F.when(F.size(labels) > 0, F.get(told, 0)).otherwise(failed_prediction())
 
 
 def failed_prediction() -> Column:

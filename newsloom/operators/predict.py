@@ -24,9 +24,11 @@ Scorer = Callable[[list[str]], list[dict[str, float]]]
 
 
 def with_prediction(df: DataFrame, labels: Column, scores: Column) -> DataFrame:
-    out = df.withColumn("pred", decide.prediction(labels, scores))
+    # arrays first, then what reads them: each is computed once for a row
+    out = df.withColumns({"pred_all_labels": labels, "pred_all_scores": scores})
+    out = out.withColumn("pred", decide.prediction(F.col("pred_all_labels"), F.col("pred_all_scores")))
     names = {"pred_label": "label", "pred_score": "score", "pred_margin": "margin", "pred_top_labels": "top_labels", "pred_top_scores": "top_scores"}
-    return out.withColumns({k: F.col(f"pred.{v}") for k, v in names.items()}).drop("pred")
+    return out.withColumns({k: F.col(f"pred.{v}") for k, v in names.items()}).drop("pred", "pred_all_labels", "pred_all_scores")
 
 
 def batched(load: Callable[[], Scorer], text: str, batch: int = BATCH) -> Callable[[DataFrame], DataFrame]:
@@ -60,13 +62,14 @@ def batched(load: Callable[[], Scorer], text: str, batch: int = BATCH) -> Callab
     return predict
 
 
-def share_scorer(text: Column, words: dict[str, list[str]]) -> tuple[Column, Column]:
-    """Labels and scores: each label's share of the listed words in a lower-case text, in the JVM. No such word: zeros."""
+def by_shares(df: DataFrame, text: Column, words: dict[str, list[str]]) -> DataFrame:
+    """df with predictions: each label's share of the listed words in a lower-case text, in the JVM. No such word: zeros."""
     # a word is what stands between spaces: padded, so that neighbours don't share the space
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-zà-ÿß]+", "  "), F.lit(" "))
-    counts = [F.regexp_count(padded, F.lit(f" (?:{'|'.join(ws)}) ")) for ws in words.values()]
-    total = sum(counts[1:], counts[0])
-    return F.array(*map(F.lit, words)), F.array(*[F.when(total > 0, c.cast("double") / total).otherwise(F.lit(0.0)) for c in counts])
+    out = df.withColumn("share_text", F.concat(F.lit(" "), F.regexp_replace(text, "[^a-zà-ÿß]+", "  "), F.lit(" ")))
+    out = out.withColumn("share_counts", F.array(*[F.regexp_count("share_text", F.lit(f" (?:{'|'.join(ws)}) ")) for ws in words.values()]))
+    out = out.withColumn("share_total", F.aggregate("share_counts", F.lit(0), lambda a, x: a + x))
+    shares = F.transform("share_counts", lambda x: F.when(F.col("share_total") > 0, x.cast("double") / F.col("share_total")).otherwise(F.lit(0.0)))
+    return with_prediction(out, F.array(*map(F.lit, words)), shares).drop("share_text", "share_counts", "share_total")
 
 
 def centroid_scores(df: DataFrame, vector: str, centroids: dict[str, list[float]]) -> tuple[Column, Column]:

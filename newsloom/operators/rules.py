@@ -2,17 +2,21 @@
 
 Terms claim text longest first; a span that overlaps a claimed one is void; a term scores once for however
 many spans it keeps. Labels rank by score, then tie priority. Everything about one article happens in
-its own row: the rules are literals of the plan, so there is no join and no shuffle.
+its own row: the rules travel with the plan, so there is no join and no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
-from .ruleset import RuleSet, phrase_pattern
+from .ruleset import RuleSet, Term, phrase_pattern
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -24,63 +28,59 @@ def spans(text: Column, pattern: str) -> Column:
     ))
 
 
-def _terms(rules: RuleSet) -> Column:
-    """The scoring terms as one literal array, in claiming order."""
-    return F.array(*[
-        F.struct(F.lit(t.label).alias("label"), F.lit(t.phrase).alias("phrase"), F.lit(t.strength).alias("strength"), F.lit(t.origin).alias("origin"), F.lit(phrase_pattern(t.phrase)).alias("pattern"))
-        for t in rules.scoring()
-    ])
-
-
-def matched_terms(text: Column, rules: RuleSet) -> Column:
-    """array<struct<label, phrase, strength, origin>> of the terms that keep a span, in claiming order.
-
-    text is normalised (text.normalize_rule_text).
-    """
-    kind = "struct<taken:array<struct<s:int,e:int>>,hits:array<struct<label:string,phrase:string,strength:int,origin:string>>>"
-    empty = F.from_json(F.lit('{"taken":[],"hits":[]}'), kind)
+HIT = "struct<label:string,phrase:string,strength:int,origin:string>"
+LABEL_SCORE = "struct<label:string,score:int,matches:int,strong:int,terms:array<string>>"
 
-    def claim(acc: Column, term: Column) -> Column:
-        found = _term_spans(text, term["pattern"])
-        free = F.filter(found, lambda x: ~F.exists(acc["taken"], lambda o: (x["s"] < o["e"]) & (x["e"] > o["s"])))
-        hit = F.struct(term["label"].alias("label"), term["phrase"].alias("phrase"), term["strength"].alias("strength"), term["origin"].alias("origin"))
-        return F.when(F.size(free) == 0, acc).otherwise(F.struct(F.concat(acc["taken"], free).alias("taken"), F.concat(acc["hits"], F.array(hit)).alias("hits")))
 
-    # Only the terms that occur at all are folded.
-    present = F.filter(_terms(rules), lambda t: F.rlike(text, t["pattern"]))
-    return F.aggregate(present, empty, claim, lambda acc: acc["hits"])
+class Matcher:
+    """Claims text for the terms of a rule set, longest first. Patterns are compiled once per Python worker."""
 
+    def __init__(self, rules: RuleSet):
+        self.terms = rules.scoring()
+        self.patterns = [re.compile(phrase_pattern(t.phrase)) for t in self.terms]
+        self.order = sorted(rules.direct_labels, key=lambda x: (rules.tie_priority[x], x))
 
-def _term_spans(text: Column, pattern: Column) -> Column:
-    matches, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    def hits(self, text: str) -> list[Term]:
+        taken: list[tuple[int, int]] = []
+        out = []
+        for term, pattern in zip(self.terms, self.patterns):
+            free = [s for s in (m.span() for m in pattern.finditer(text)) if not any(s[0] < e and s[1] > b for b, e in taken)]
+            if free:
+                taken += free
+                out.append(term)
+        return out
 
-    def lengths(a: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(a, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
+    def ranking(self, hits: list[Term]) -> list[tuple]:
+        rows = []
+        for label in self.order:
+            own = [t for t in hits if t.label == label]
+            rows.append((label, sum(t.strength for t in own), len(own), sum(t.strength > 1 for t in own), [t.phrase for t in own]))
+        return sorted(rows, key=lambda r: -r[1])  # stable: ties stay in priority order
 
-    return F.transform(matches, lambda m, i: F.struct(
-        (lengths(between, i + 1) + lengths(matches, i)).alias("s"), (lengths(between, i + 1) + lengths(matches, i) + F.length(m)).alias("e")
-    ))
 
+def ranker(rules: RuleSet):
+    """Arrow UDF from a normalised text to struct(hits, ranking). One pass per article: as nested JVM lambdas the
+    same work was planned many times over, once for each column that reads it."""
 
-def label_scores(hits: Column, rules: RuleSet) -> Column:
-    """array<struct<label, score, matches, strong, terms>>, best first; every label with rules is in it."""
-    def one(label: str) -> Column:
-        own = F.filter(hits, lambda h: h["label"] == label)
-        return F.struct(
-            F.lit(label).alias("label"), F.aggregate(own, F.lit(0), lambda a, h: a + h["strength"]).alias("score"), F.size(own).alias("matches"),
-            F.size(F.filter(own, lambda h: h["strength"] > 1)).alias("strong"), F.transform(own, lambda h: h["phrase"]).alias("terms"),
-        )
+    @F.pandas_udf(f"hits array<{HIT}>, ranking array<{LABEL_SCORE}>")
+    def ranked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(rules)
+        for part in parts:
+            rows = []
+            for text in part:
+                hits = matcher.hits(text or "")
+                named = [dict(zip(("label", "score", "matches", "strong", "terms"), r)) for r in matcher.ranking(hits)]
+                rows.append(([{"label": t.label, "phrase": t.phrase, "strength": t.strength, "origin": t.origin} for t in hits], named))
+            yield pd.DataFrame(rows, columns=["hits", "ranking"])
 
-    ordered = sorted(rules.direct_labels, key=lambda x: (rules.tie_priority[x], x))
-    keyed = F.transform(F.array(*map(one, ordered)), lambda x, i: F.struct((-x["score"]).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda y: y["x"])
+    return ranked
 
 
 def rank(df: DataFrame, text: Column, rules: RuleSet, prefix: str = "") -> DataFrame:
-    """df with ranking, rule_margin, tied_labels, hits of an already normalised text."""
+    """df with hits, ranking (array<struct<label, score, matches, strong, terms>>, best first), rule_margin, tied_labels of a normalised text."""
     n = lambda x: f"{prefix}{x}"
-    out = df.withColumn(n("hits"), matched_terms(text, rules))
-    out = out.withColumn(n("ranking"), label_scores(F.col(n("hits")), rules))
+    out = df.withColumn(n("ranked"), ranker(rules)(text))
+    out = out.withColumns({n("hits"): F.col(f"{n('ranked')}.hits"), n("ranking"): F.col(f"{n('ranked')}.ranking")}).drop(n("ranked"))
     first, second = F.get(n("ranking"), 0), F.get(n("ranking"), 1)
     return out.withColumns({
         n("rule_margin"): first["score"] - second["score"],

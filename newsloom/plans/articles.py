@@ -85,7 +85,7 @@ SCORES = (
 
 
 def predicted(df: DataFrame) -> DataFrame:
-    return predict.with_prediction(df, *predict.share_scorer(body(), MODEL_WORDS))
+    return predict.by_shares(df, body(), MODEL_WORDS)
 
 
 _count = lambda ws: f"len(regexp_extract_all(padded, ' (?:{'|'.join(ws)}) '))"

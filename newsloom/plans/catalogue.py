@@ -474,7 +474,7 @@ def phrase_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT doc_id, lower(text) AS t, string_split(lower(text), 'the') AS parts FROM documents), p AS (SELECT doc_id, t, generate_subscripts(parts, 1) AS i, parts FROM f),
-s AS (SELECT doc_id, list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1) AS at FROM p WHERE i < len(parts)), w AS (SELECT doc_id, count(*) AS n, min(at) AS first_at, max(at) AS last_at FROM s GROUP BY 1)
+s AS (SELECT doc_id, list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1) AS pos FROM p WHERE i < len(parts)), w AS (SELECT doc_id, count(*) AS n, min(pos) AS first_at, max(pos) AS last_at FROM s GROUP BY 1)
 SELECT doc_id, n, CAST(first_at AS BIGINT) AS first_at, CAST(last_at AS BIGINT) AS last_at FROM w""")
 def phrase_spans(spark: SparkSession, d: str) -> DataFrame:
     from newsloom.operators.rules import spans
@@ -582,7 +582,7 @@ def centroid_prediction(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def full_run(spark: SparkSession, d: str) -> DataFrame:
     """The whole composition to result rows, with deterministic predictions."""
-    classifier = lambda df: predict.with_prediction(df, *predict.share_scorer(F.lower(T.squeezed(pipeline.INPUT)), A.MODEL_WORDS))
+    classifier = lambda df: predict.by_shares(df, F.lower(T.squeezed(pipeline.INPUT)), A.MODEL_WORDS)
     s = pipeline.Settings(A.rule_set(), classifier, A.LABELS, entities=False)
     out = pipeline.run(_stories(spark, d), s, created_at="2024-01-01T00:00:00+00:00")
     return sinks.result_rows(out.rows)
