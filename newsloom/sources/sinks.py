@@ -96,7 +96,7 @@ def migrated(df: DataFrame) -> DataFrame:
         if name not in out.columns:
             out = out.withColumn(name, F.lit(value).cast(kind))
         elif value is not None:
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(kind)))
+            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)))
     return out
 
 
