@@ -183,8 +183,7 @@ def _encode(tokenizer: str, window: int):
     return run
 
 
-@F.udf("long", useArrow=True)
-def _crc(ids: bytes, begin: int, piece: int) -> int:
+def _piece_crc(ids: bytes, begin: int, piece: int) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2")[begin : begin + piece].astype("<u4").data)
 
 
@@ -225,7 +224,7 @@ def packed(df: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     cuts = placed.where(F.col("length") < F.col("rest")).drop("rest", "rest_crc")
     halved = (
         docs.select("part", "row", "rest_ids").join(F.broadcast(cuts), ["part", "row"])
-        .withColumn("ids_crc32", _crc("rest_ids", F.col("begin"), F.col("length"))).select(out)
+        .withColumn("ids_crc32", F.udf(_piece_crc, "long", useArrow=True)("rest_ids", F.col("begin"), F.col("length"))).select(out)
     )
     counts = docs.where(F.size("crcs") > 0).groupBy("part").agg(F.sum(F.size("crcs")).alias("n"))
     counts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
