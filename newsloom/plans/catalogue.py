@@ -537,7 +537,9 @@ def article_body(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_DECIDED}, x AS (SELECT a.ord, a.link, trim(a.content) AS old, p.html FROM decided d JOIN articles a ON a.ord = d.ord LEFT JOIN pages p ON p.page_id = a.ord WHERE final_label = '{REVIEW}')
 SELECT CASE WHEN old <> '' THEN 'CONTENT_PRESENT' WHEN ord % 3 = 0 THEN 'NO_LINK' WHEN html IS NULL THEN 'REQUEST_FAILED' ELSE 'PENDING' END AS status, count(*) AS n FROM x GROUP BY 1""")
 def retry_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    held = A.decided(spark, d).where(F.col("decision.final_label") == REVIEW)
+    # kept first: a filter on the decision would be pushed below all that it is made of, each reference written out
+    kept = A.decided(spark, d).select("ord", "link", "content", F.col("decision.final_label").alias("final_label")).persist()
+    held = kept.where(F.col("final_label") == REVIEW)
     pages = A.table(spark, d, "pages").select(F.col("page_id").alias("ord"), F.lit("fetched").alias("new"))
     j = held.join(pages, "ord", "left")
     rows = j.select(F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("link")).alias("link"), F.col("content").alias("old_content"), F.coalesce("new", F.lit("")).alias("content"), F.when(F.col("new").isNull(), "REQUEST_FAILED").alias("enrichment_status"), F.lit(False).alias("already"))
