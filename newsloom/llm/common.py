@@ -36,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrow(df: DataFrame, rows: int, rows_a_part: int = 100_000) -> DataFrame:
+    """df in as many partitions as so many rows need, and no more than it has: each task of a shuffle leaves files, however few its rows."""
+    return df.coalesce(int(rows // rows_a_part) + 4)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df does not have, whatever case its own are in."""
     taken = {c.lower() for c in df.columns}
