@@ -581,7 +581,6 @@ def centroid_prediction(spark: SparkSession, d: str) -> DataFrame:
     return predict.with_prediction(e, *predict.centroid_scores(e, "embedding", centroids)).select("vec_id", F.col("label").cast("string").alias("gold"), "pred_label", F.round("pred_score", 6).alias("pred_score"))
 
 
-@query()
 def full_run(spark: SparkSession, d: str) -> DataFrame:
     """The whole composition to result rows, with deterministic predictions."""
     classifier = lambda df: predict.by_shares(df, F.lower(T.squeezed(pipeline.INPUT)), A.MODEL_WORDS)
