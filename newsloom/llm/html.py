@@ -6,8 +6,10 @@ is the page's content, without elements whose name, role or class says that they
 article (scripts, forms, menus, adverts, comments and the like), which serves hosts of few pages.
 
 A page's article is its outermost ``article`` elements, else ``main`` (or role main), else the body. Inside
-an ``article`` or ``main`` no subtree is deleted for recurring: a licence line or a quotation there is the author's
-text, however many pages repeat it.
+an ``article`` or ``main`` recurring containers (divisions, sections, whole lists and tables: share bars, related boxes,
+notices) are deleted too. Paragraphs, headings, quotations, list items, cells and inline elements stay there: a licence
+line is the author's text, however many pages repeat it. So does a container with over half of the part's text, as the
+body of a copied article has; containers inside it are judged on their own.
 
 A null or empty page, and one whose every block is deleted, has the text ''. Malformed markup never
 fails: an end tag without a start is skipped, open elements end with their parent.
@@ -48,18 +50,21 @@ NOISE = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|banner|promo|comments?|respond|cookies?|consent|gdpr|notice|sidebar|side-bar|breadcrumbs?|menu|navbar|nav|pagination|pager|related|recommend(?:ed|ations?)?|share|social|newsletter|subscribe|subscription|signup|login|popup|modal|footer|masthead|skip-link|widget)(?:$|[-_\s])",
     re.I,
 )
+#: What may be deleted for recurring inside an article or main part, as may elements with a hyphen in the name.
+CONTAINER_PARTS = frozenset("address center details div dl fieldset figure footer header ol section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 SPACE = re.compile(r"[\s\x00​﻿]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "noise", "kept", "hash")
+    __slots__ = ("name", "children", "noise", "kept", "hash", "size")
 
     def __init__(self, name: str, noise: bool = False):
         self.name, self.noise = name, noise
         self.children: list = []
         self.kept = False
         self.hash = 0
+        self.size = 0  # characters other than white space, less those in noise
 
 
 def _noisy(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
@@ -119,6 +124,19 @@ def parse(page: str | None) -> Node:
     return root
 
 
+def measure(node: Node) -> int:
+    """Set and return the size of an element's subtree."""
+    node.size = sum(len(SPACE.sub("", c)) if isinstance(c, str) else measure(c) for c in node.children)
+    if node.noise:
+        node.size = 0
+    return node.size
+
+
+def separable(node: Node) -> bool:
+    """Whether an element inside an article or main part may be template."""
+    return not node.kept and (node.name in CONTAINER_PARTS or "-" in node.name)
+
+
 def hashes(node: Node) -> int:
     """Set and return the hash of an element's subtree."""
     parts = [node.name]
@@ -133,14 +151,14 @@ def hashes(node: Node) -> int:
 
 
 def open_subtrees(root: Node) -> list[int]:
-    """Hashes of the subtrees with text that may be template: those outside of articles and main parts."""
+    """Hashes of the subtrees with text that may be template: any outside of articles and main parts, containers inside."""
     out: dict[int, None] = {}
 
-    def walk(node: Node) -> bool:
+    def walk(node: Node, inside: bool = False) -> bool:
         some = False
         for c in node.children:
-            some |= bool(SPACE.sub("", c)) if isinstance(c, str) else walk(c)
-        if some and node.name not in {"#root", "html", "body"} and not node.kept and not protects(node):
+            some |= bool(SPACE.sub("", c)) if isinstance(c, str) else walk(c, inside)
+        if some and (separable(node) if inside else node.name not in {"#root", "html", "body"}):
             out[node.hash] = None
         return some
 
@@ -149,8 +167,8 @@ def open_subtrees(root: Node) -> list[int]:
 
     def top(node: Node) -> None:
         for c in node.children:
-            if not isinstance(c, str) and not c.kept:
-                top(c) if protects(c) else walk(c)
+            if not isinstance(c, str):
+                top(c) if protects(c) and not c.kept else walk(c, c.kept)
 
     top(root)
     return list(out)
@@ -167,14 +185,17 @@ def content(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
                 blocks.append(text)
             held.clear()
 
-    def walk(node: Node, kept: bool) -> None:
-        if node.noise or (not kept and node.hash in template and node.name not in {"#root", "html", "body"}):
+    def walk(node: Node, part: Node | None) -> None:
+        if node.noise:
             return
+        if node.hash in template:
+            if separable(node) and 2 * node.size <= part.size if part else node.name not in {"#root", "html", "body"}:
+                return
         block = node.name in BLOCK
         if block:
             flush()
         for c in node.children:
-            held.append(c) if isinstance(c, str) else walk(c, kept or c.kept)
+            held.append(c) if isinstance(c, str) else walk(c, part or (c if c.kept else None))
         if block:
             flush()
 
@@ -185,8 +206,9 @@ def content(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
             return [node]
         return [x for c in node.children if not isinstance(c, str) for x in outermost(c, name)]
 
+    measure(root)
     for part in outermost(root, "article") or outermost(root, None) or [root]:
-        walk(part, part.kept)
+        walk(part, part if part.kept else None)
     flush()
     return "\n".join(blocks)
 

@@ -196,6 +196,17 @@ def test_html(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    bar, licence = "<div class='x'><p>Send this to a friend</p></div>", "<p>Licensed under X</p>"
+    rows = [(i, "http://h.example/a", page(f"<article><h1>Title {i}</h1><p>Own text {i} of this page, longer than the bar</p><ul><li>salt</li><li>{i} eggs</li></ul>{bar}{licence}</article>")) for i in range(6)]
+    copy = "<div><p>The same story at several addresses</p></div>"
+    rows += [(10 + i, "http://c.example/a", page(f"<article><span>seen {i} times</span>{copy}</article>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\nOwn text {i} of this page, longer than the bar\nsalt\n{i} eggs\nLicensed under X"
+    assert all(got[10 + i] == f"seen {i} times\nThe same story at several addresses" for i in range(5))
+
+
 def test_html_deep_and_broken():
     deep = "<div>" * 5000 + "x" + "</div>" * 100
     root = html.parse(deep)
