@@ -3,7 +3,9 @@
 Every element's subtree (tags and text) is hashed; Spark counts on how many pages of a host each hash
 occurs; subtrees that recur on many pages of their host are deleted, the outermost first. What is left
 is the page's content, without elements whose name, role or class says that they are no part of an
-article (scripts, forms, menus, adverts, comments and the like), which serves hosts of few pages.
+article (scripts, forms, menus, adverts, comments and the like), which serves hosts of few pages. Classes are
+matched whole, and neither a class nor ``form`` drops an element with over half of the page's text (but reader
+comments); a page's only articles or main parts are kept wherever they are.
 
 A page's article is its outermost ``article`` elements, else ``main`` (or role main), else the body. Inside
 an ``article`` or ``main`` recurring containers (divisions, sections, whole lists and tables: share bars, related boxes,
@@ -27,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A subtree is template if so many pages of its host have it, and at least this share of them.
 LEAST_PAGES = 4
 LEAST_SHARE = 0.02
@@ -46,10 +50,16 @@ DROPPED = frozenset("head nav aside form button select dialog footer menu object
 #: The element that a start tag of these closes, if it is open inside its container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main body td th blockquote".split())
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|banner|promo|comments?|respond|cookies?|consent|gdpr|notice|sidebar|side-bar|breadcrumbs?|menu|navbar|nav|pagination|pager|related|recommend(?:ed|ations?)?|share|social|newsletter|subscribe|subscription|signup|login|popup|modal|footer|masthead|skip-link|widget)(?:$|[-_\s])",
-    re.I,
-)
+_NOISY = r"(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|banner|promo|comments?|respond|cookies?|consent|gdpr|notice|sidebar|side-bar|breadcrumbs?|menu|navbar|nav|pagination|pager|related|recommend(?:ed|ations?)?|share|social|newsletter|subscribe|subscription|signup|login|popup|modal|footer|masthead|skip-link|widget)"
+_NEUTRAL = r"(?:area|bar|block|box|button|buttons|container|content|form|group|inner|items?|left|link|links|list|outer|panel|post|posts|right|section|site|slot|top|bottom|unit|wrap|wrapper|\d+)"
+#: A whole class or id of noise words, perhaps with words that say only what kind of box it is: "ad-slot", "related-posts", but
+#: not "has-sidebar" or "pull-share". A box word leads only where it says nothing of the content ("site-footer").
+NOISE = re.compile(rf"(?:(?:site|top|bottom|left|right)[-_]+)?{_NOISY}(?:[-_]+(?:{_NOISY}|{_NEUTRAL}))*", re.I)
+#: Of these, what makes a paragraph or figure inside an article no part of it.
+ADVERT = re.compile(rf"(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?)(?:[-_]+{_NEUTRAL})*", re.I)
+#: Reader comments are dropped however long they are.
+READERS = re.compile(rf"(?:comments?|respond)(?:[-_]+(?:{_NOISY}|{_NEUTRAL}))*", re.I)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dt dd tr td th em strong b i span a code q cite mark small sub sup".split())
 #: What may be deleted for recurring inside an article or main part, as may elements with a hyphen in the name.
 CONTAINER_PARTS = frozenset("address center details div dl fieldset figure footer header ol section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
@@ -57,28 +67,32 @@ SPACE = re.compile(r"[\s\x00​﻿]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "noise", "kept", "hash", "size")
+    __slots__ = ("name", "children", "noise", "soft", "kept", "hash", "size")
 
-    def __init__(self, name: str, noise: bool = False):
-        self.name, self.noise = name, noise
+    def __init__(self, name: str, noise: bool = False, soft: bool = False):
+        self.name, self.noise, self.soft = name, noise, soft
         self.children: list = []
         self.kept = False
         self.hash = 0
-        self.size = 0  # characters other than white space, less those in noise
+        self.size = 0  # characters other than white space, less those of elements that are dropped whatever their size
 
 
-def _noisy(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped; whether it is a main part by its role."""
+def _noisy(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is dropped; whether only if it has at most half of the page's text; whether it is a main part by its role."""
     if name in DROPPED or (name == "header" and not inside):
-        return True, False
+        return True, name == "form", False
     if not attrs or attrs == "/":
-        return False, False
+        return False, False, False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     role = values.get("role", "").lower()
     if name in {"article", "main", "body", "html"}:
-        return False, role == "main"
+        return False, False, role == "main"
     hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I)
-    return bool(hidden or role in ROLES or NOISE.search(f"{values.get('class', '')} {values.get('id', '')}")), role == "main"
+    if hidden or role in ROLES:
+        return True, role == "form" and not hidden, role == "main"
+    tokens = f"{values.get('class', '')} {values.get('id', '')}".split()
+    noise = ADVERT if inside and name in PROSE else NOISE
+    return any(map(noise.fullmatch, tokens)), not any(map(READERS.fullmatch, tokens)), role == "main"
 
 
 def parse(page: str | None) -> Node:
@@ -109,8 +123,8 @@ def parse(page: str | None) -> Node:
                     break
                 if stack[i].name in CONTAINERS:
                     break
-        noise, main = _noisy(name, m["attrs"], inside > 0)
-        node = Node(name, noise)
+        noise, soft, main = _noisy(name, m["attrs"], inside > 0)
+        node = Node(name, noise, soft)
         stack[-1].children.append(node)
         if name not in VOID and not m["attrs"].endswith("/"):
             node.kept = name in {"article", "main"} or main
@@ -121,17 +135,33 @@ def parse(page: str | None) -> Node:
                 inside -= node.kept
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
+    measure(root)
+    spare(root, root.size)
     return root
 
 
 def measure(node: Node) -> int:
     """Set and return the size of an element's subtree."""
-    node.size = sum(len(SPACE.sub("", c)) if isinstance(c, str) else measure(c) for c in node.children)
-    if node.noise:
+    node.size = sum(sum(map(len, c.split())) if isinstance(c, str) else measure(c) for c in node.children)
+    if node.noise and not node.soft:
         node.size = 0
     return node.size
 
 
+def spare(node: Node, total: int) -> None:
+    """No noise: an element that its class alone would drop, but that has over half of the page's text."""
+    if node.noise and node.soft and 2 * node.size > total:
+        node.noise = False
+    for c in node.children:
+        if not isinstance(c, str):
+            spare(c, total)
+
+
+def protects(node: Node) -> bool:
+    """Whether an article or main part is below an element."""
+    return any(not isinstance(c, str) and (c.kept or protects(c)) for c in node.children)
+
+
 def separable(node: Node) -> bool:
     """Whether an element inside an article or main part may be template."""
     return not node.kept and (node.name in CONTAINER_PARTS or "-" in node.name)
@@ -162,9 +192,6 @@ def open_subtrees(root: Node) -> list[int]:
             out[node.hash] = None
         return some
 
-    def protects(node: Node) -> bool:
-        return any(not isinstance(c, str) and (c.kept or protects(c)) for c in node.children)
-
     def top(node: Node) -> None:
         for c in node.children:
             if not isinstance(c, str):
@@ -199,15 +226,15 @@ def content(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
         if block:
             flush()
 
-    def outermost(node: Node, name: str | None) -> list[Node]:
-        if node.noise:
+    def outermost(node: Node, name: str | None, anywhere: bool = False) -> list[Node]:
+        if node.noise and not anywhere:
             return []
         if node.kept and (node.name == name or name is None):
             return [node]
-        return [x for c in node.children if not isinstance(c, str) for x in outermost(c, name)]
+        return [x for c in node.children if not isinstance(c, str) for x in outermost(c, name, anywhere)]
 
-    measure(root)
-    for part in outermost(root, "article") or outermost(root, None) or [root]:
+    # The parts of a page that has none but in noisy elements are what it has.
+    for part in outermost(root, "article") or outermost(root, None) or outermost(root, "article", True) or outermost(root, None, True) or [root]:
         walk(part, part if part.kept else None)
     flush()
     return "\n".join(blocks)
@@ -219,8 +246,8 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, host, page in zip(batch["page_key"], batch["host"], batch["html"]):
             root = parse(page)
             hashes(root)
-            rows += [(key, host, h) for h in open_subtrees(root)]
-        yield pd.DataFrame(rows, columns=["page_key", "host", "subtree"])
+            rows.append((key, host, open_subtrees(root)))
+        yield pd.DataFrame(rows, columns=["page_key", "host", "subtrees"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,14 +267,15 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    The first pass sends only hashes, distinct for each page; counts per (host, hash) are summed in the tasks
+    The first pass cuts only hashes, distinct for each page, to the shared folder (a host is told by a hash too); counts per (host, hash) are summed in the tasks
     first, so a host with a third of all pages is no single task's work. Rows that repeat page_id and html are one page.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "html"))
-    trees = rows.select("page_key", "host", "html").mapInPandas(_subtrees, "page_key long, host string, subtree long")
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hashed = cut(rows.select("page_key", "host", "html").mapInPandas(_subtrees, "page_key long, host long, subtrees array<long>"))
+    trees = hashed.select("page_key", "host", F.explode("subtrees").alias("subtree"))
+    sizes = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = trees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     template = (
         counted.where(F.col("n") >= least_pages).join(sizes, "host")

@@ -207,6 +207,22 @@ def test_html_template_inside_articles(spark):
     assert all(got[10 + i] == f"seen {i} times\nThe same story at several addresses" for i in range(5))
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-menu", "content-share", "page-banner", "sidebar", "widget"])
+def test_html_layout_wrappers(name):
+    inner = "<h1>T</h1><p class='promo'>One paragraph of the story.</p><figure class='pull-share'>F</figure><p class='ad'>Buy</p><div class='related-posts'>R</div>"
+    for body in (f"<article>{inner}</article>", f"<main>{inner}</main>"):
+        for wrapped in (f"<div class='{name}'>{body}</div>", f"<form id='{name}'>{body}</form>", f"<aside>{body}</aside>"):
+            assert html.content(html.parse(page(wrapped))) == "T\nOne paragraph of the story.\nF"
+    assert html.content(html.parse(f"<div class='{name}'><p>No article tag</p></div><p>Skip</p>")) == "No article tag\nSkip"
+
+
+def test_html_noise_still_goes():
+    for name in ("ad", "ad-slot", "social-share", "comments", "comment-list", "site-footer", "related posts", "cookie-banner"):
+        assert html.content(html.parse(f"<div><p>Text of the page itself</p></div><div class='{name}'><p>Noise</p></div>")) == "Text of the page itself"
+    readers = "<div class='comments'>" + "<article><p>a reader says so</p></article>" * 9 + "</div>"
+    assert html.content(html.parse(f"<article><p>Story</p>{readers}</article>")) == html.content(html.parse(f"<article><p>Story</p></article>{readers}")) == "Story"
+
+
 def test_html_deep_and_broken():
     deep = "<div>" * 5000 + "x" + "</div>" * 100
     root = html.parse(deep)
