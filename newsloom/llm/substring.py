@@ -1,12 +1,13 @@
-"""Substring dedup: units of text are normalised and hashed, digests grouped over the corpus, repeats removed.
-
-A unit is a line, cut further where a sentence ends or a word with a capital begins, and if it then still
-is long, before one word in eight as the words' hashes have it; so a passage
-that was set into another line still falls into the same units. Normalised: lower case, white space
-as one space. The earliest occurrence (by doc_id, null first, then position) keeps its text. Another is
-removed as part of a run of consecutive repeated units that together have at least ``LEAST_WORDS`` words:
-single common lines and short phrases stay. The offsets of what was removed, in code points of the original text,
-are kept. A null text stays null; rows that repeat doc_id and text are one document.
+"""Substring dedup: content-defined units of text are hashed, digests grouped over the corpus, repeats extended and removed.
+
+Words are runs of characters other than white space, in lower case; a character of a script that is written without spaces
+is a word. Anchors are the ``GRAM``-word windows with the least hash of ``REACH`` windows in a row, so what lies around a
+passage moves none of its anchors but near its ends. A unit goes from one anchor's first word to the next anchor's last. A passage of
+``LEAST_WORDS`` words or more holds two anchors, thus a unit, wherever it begins and ends. The earliest occurrence of a unit (by
+doc_id, null first, then position) keeps its text. Runs of units that occurred before are extended word by word, as far as the
+words around the earliest occurrence agree, and removed if they have at least ``LEAST_WORDS`` words: single common lines and
+short phrases stay. The offsets of what was removed, in code points of the original text, are kept. A null text stays null;
+rows that repeat doc_id and text are one document.
 """
 
 from __future__ import annotations
@@ -16,72 +17,145 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, row_key
+from .common import cut, fresh, gram_hashes, row_key, span_hashes
 
 #: Words that a run of repeated units needs to be removed.
 LEAST_WORDS = 30
-#: Characters of a unit from which it is cut at words; one word in so many begins a new unit.
-LONG = 150
-ONE_IN = 8
-_START = re.compile(r"\n+|(?<=[.!?…])[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
+#: Words of an anchor, and windows in a row of which one is an anchor: 2 * REACH + GRAM - 1 <= LEAST_WORDS.
+GRAM = 5
+REACH = 13
+#: Words around a run that are compared with the earliest occurrence; a passage's ends are under REACH words from its anchors.
+AROUND = 24
+_WHITE = re.compile(r"\s")
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code point offsets where words begin and end, and the text in lower case as code points."""
+    flat = _WHITE.sub(" ", text)
+    low = flat.lower()
+    if len(low) != len(flat):  # a letter whose lower case is two
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in flat)
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    word = np.zeros(len(points) + 2, dtype=bool)
+    word[1:-1] = points != 32
+    edge = word[1:] != word[:-1]
+    if len(points) and points.max() >= 0x0E00:
+        single = np.zeros(len(word), dtype=bool)
+        for a, b in _SINGLE:
+            single[1:-1] |= (points >= a) & (points <= b)
+        inner = (single[1:] | single[:-1]) & word[1:] & word[:-1]
+    else:
+        inner = np.zeros(len(edge), dtype=bool)
+    return np.flatnonzero((edge & word[1:]) | inner), np.flatnonzero((edge & word[:-1]) | inner), points
 
 
-_INNER = re.compile(r"[ \t]+([^ \t]+)")
-
-
-def _cut_at_words(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    out, at = [], begin
-    for m in _INNER.finditer(text, begin, end):
-        if m.start() > at and xxhash.xxh32_intdigest(m[1].lower()) % ONE_IN == 0:
-            out.append((at, m.start()))
-            at = m.start(1)
-    out.append((at, end))
-    return out
+def units(text: str) -> list[tuple[int, int]]:
+    """Where words begin and end; what is between them is white space."""
+    starts, ends, _ = _words(text)
+    return list(zip(starts.tolist(), ends.tolist()))
 
 
-def units(text: str) -> list[tuple[int, int]]:
-    """Where units begin and end; what is between them is white space."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    for begin, end in [*(m.span() for m in _START.finditer(text)), (len(text), len(text))]:
-        if begin > at:
-            out += [(at, begin)] if begin - at <= LONG else _cut_at_words(text, at, begin)
-        at = end
-    return out
+def hashed_words(text: str) -> np.ndarray:
+    starts, ends, points = _words(text)
+    return span_hashes(points, starts, ends)
 
 
-def digest(unit: str) -> int:
-    return xxhash.xxh64_intdigest(" ".join(unit.lower().split())) - (1 << 63)
+def anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and digest of each unit."""
+    none = np.empty(0, dtype=np.int64)
+    if len(words) < GRAM + REACH:
+        return none, none, none
+    grams = gram_hashes(words, GRAM)
+    least = np.lib.stride_tricks.sliding_window_view(grams, REACH).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    first, size = at[:-1], np.diff(at) + GRAM
+    # spans overlap by GRAM: hash the words up to the next anchor, and that anchor
+    if not len(first):
+        return none, none, none
+    low, high = (grams[at] & np.uint64(0xFFFFFFFF)), grams[at[1:]]
+    stepped = span_hashes(words, first, at[1:])
+    return first, size, span_hashes(np.column_stack((stepped, high, low[:-1])).reshape(-1), np.arange(len(first)) * 3, np.arange(len(first)) * 3 + 3).view(np.int64)
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
+        places, digests = [], []
         for text in batch["text"]:
-            out.append([digest(text[i:j]) for i, j in units(text)])
-        yield pd.DataFrame({"doc_key": batch["doc_key"], "doc_id": batch["doc_id"].astype("Int64"), "digests": out})
-
-
-def runs(text: str, repeated: set[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Spans of consecutive units whose numbers are in repeated, of enough words together."""
-    out: list[tuple[int, int]] = []
-    spans = units(text)
-    i = 0
-    while i < len(spans):
-        if i not in repeated:
-            i += 1
-            continue
-        j = i
-        while j < len(spans) and j in repeated:
-            j += 1
-        if sum(len(text[a:b].split()) for a, b in spans[i:j]) >= least_words:
-            out.append((spans[i][0], spans[j - 1][1]))
-        i = j
-    return out
+            first, size, digest = anchored(hashed_words(text))
+            places.append((first << 5 | size).astype(np.int64))
+            digests.append(digest)
+        yield pd.DataFrame({"doc_key": batch["doc_key"], "doc_id": batch["doc_id"].astype("Int64"), "places": places, "digests": digests})
+
+
+RUNS = "doc_key long, begin long, end long, before_doc long, before_at long, after_doc long, after_at long"
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of repeated units, in words, with where the earliest occurrences of their first and last unit begin and end."""
+    for batch in batches:
+        rows = []
+        for key, repeated in zip(batch["doc_key"], batch["repeated"]):
+            run = None
+            for at, doc, other in sorted((r["unit"], r["doc"], r["other"]) for r in repeated):
+                begin, end = at >> 5, (at >> 5) + (at & 31)
+                if run is None or begin > run[2]:
+                    if run is not None:
+                        rows.append(tuple(run))
+                    run = [key, begin, end, doc, other >> 5, doc, (other >> 5) + (at & 31)]
+                else:
+                    run[2], run[5], run[6] = end, doc, (other >> 5) + (at & 31)
+            rows.append(tuple(run))
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in RUNS.split(", ")])
+
+
+def _low(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _around(key: str, wanted: str):
+    """The words before or after a place of a text, the nearest first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, places in zip(batch[key], batch["text"], batch[wanted]):
+                words = _low(hashed_words(text))
+                for w in places:
+                    at = w["at"]
+                    rows.append((doc, at, w["after"], words[at : at + AROUND] if w["after"] else words[max(0, at - AROUND) : at][::-1]))
+            yield pd.DataFrame(rows, columns=["doc", "at", "after", "words"])
+
+    return run
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words agree from the first on."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def extended(text: str, found: list, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """Spans of the runs (begin, end, words before and after the earliest occurrence), extended, joined, of enough words."""
+    starts, ends, points = _words(text)
+    words = _low(span_hashes(points, starts, ends))
+    joined: list[list[int]] = []
+    for r in sorted(found, key=lambda r: r["begin"]):
+        begin, end = r["begin"], r["end"]
+        if r["before"] is not None:
+            begin -= _same(words[max(0, begin - AROUND) : begin][::-1], np.asarray(r["before"], dtype=np.int64))
+        if r["after"] is not None:
+            end += _same(words[end : end + AROUND], np.asarray(r["after"], dtype=np.int64))
+        if joined and begin <= joined[-1][1]:
+            joined[-1] = [min(begin, joined[-1][0]), max(end, joined[-1][1])]
+        else:
+            joined.append([begin, end])
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in joined if b - a >= least_words]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -95,46 +169,51 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return (out + rest) if out else rest.lstrip(" \t\n")
 
 
-def _remove(least_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept, begins, ends = [], [], []
-            for text, repeated in zip(batch["text"], batch["repeated"]):
-                spans = runs(text, set(np.asarray(repeated).tolist()), least_words) if text is not None and repeated is not None else []
-                kept.append(without(text, spans) if spans else text)
-                begins.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-            yield pd.DataFrame({"doc_key": batch["doc_key"], "kept": kept, "begins": begins, "ends": ends})
+def _removing(least_words: int):
+    def run(text: str | None, found: list | None) -> dict | None:
+        spans = extended(text, found, least_words) if text is not None and found is not None else []
+        return {"kept": without(text, spans), "begins": [a for a, _ in spans], "ends": [b for _, b in spans]} if spans else None
 
-    return run
+    # nondeterministic: so that Spark does not write the call out in every place that reads a part of its result
+    return F.udf(run, "struct<kept:string,begins:array<int>,ends:array<int>>", useArrow=True).asNondeterministic()
 
 
-def removals(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_key, kept (text), begins, ends (removed spans) of each different (doc_id, text) that has a repeat.
+def removals(df: DataFrame, span: str, least_words: int = LEAST_WORDS) -> DataFrame:
+    """df with a column more: kept (text), begins, ends (removed spans) of each text that has a repeat, else null.
 
-    Texts are read, split and hashed once; digests (eight bytes for each unit, each once per document) are
-    cut to the shared folder and grouped with sums made in the tasks first. A line that is in very many
-    documents is a join key that Spark can split; no task collects a digest's documents.
+    Digests (twelve bytes for each unit) are cut to the shared folder and grouped with sums made in the tasks first. A unit
+    that is in very many documents is a join key that Spark can split; no task collects a digest's documents. Of the
+    earliest occurrences only the words around the ends of runs are sent, each place once. Rows are dealt by their
+    key once: both joins have the same left side, with the same columns, so that Spark uses one exchange for both.
     """
+    key, wanted_, found_ = fresh(df, "doc_key", "wanted", "found")
+    base = df.withColumn(key, row_key())
     rows = df.where(F.col("text").isNotNull()).select(row_key().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = cut(rows.mapInPandas(_digests, "doc_key long, doc_id long, digests array<long>"))
-    each = hashed.select("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.posexplode("digests").alias("unit", "digest"))
+    hashed = cut(rows.mapInPandas(_digests, "doc_key long, doc_id long, places array<int>, digests array<long>"))
+    each = hashed.select("doc_key", "places", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.posexplode("digests").alias("i", "digest"))
+    each = each.select("doc_key", "rank", F.get("places", F.col("i")).alias("unit"), "digest")
     place = F.struct("rank", "doc_key", "unit")
     first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("digest", "first")
-    again = each.join(first, "digest").where(place != F.col("first")).groupBy("doc_key").agg(F.collect_set("unit").alias("repeated"))
-    texts = rows.select("doc_key", "text").join(again, "doc_key")
-    return texts.mapInPandas(_remove(least_words), "doc_key long, kept string, begins array<int>, ends array<int>").where(F.size("begins") > 0)
+    again = each.join(first, "digest").where(place != F.col("first")).select("doc_key", F.struct("unit", F.col("first.doc_key").alias("doc"), F.col("first.unit").alias("other")).alias("r"))
+    runs = cut(again.groupBy("doc_key").agg(F.collect_set("r").alias("repeated")).mapInPandas(_runs, RUNS))
+    ends = runs.select(F.col("before_doc").alias("doc"), F.col("before_at").alias("at"), F.lit(False).alias("after"))
+    ends = ends.unionByName(runs.select(F.col("after_doc").alias("doc"), F.col("after_at").alias("at"), F.lit(True).alias("after"))).distinct()
+    wanted = ends.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("at", "after")).alias(wanted_))
+    around = base.join(wanted, key).mapInPandas(_around(key, wanted_), "doc long, at long, after boolean, words array<long>").dropDuplicates(["doc", "at", "after"])
+    before = around.where(~F.col("after")).select(F.col("doc").alias("before_doc"), F.col("at").alias("before_at"), F.col("words").alias("before"))
+    after = around.where("after").select(F.col("doc").alias("after_doc"), F.col("at").alias("after_at"), F.col("words").alias("after"))
+    known = runs.join(before, ["before_doc", "before_at"], "left").join(after, ["after_doc", "after_at"], "left")
+    found = known.groupBy(F.col("doc_key").alias(key)).agg(F.collect_list(F.struct("begin", "end", "before", "after")).alias(found_))
+    return base.join(found, key, "left").withColumn(span, _removing(least_words)("text", found_)).drop(key, found_)
 
 
 def marked(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Each row's doc_id, n_chars (of the original), kept_chars, removed (spans), text (what is kept)."""
-    spans = removals(df, least_words).dropDuplicates(["doc_key"])
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("whole"), row_key().alias("doc_key"))
-    out = rows.join(spans, "doc_key", "left")
-    text = F.when(F.col("begins").isNull(), F.col("whole")).otherwise(F.col("kept"))
+    out = removals(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "span", least_words)
+    text = F.when(F.col("span").isNull(), F.col("text")).otherwise(F.col("span.kept"))
     return out.select(
-        "doc_id", F.coalesce(F.length("whole"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("kept_chars"),
-        F.coalesce(F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")), F.array().cast("array<struct<begin:int,end:int>>")).alias("removed"), text.alias("text"),
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("kept_chars"),
+        F.coalesce(F.arrays_zip(F.col("span.begins").alias("begin"), F.col("span.ends").alias("end")), F.array().cast("array<struct<begin:int,end:int>>")).alias("removed"), text.alias("text"),
     )
 
 
@@ -143,10 +222,10 @@ def deduplicated(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     A row that came without words stays as it is.
     """
-    key, kept = fresh(df, "doc_key", "kept")
-    spans = removals(df, least_words).dropDuplicates(["doc_key"]).select(F.col("doc_key").alias(key), F.col("kept").alias(kept))
-    out = df.withColumn(key, row_key()).join(spans, key, "left").where(F.col(kept).isNull() | (F.trim(F.regexp_replace(kept, r"[\s]+", "")) != ""))
-    changes = {"text": F.coalesce(F.col(kept), F.col("text"))}
+    (span,) = fresh(df, "span")
+    kept = F.col(f"{span}.kept")
+    out = removals(df, span, least_words).where(F.col(span).isNull() | (F.trim(F.regexp_replace(kept, r"[\s]+", "")) != ""))
+    changes = {"text": F.coalesce(kept, F.col("text"))}
     if "n_chars" in df.columns:
-        changes["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(df.schema["n_chars"].dataType))
+        changes["n_chars"] = F.when(F.col(span).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(df.schema["n_chars"].dataType))
     return out.withColumns(changes).select(df.columns)

@@ -121,6 +121,24 @@ def test_substring_dedup(spark):
     assert kept.columns == ["doc_id", "text", "lang", "doc_key"] and kept.count() == 6
 
 
+def test_passages_go_whole_wherever_they_begin(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
+    some = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):  # lower case, no punctuation: nothing but the words themselves to cut at
+        passage = some((30, 51, 80)[i % 3])
+        for k in (0, 1):
+            left, right = some(r.randint(0, 90)), some(r.randint(0, 90))
+            rows.append((1000 * k + i, " ".join(left + passage + right)))
+            want[1000 * k + i] = " ".join(left + right) if k else rows[-1][1]
+    han = "".join(chr(0x4E00 + r.randint(0, 5000)) for _ in range(80))
+    rows += [(5000, f"甲乙{han}丙丁"), (5001, f"戊{han}己")]
+    want |= {5000: rows[-2][1], 5001: "戊己"}
+    got = {x["doc_id"]: x["text"] for x in substring.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_units_cover_the_text():
     for t in (prose(4, 200), "A b.\n\nC d. e F", " lead", "x " * 500):
         spans = substring.units(t)
