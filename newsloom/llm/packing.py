@@ -5,8 +5,10 @@ lengths) is met as well as possible by repeat counts of combinations of one to t
 window exactly: counts >= 0 that minimise the squared difference, by coordinate descent, rounded down so
 that no length is used more often than it occurs. What is left is packed greedily, longest first, each
 window closed by the longest rest that still fits; identical windows are made many at a time, so the
-plan's size depends on the number of lengths and not on the number of documents. At last the few windows that
-stay short take the front of another rest, which is cut to fit.
+plan's size depends on the number of lengths and not on the number of documents. The rests of windows that
+stay short run on from one sequence to the next, cut where a sequence is full: the copies of a window are taken
+in powers of two, and each power's rests fill that many sequences at a time by one pattern. What is left below a
+whole sequence goes on to the next lower power, so that one sequence of all is padded.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from .tokens import encoder, in_batches
 
 WINDOW = 2048
 END = 1
-#: A short window that occurs more often than this stays padded; of others the rests run on, cut where they must.
-CUT_AT_MOST = 8
 
 
 # --- the plan: driver side, over a histogram of at most WINDOW - 1 lengths ------------------------
@@ -106,46 +106,49 @@ def windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple
     return out
 
 
-def _padding(n: int, window: int) -> int:
-    return 0 if n & (n - 1) == 0 else window - n
-
-
 def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple], int]:
     """Where rests go: rows (length, first rank, last rank, sequence of the first, offset, begin, piece), and sequences.
 
     The rests of one length are ranked from 0; those of a row go to consecutive sequences at the same
-    offset. begin and piece say which part of the rest that is: all of it but for those few cut rests.
+    offset. begin and piece say which part of the rest that is: all of it but for cut rests. Rows are bounded by the
+    windows that differ and the bits of their counts.
     """
     filled = windows(histogram, window)
     rank: dict[int, int] = defaultdict(int)
     rows: list[tuple] = []
     sequence = 0
-    short: list[tuple[int, ...]] = []  # windows that would be padded
+    short: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # by power of two: length, first rank, begin, piece
     for lengths, times in filled:
-        total = sum(lengths)
-        if _padding(total, window) and times <= CUT_AT_MOST:
-            short += [lengths] * times
-            continue
         at = 0
         for k in lengths:
-            rows.append((k, rank[k], rank[k] + times - 1, sequence, at, 0, k))
+            if sum(lengths) == window:
+                rows.append((k, rank[k], rank[k] + times - 1, sequence, at, 0, k))
+                at += k
+            else:
+                low = rank[k]
+                for power in reversed(range(times.bit_length())):
+                    if times >> power & 1:
+                        short[power].append((k, low, 0, k))
+                        low += 1 << power
             rank[k] += times
-            at += k
-        sequence += times
-    # The short windows' rests run on from one sequence to the next, cut where a sequence is full.
-    room = window
-    for lengths in short:
-        for k in lengths:
-            begin = 0
-            while begin < k:
-                piece = min(room, k - begin)
-                rows.append((k, rank[k], rank[k], sequence, window - room, begin, piece))
-                begin += piece
-                room -= piece
-                if not room:
-                    sequence, room = sequence + 1, window
-            rank[k] += 1
-    return rows, sequence + (room < window)
+        if at:
+            sequence += times
+    left: list[tuple[int, int, int, int]] = []
+    for power in reversed(range(max(short, default=-1) + 1)):
+        n = 1 << power
+        stream = [(k, low + half, begin, piece) for k, low, begin, piece in left for half in (0, n)] + short[power]
+        total = sum(piece for *_, piece in stream)
+        end = total // window * window if power else total
+        left, at = [], 0
+        for k, low, begin, piece in stream:
+            while piece and at < end:
+                some = min(piece, window - at % window)
+                rows.append((k, low, low + n - 1, sequence + at // window * n, at % window, begin, some))
+                begin, piece, at = begin + some, piece - some, at + some
+            if piece:
+                left.append((k, low, begin, piece))
+        sequence += -(-end // window) * n
+    return rows, sequence
 
 
 # --- over documents -------------------------------------------------------------------------------
@@ -194,7 +197,7 @@ def packed(df: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of df is a document of its own, also where rows repeat. Null texts are empty: the end id
-    alone. Texts are encoded once, where they lie; ids are kept (two bytes each) for the few rests that
+    alone. Texts are encoded once, where they lie; ids are kept (two bytes each) for the rests that
     are cut. The driver sees the histogram (window - 1 numbers) and the plan made from it; ranks within a
     length are the task's count plus the tasks before it, so no length, however frequent, meets in one task.
     """
@@ -206,26 +209,23 @@ def packed(df: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     histogram = {r["rest"]: r["n"] for r in tallies.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     histogram.pop(0, None)
     planned, sequences = plan(histogram, window)
-    # At most a few rows for each combination of lengths that was used: bounded by window, not by documents.
+    # A few rows for each combination of lengths that was used, times the bits of its count: bounded by window, not by documents.
     where = spark.createDataFrame(planned, PLAN)
     before = lambda key: Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     tallies = tallies.select("part", "rest", F.coalesce(F.sum("n").over(before(["rest"])), F.lit(0)).alias("base"))
     ranked = (
-        slim.where(F.col("rest") > 0).join(tallies, ["part", "rest"])
-        .select("part", "row", "doc_id", "doc_tokens", "rest", "rest_crc", (F.col("rank") + F.col("base")).alias("rank"))
+        docs.where(F.col("rest") > 0).join(tallies, ["part", "rest"])
+        .select("doc_id", "doc_tokens", "rest", "rest_crc", "rest_ids", (F.col("rank") + F.col("base")).alias("rank"))
     )
     placed = ranked.join(F.broadcast(where), "rest").where(F.col("rank").between(F.col("low"), F.col("high"))).select(
-        "part", "row", "doc_id", (F.col("doc_tokens") - F.col("rest") + F.col("begin")).alias("start"), "length", "rest_crc", "doc_tokens",
+        "doc_id", (F.col("doc_tokens") - F.col("rest") + F.col("begin")).alias("start"), "length", "rest_crc", "rest_ids", "doc_tokens",
         (F.col("base_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset", "begin", "rest",
     )
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     entire = placed.where(F.col("length") == F.col("rest")).withColumn("ids_crc32", F.col("rest_crc")).select(out)
-    # The pieces of cut rests are fewer than the plan's rows.
-    cuts = placed.where(F.col("length") < F.col("rest")).drop("rest", "rest_crc")
-    halved = (
-        docs.select("part", "row", "rest_ids").join(F.broadcast(cuts), ["part", "row"])
-        .withColumn("ids_crc32", F.udf(_piece_crc, "long", useArrow=True)("rest_ids", F.col("begin"), F.col("length"))).select(out)
-    )
+    # No rows move for these but where Spark does not broadcast the tallies.
+    cuts = placed.where(F.col("length") < F.col("rest"))
+    halved = cuts.withColumn("ids_crc32", F.udf(_piece_crc, "long", useArrow=True)("rest_ids", F.col("begin"), F.col("length"))).select(out)
     counts = docs.where(F.size("crcs") > 0).groupBy("part").agg(F.sum(F.size("crcs")).alias("n"))
     counts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     whole = (

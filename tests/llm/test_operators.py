@@ -402,6 +402,34 @@ def test_plan_places_every_rest_once():
     assert sum(2048 - v for v in filled.values()) < 0.01 * 2048 * n + 2048
 
 
+@pytest.mark.parametrize("histogram", [{1100: 8}, {1100: 9}, {1500: 1000, 40: 3}, {k: 50 + k % 7 for k in range(1030, 2040, 3)}, {1: 100}, {1024: 5, 700: 77}, {}])
+def test_plan_leaves_one_padded_sequence(histogram):
+    rows, n = packing.plan(histogram)
+    pieces, filled = {}, {}
+    for length, low, high, first, offset, begin, piece in rows:
+        for k in range(low, high + 1):
+            pieces.setdefault((length, k), []).append((begin, piece))
+            filled.setdefault(first + k - low, []).append((offset, piece))
+    for of, sizes in ((pieces, {key: key[0] for key in pieces}), (filled, {s: sum(x for _, x in v) for s, v in filled.items()})):
+        for key, parts in of.items():
+            at = 0
+            for begin, piece in sorted(parts):
+                assert begin == at and piece > 0
+                at += piece
+            assert at == sizes[key] <= 2048
+    assert set(pieces) == {(k, i) for k, v in histogram.items() for i in range(v)} and sorted(filled) == list(range(n))
+    assert n == -(-sum(k * v for k, v in histogram.items()) // 2048)
+
+
+def test_packing_cuts_often(spark):
+    path = tokens.public("word_bpe_49k.json")
+    text = " ".join(["word"] * 1099)
+    ids = np.array([*tokens.encoder("words", path).tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    got = packing.packed(spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string"), path).collect()
+    assert len({r["sequence_id"] for r in got}) == -(-40 * len(ids) // 2048) and sum(r["length"] for r in got) == 40 * len(ids)
+    assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in got)
+
+
 def test_packing(spark, docs, empty):
     path = tokens.public("word_bpe_49k.json")
     t = tokens.encoder("words", path).tokenizer
