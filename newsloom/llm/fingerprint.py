@@ -2,8 +2,8 @@
 
 A rolling hash over the last seven bytes ends a piece wherever it is -1 modulo the block size; each piece
 gives one character of a signature. A fingerprint is ``block:signature:signature at twice the block``,
-where the block size is the smallest of 3 * 2**k that leaves at most 64 pieces (one less step if that
-leaves under 32). Two fingerprints compare where their block sizes agree or differ by the factor two.
+where the block size is the smallest of 3 * 2**k that leaves at most 64 pieces, so no text is lumped
+into its last piece. Two fingerprints compare where their block sizes agree or differ by the factor two.
 
 Null and empty texts have the fingerprint ``3::``. Equal texts have equal fingerprints, and likeness 1.
 """
@@ -39,38 +39,37 @@ def rolling(b: np.ndarray) -> np.ndarray:
 
 
 def _signature(b: np.ndarray, ends: np.ndarray) -> str:
-    """One character for each piece; ends: where pieces end, exclusively."""
+    """One character for each piece; ends: where pieces end, exclusively, the last with the text."""
     if not len(b):
         return ""
-    if not len(ends) or ends[-1] != len(b):
-        ends = np.append(ends, len(b))
     starts = np.concatenate(([0], ends[:-1]))
     rel = np.arange(len(b)) - np.repeat(starts, ends - starts)
     value = np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * powers(int((ends - starts).max()))[rel], starts)
     return LETTERS[(mixed(value) >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
+def _ends(h: np.ndarray, size: int) -> np.ndarray:
+    """Where pieces end at this block size, the text's end with them."""
+    e = np.flatnonzero(h % np.uint32(size) == np.uint32(size - 1)) + 1 if size < 1 << 32 else np.empty(0, dtype=np.int64)
+    return e if len(e) and e[-1] == len(h) else np.append(e, len(h))
+
+
 def fingerprint(text: str | None) -> str:
     b = utf8(text)
     h = rolling(b)
     block = LEAST_BLOCK
     while block * LENGTH < len(b):
         block *= 2
-    ends = {}
-    while True:
-        for size in (block, 2 * block):
-            if size not in ends:
-                ends[size] = np.flatnonzero(h % np.uint32(size) == np.uint32(size - 1)) + 1
-        if block > LEAST_BLOCK and len(ends[block]) + 1 < LENGTH // 2:
-            block //= 2
-        else:
-            break
-
-    def at(size: int) -> str:
-        e = ends[size]
-        return _signature(b, e[: LENGTH - 1] if len(e) >= LENGTH else e)  # the last piece has the rest
-
-    return f"{block}:{at(block)}:{at(2 * block)}"
+    # Pieces that end at twice a block also end at the block: their number never grows with it. A block beyond every
+    # hash has one piece.
+    now = _ends(h, block)
+    while len(now) > LENGTH:
+        block *= 2
+        now = _ends(h, block)
+    while block > LEAST_BLOCK and len(less := _ends(h, block // 2)) <= LENGTH:
+        block //= 2
+        now = less
+    return f"{block}:{_signature(b, now)}:{_signature(b, _ends(h, 2 * block))}"
 
 
 def _common(a: str, b: str) -> int:

@@ -84,6 +84,24 @@ def test_fingerprints(docs, empty):
     assert five["fingerprint"] == six["fingerprint"] and five["near_next"] == 1.0
 
 
+def test_fingerprints_have_the_whole_text():
+    # repetitive texts have far more piece ends than their length tells
+    r = random.Random(4)
+    texts = ["", "a", "ab" * 5000, prose(1, 900), *(" ".join(r.choices([f"w{k}" for k in range(m)], k=2000)) for m in (2, 3, 5, 9, 20))]
+    # a seven-byte window that ends a piece even at 12 times the block its length suggests, over and over
+    window = next(x for x in (f"{k:06d} " for k in range(100_000)) if fingerprint.rolling(utf8(x))[-1] % 6144 == 6143)
+    lumped = window * 500 + prose(2, 600)
+    for t in texts + [lumped]:
+        b = utf8(t)
+        h = fingerprint.rolling(b)
+        pieces = lambda size: len(b) and len({*(np.flatnonzero(h % np.uint32(size) == size - 1) + 1).tolist(), len(b)})
+        block, first, second = fingerprint.fingerprint(t).split(":")
+        assert len(first) == pieces(int(block)) <= 64 and len(second) == pieces(2 * int(block))
+        assert int(block) == 3 or pieces(int(block) // 2) > 64
+    other = window * 500 + prose(3, 600)
+    assert fingerprint.likeness(*map(fingerprint.fingerprint, (lumped, other))) < 0.9
+
+
 def test_likeness():
     a, b = prose(1, 400), prose(2, 400)
     f = fingerprint.fingerprint
