@@ -53,6 +53,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters are in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 

@@ -5,11 +5,12 @@ text has one shingle, of all its words; a text without words has none and joins
 ``BANDS`` * ``ROWS`` minima, and dealt by band. The chance that two texts of similarity s share a bucket is
 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8 with 20 bands of 5 rows.
 
-A bucket is resolved without pairing all its members: in rounds, one member of it is the probe and is
-compared, on full sets, with those members that are not known to be in its component yet; the next probe
-is the member with most links so far. A bucket is done when its members that were never the probe are in one component.
-So members of one component are not all paired, but no link between two components is lost; what a few
-rounds leave (buckets of many unlike texts) is paired and verified exactly, whatever it costs.
+Every two texts that share a bucket are compared once, on full sets: in the lowest band whose bucket they share. Buckets
+with the same members as one of a lower band are left out before any set moves. A bucket is compared in blocks of bounded
+size, each pair of blocks being a task's work of its own, so neither a hot bucket nor its sets meet in one task; and pairs
+never become rows: a block pair returns for each text how many partners it has found, and one member that it is connected to.
+So links are counted exactly, and what moves is in proportion to the texts (and a hot bucket's blocks), not to their pairs. The comparisons
+themselves stay quadratic in the different texts of one bucket, less those whose sizes alone rule a link out.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, cut, fresh, mixed, narrow, shingles
+from .common import SHINGLE, SIMILARITY, cut, fresh, mixed, named, narrow, shingles
 from .components import components
 
 BANDS = 20
 ROWS = 5
-ROUNDS = 6
+#: Texts, and shingles, that one block of a bucket has on average.
+BLOCK_TEXTS = 512
+BLOCK_GRAMS = 1 << 20
+NULL_ID = -(1 << 63)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -44,10 +48,14 @@ def bands(sh: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mixed(folded + np.arange(len(folded), dtype=np.uint64)).view(np.int64)
 
 
+SIGNED = "k long, own long, grams long, bands array<long>"
+
+
 def _banded(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "bands": [bands(shingles(t, n)) for t in batch["text"]]})
+            sets = [shingles(t, n) for t in batch["text"]]
+            yield pd.DataFrame({"k": batch["k"], "own": batch["own"], "grams": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
 
     return run
 
@@ -55,99 +63,166 @@ def _banded(n: int):
 def _shingled(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "grams": [shingles(t, n).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"k": batch["k"], "kept": batch["kept"], "set": [shingles(t, n).view(np.int64) for t in batch["text"]]})
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose sets have at least that Jaccard similarity, with it."""
-    a = sets.select(F.col("k").alias("a"), F.col("grams").alias("left"))
-    b = sets.select(F.col("k").alias("b"), F.col("grams").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    found = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), (F.size("left") + F.size("right")).alias("sum"))
-    return found.where(F.col("both") >= F.lit(least) * (F.col("sum") - F.col("both"))).select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
+def linked_within(sets: list[np.ndarray], kept: np.ndarray, band: int, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its links in this block pair, and the first member of its component there.
+
+    kept: a row for each text with the bucket of each band, 0 where none counts. side: 0 or 1 for the blocks of a pair, whose
+    members are compared across only; all 0: one block, compared within. Pairs that share a lower band are left out.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, side, kept = size[order], side[order], kept[order, :band]
+    sets = [sets[i] for i in order]
+    across = bool(side.any())
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    begins = ends - size
+    marked = np.zeros(len(names), dtype=bool)
+    links = np.zeros(len(sets), dtype=np.int64)
+    root = np.arange(len(sets))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(sets) - 1):
+        stop = int(np.searchsorted(size, size[i] / least, side="right"))
+        if stop <= i + 1:
+            continue
+        open_ = ~((kept[i + 1 : stop] == kept[i]) & (kept[i] != 0)).any(axis=1)
+        if across:
+            open_ &= side[i + 1 : stop] != side[i]
+        at = i + 1 + np.flatnonzero(open_)
+        if not len(at):
+            continue
+        own = flat[begins[i] : ends[i]]
+        marked[own] = True
+        if 2 * len(at) > stop - i - 1:
+            lo = begins[i + 1]
+            both = np.add.reduceat(marked[flat[lo : ends[stop - 1]]], begins[i + 1 : stop] - lo, dtype=np.int64)[at - i - 1]
+        else:
+            both = np.array([np.count_nonzero(marked[flat[begins[j] : ends[j]]]) for j in at.tolist()])
+        marked[own] = False
+        found = at[both >= least * (size[i] + size[at] - both)]
+        links[i] += len(found)
+        links[found] += 1
+        for j in found.tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    out, first = np.empty_like(links), np.empty_like(root)
+    out[order], first[order] = links, order[[find(i) for i in range(len(sets))]]
+    return out, first
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, k, label, degree) of members in buckets with more than one component; label: the component's least node, degree: k's links so far."""
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "k")
-    known = components(found).withColumnRenamed("node", "k").join(degrees, "k", "left")
-    told = members.select("bucket", "k").join(known, "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    unlike = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
-    out = cut(told.join(unlike, "bucket"))
-    return narrow(out, out.count())
+BLOCKS = "bucket long, i int, j int"
+FOUND = "k long, other long, links long"
 
 
-def links(rows: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts; rows: (k, own, text), where equal k have equal texts.
+def _compared(least: float):
+    """Rows in order of BLOCKS -> for each text with links in a block pair: a member of its component, its number of links."""
 
-    Enough of them to tell the components: see above. Every link is one that was verified. Texts are
-    banded where they lie; of the texts in shared buckets, the row of the least ``own`` is shingled, and joining on (k, own)
-    spreads the copies of one text over all tasks.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def closed() -> pd.DataFrame:
+            rows = pd.concat(held).drop_duplicates("k") if len(held) > 1 else held[0].drop_duplicates("k")
+            k, i, j = rows["k"].to_numpy(), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+            side = (rows["block"].to_numpy() == j).astype(np.int8) if i != j else np.zeros(len(k), dtype=np.int8)
+            if len(k) < 2 or (i != j and side.min() == side.max()):
+                return pd.DataFrame({"k": k[:0], "other": k[:0], "links": k[:0]})
+            kept = np.vstack(rows["kept"].to_numpy())
+            links, first = linked_within([np.asarray(s) for s in rows["set"]], kept, int(rows["band"].iloc[0]), side, least)
+            some = links > 0
+            return pd.DataFrame({"k": k[some], "other": k[first[some]], "links": links[some]})
+
+        now = None
+        for batch in batches:
+            keys = batch[["bucket", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if b > a:
+                    key = tuple(keys[a])
+                    if key != now and held:
+                        yield closed()
+                        held = []
+                    now = key
+                    held.append(batch.iloc[a:b])
+        if held:
+            yield closed()
+
+    return run
+
+
+def signed(rows: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """One row for each different text of rows (k, own, text): k, the least own, n_copies, the number of its shingles, its buckets."""
+    told = rows.mapInPandas(_banded(n), SIGNED)
+    return cut(told.groupBy("k").agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n_copies"), F.max("grams").alias("grams"), F.first("bands").alias("bands")))
+
+
+def linked(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """(k, other, links): texts with links, as the block pairs found them. rows: (k, own, text); texts: signed(rows).
+
+    A text's links are the sum over its rows; other is in the same component as k. Of the texts in shared buckets, the row of the least ``own`` is
+    shingled, and joining on (k, own) spreads the copies of one text over all tasks.
     """
-    spark = rows.sparkSession
-    texts = rows.select("k", "text")
-    signed = cut(texts.mapInPandas(_banded(n), "k long, bands array<long>").dropDuplicates(["k"]))
-    dealt = signed.select("k", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("bucket")
-    members = cut(dealt.join(shared, "bucket"))
+    dealt = texts.select("k", "grams", F.posexplode("bands").alias("band", "bucket"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("k", F.lit(seed)))
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("grams").alias("weight"), mark(1).alias("x"), mark(2).alias("y"), F.min("band").alias("band"))
+    # buckets of one set of members: the lowest band's will do
+    alike = sizes.where("members > 1").groupBy("members", "weight", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_TEXTS, F.col("weight") / BLOCK_GRAMS)).cast("int")
+    once = alike.select("b.bucket", blocks.alias("blocks"))
+    members = cut(dealt.select("k", "band", "bucket").join(once, "bucket"))
     members = narrow(members, members.count())
-    firsts = rows.groupBy("k").agg(F.min("own").alias("own")).join(members.select("k").distinct(), "k")
-    sets = cut(rows.join(firsts, ["k", "own"]).select("k", "text").mapInPandas(_shingled(n), "k long, grams array<long>").dropDuplicates(["k"]))
-    sets = narrow(sets, sets.count(), 5_000)
-    # A first pass compares each text with one other, the least that shares a bucket with it: where many near copies share
-    # many buckets, that links nearly all of them, at one pair for each, before any bucket is gone through.
-    leads = members.groupBy("bucket").agg(F.min("k").alias("probe"))
-    pairs = members.join(leads, "bucket").where(F.col("k") != F.col("probe")).groupBy("k").agg(F.min("probe").alias("a")).select("a", F.col("k").alias("b"))
-    found = cut(_verified(pairs, sets, similarity))
-    open_ = _labelled(members, found)
-    for turn in range(rounds + 1):
-        unlike = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", -F.col("k"), "label")).alias("best"))
-        unlike = unlike.where(F.col("low") < F.col("high")).select("bucket", (-F.col("best.col2")).alias("probe"), F.col("best.label").alias("probe_label"))
-        if turn < rounds:
-            against = open_.select("bucket", "k", "label").join(unlike, "bucket")
-            pairs = against.where(F.col("label") != F.col("probe_label")).select(F.least("k", "probe").alias("a"), F.greatest("k", "probe").alias("b")).distinct()
-        else:
-            left = open_.select("bucket", "k", "label").join(unlike.select("bucket"), "bucket")
-            right = left.select("bucket", F.col("k").alias("b"), F.col("label").alias("other"))
-            pairs = left.join(right, "bucket").where((F.col("k") < F.col("b")) & (F.col("label") != F.col("other"))).select(F.col("k").alias("a"), "b").distinct()
-        new = cut(_verified(pairs, sets, similarity))
-        found = found.unionByName(new)
-        if turn == rounds:
-            break
-        rest = open_.select("bucket", "k").join(unlike.select("bucket", "probe"), "bucket").where(F.col("k") != F.col("probe")).select("bucket", "k")
-        open_ = _labelled(rest, found)
-        if open_.isEmpty():
-            break
-    return cut(found.dropDuplicates(["a", "b"]))
+    of_text = F.map_from_entries(F.collect_list(F.struct("band", "bucket")))
+    wanted = members.groupBy("k").agg(of_text.alias("m")).join(texts.select("k", "own"), "k")
+    wanted = wanted.select("k", "own", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0))).alias("kept"))
+    found = rows.join(wanted, ["k", "own"]).groupBy("k").agg(F.first("text").alias("text"), F.first("kept").alias("kept"))
+    sets = found.mapInPandas(_shingled(n), "k long, kept array<long>, set array<long>")
+    block = F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = members.withColumn("block", block).select("k", "band", "bucket", "block", F.explode(others).alias("other"))
+    placed = placed.select("k", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt_out = placed.join(sets, "k").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return cut(dealt_out.mapInPandas(_compared(similarity), FOUND))
 
 
 def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _rows(df: DataFrame, text: str = "text") -> DataFrame:
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), text_key(text).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """For each row: doc_id, class_id, n_copies, n_links, kept.
 
     class_id is the smallest doc_id of the component of linked texts (null sorts first and is reported as
-    null); n_copies counts the rows of an equal text; n_links counts the verified links that hold the text in its
-    class: at least one where any other text is near, but not all pairs of a large class. kept is true for one
-    row of each class (a row that is repeated as a whole has it on each repeat).
+    null); n_copies counts the rows of an equal text; n_links counts the different texts that are linked with the row's text. kept is true for one
+    row of each class (a row that is repeated as a whole has it on each repeat). Null and empty texts are one class; an empty
+    table gives an empty result; texts are read whole, however long.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), text_key().alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    classes = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n_copies"), F.min("own").alias("first")))
-    found = links(rows, similarity, n)
-    both = found.select("a").unionByName(found.select(F.col("b").alias("a")))
-    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "k")
-    rooted = classes.join(components(found).withColumnRenamed("node", "k"), "k", "left").join(degrees, "k", "left")
+    rows = _rows(df)
+    texts = signed(rows, n)
+    found = linked(rows.select("k", "own", "text"), texts, similarity, n)
+    degrees = found.groupBy("k").agg(F.sum("links").alias("n_links"))
+    edges = found.where(F.col("k") != F.col("other")).select(F.col("k").alias("a"), F.col("other").alias("b"))
+    classes = texts.select("k", "n_copies", F.col("own").alias("first"))
+    rooted = classes.join(components(edges).withColumnRenamed("node", "k"), "k", "left").join(degrees, "k", "left")
     rooted = rooted.select("k", "n_copies", "first", F.coalesce("root", "k").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lowest = rooted.groupBy("root").agg(F.min(F.struct("first", "k")).alias("lowest"))
     told = rooted.join(lowest, "root").select("k", "n_copies", "n_links", "first", F.col("lowest.first").alias("class_id"), F.col("lowest.k").alias("class_k"))
     return rows.select("doc_id", "own", "k").join(told, "k").select(
-        "doc_id", F.when(F.col("class_id") != -(1 << 63), F.col("class_id")).alias("class_id"), "n_copies", "n_links",
+        "doc_id", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "n_copies", "n_links",
         ((F.col("k") == F.col("class_k")) & (F.col("own") == F.col("class_id"))).alias("kept"), "k",
     )
 
@@ -155,6 +230,6 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, n: int = SHIN
 def deduplicated(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """df's rows and columns, one row of each class: that of the smallest doc_id (null first), of rows that repeat it one."""
     k, own = fresh(df, "text_k", "own_id")
-    kept = near_duplicates(df, similarity, n).where("kept").select(F.col("k").alias(k), F.coalesce("doc_id", F.lit(-(1 << 63))).alias(own)).distinct()
-    rows = df.withColumns({k: text_key(), own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
-    return rows.join(kept, [k, own]).dropDuplicates([k, own]).select(df.columns)
+    kept = near_duplicates(df, similarity, n).where("kept").select(F.col("k").alias(k), F.coalesce("doc_id", F.lit(NULL_ID)).alias(own)).distinct()
+    rows = df.withColumns({k: text_key(), own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))})
+    return rows.join(kept, [k, own]).dropDuplicates([k, own]).select(named(df))
