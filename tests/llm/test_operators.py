@@ -329,6 +329,9 @@ def test_near_duplicates(spark, docs, empty):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert all(got[i]["class_id"] == find(i) for i, _ in rows)
+    text = dict(rows)
+    near = lambda a, b: text[a] != text[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(got[a]["n_links"] == len({text[b] for b, _ in rows if near(a, b)}) for a, _ in rows)
     assert sum(r["kept"] for r in got.values()) == len({find(i) for i, _ in rows})
     assert nearjoin.deduplicated(df.withColumnRenamed("text", "text")).count() == len({find(i) for i, _ in rows})
     odd = nearjoin.near_duplicates(docs).collect()
@@ -337,6 +340,32 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.columns == ["doc_id", "text", "text_k", "K"] and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, None, 8, 10, 11}
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_of_a_large_group_are_counted_exactly(spark, block, monkeypatch):
+    """Classes and links against brute force, also where buckets are compared in blocks; recall on planted near copies."""
+    monkeypatch.setattr(nearjoin, "BLOCK_TEXTS", block)
+    r = random.Random(3)
+    base, rows = prose(55, 150).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(150)] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    for i in range(60):
+        w = prose(1000 + i, 90).split()
+        rows.append((1000 + 2 * i, " ".join(w)))
+        w[r.randrange(90)] = "planted"
+        rows.append((1001 + 2 * i, " ".join(w)))
+    got = {x["doc_id"]: x for x in nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    text = dict(rows)
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    links = {i: {text[j] for j in text if text[i] != text[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in text}
+    true, found = sum(map(len, links.values())), sum(x["n_links"] for x in got.values())
+    assert all(got[i]["n_links"] <= len(links[i]) for i in text) and found >= 0.99 * true > 1_000
+    planted = [i for i in range(1000, 1120, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(planted) > 50 and sum(got[i]["class_id"] == got[i + 1]["class_id"] == i for i in planted) >= 0.95 * len(planted)
+
+
 def test_bands_share_a_bucket_for_near_texts():
     a = prose(9, 300).split()
     b = list(a)
@@ -378,6 +407,18 @@ def test_ids_are_the_tokenizers(kind, name):
         assert [x.tolist() for x in e.ids(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("kind", "name"), [("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")])
+@pytest.mark.parametrize("most", [300, 3_000])
+def test_ids_stay_exact_when_chunks_are_forgotten_and_a_chunk_is_long(kind, name, most, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", most)
+    monkeypatch.setattr(tokens, "HASHED", 1 << 10)
+    e = {"bytes": tokens.ByteEncoder, "words": tokens.WordEncoder}[kind](tokens.public(name))
+    batches = [[prose(i % 7, 400), "x" * 70_000 + " y", "", " lead", "tail ", "two  spaces", "a\n\nb", "tab\there", "no\u00a0break \u00a0x", prose(100 + i, 300)] for i in range(20)]
+    for texts in batches:
+        assert [x.tolist() for x in e.ids(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.memory.entries <= most and np.count_nonzero(e.memory.keys) == e.memory.entries
+
+
 def test_wavelet_file():
     r = np.random.default_rng(1)
     ids = r.integers(0, 50_000, 5_000).astype(np.uint32)
