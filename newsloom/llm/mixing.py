@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, n_words
+from .common import fresh, n_words, named
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -25,8 +25,8 @@ SEED = "mix-1"
 
 def coin(doc_id: str = "doc_id", text: str = "text", seed: str = SEED) -> Column:
     """A number in [0, 1) from 48 bits of a hash."""
-    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    whose = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whose.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -67,7 +67,7 @@ def _with_copies(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataF
 def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """df's rows, each as often as the mix takes it, with df's columns."""
     row, = fresh(df, "row")
-    rows = df.select(F.struct(*df.columns).alias(row), "source", n_words(F.col("text")).alias("size"), coin(seed=seed).alias("coin"))
+    rows = df.select(F.struct(*named(df)).alias(row), "source", n_words(F.col("text")).alias("size"), coin(seed=seed).alias("coin"))
     out = _with_copies(rows, weights, limit).where(F.col("copies") > 0)
     return out.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(f"{row}.*")
 

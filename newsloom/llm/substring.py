@@ -6,8 +6,10 @@ passage moves none of its anchors but near its ends. A unit goes from one anchor
 ``LEAST_WORDS`` words or more holds two anchors, thus a unit, wherever it begins and ends. The earliest occurrence of a unit (by
 doc_id, null first, then position) keeps its text. Runs of units that occurred before are extended word by word, as far as the
 words around the earliest occurrence agree, and removed if they have at least ``LEAST_WORDS`` words: single common lines and
-short phrases stay. The offsets of what was removed, in code points of the original text, are kept. A null text stays null;
-rows that repeat doc_id and text are one document.
+short phrases stay. With a smaller ``least_words`` every line of so many words is a unit of its own too (normalised as its words
+are), down to 1: then each repeated line goes, whatever its length. The offsets of what was removed, in code points of the original text, are
+kept. A null text stays null; a text without words has no unit; ties in doc_id go by a hash of the text; rows that repeat doc_id and text
+are one document, with one result; an empty table gives an empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, gram_hashes, row_key, span_hashes
+from .common import cut, fresh, gram_hashes, mixed, row_key, span_hashes
 
-#: Words that a run of repeated units needs to be removed.
+#: Words that a run of repeated units needs to be removed, unless a caller names another number.
 LEAST_WORDS = 30
+_LINE = np.uint64(0xD6E8FEB86659FD93)
 #: Words of an anchor, and windows in a row of which one is an anchor: 2 * REACH + GRAM - 1 <= LEAST_WORDS.
 GRAM = 5
 REACH = 13
@@ -82,35 +85,63 @@ def anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, size, span_hashes(np.column_stack((stepped, high, low[:-1])).reshape(-1), np.arange(len(first)) * 3, np.arange(len(first)) * 3 + 3).view(np.int64)
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        places, digests = [], []
-        for text in batch["text"]:
-            first, size, digest = anchored(hashed_words(text))
-            places.append((first << 5 | size).astype(np.int64))
-            digests.append(digest)
-        yield pd.DataFrame({"doc_key": batch["doc_key"], "doc_id": batch["doc_id"].astype("Int64"), "places": places, "digests": digests})
+def lines(text: str, starts: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and digest of each line of at least so many words, and too few to hold a unit for sure."""
+    cuts = np.searchsorted(starts, [m.start() for m in re.finditer("\n", text)])
+    first, last = np.concatenate(([0], cuts)).astype(np.int64), np.append(cuts, len(starts)).astype(np.int64)
+    some = (last - first >= max(1, least)) & (last - first < LEAST_WORDS)
+    first, last = first[some], last[some]
+    return first, last - first, mixed(span_hashes(words, first, last) ^ _LINE).view(np.int64)
+
+
+def _digests(least_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places, digests = [], []
+            for text in batch["text"]:
+                starts, ends, points = _words(text)
+                words = span_hashes(points, starts, ends)
+                found = [anchored(words)]
+                if least_words < LEAST_WORDS:
+                    found.append(lines(text, starts, words, least_words))
+                first, size, digest = map(np.concatenate, zip(*found))
+                places.append((first << 5 | size).astype(np.int64))
+                digests.append(digest)
+            yield pd.DataFrame({"doc_key": batch["doc_key"], "doc_id": batch["doc_id"].astype("Int64"), "places": places, "digests": digests})
+
+    return run
 
 
 RUNS = "doc_key long, begin long, end long, before_doc long, before_at long, after_doc long, after_at long"
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of repeated units, in words, with where the earliest occurrences of their first and last unit begin and end."""
+    """Runs of repeated units, in words, with where the earliest occurrences of their first and last unit begin and end.
+
+    Rows: doc_key, unit, doc, other in order of doc_key and unit. One run is held from batch to batch.
+    """
+    held: tuple | None = None
     for batch in batches:
+        doc, unit, place, other = (batch[c].to_numpy() for c in ("doc_key", "unit", "doc", "other"))
+        begin, end, at = unit >> 5, (unit >> 5) + (unit & 31), other >> 5
+        change = np.append(True, doc[1:] != doc[:-1])
+        which = np.cumsum(change) << 32
+        far = np.maximum.accumulate(which + end)
+        heads = np.flatnonzero(change | (which + begin > np.append(-1, far[:-1])))
         rows = []
-        for key, repeated in zip(batch["doc_key"], batch["repeated"]):
-            run = None
-            for at, doc, other in sorted((r["unit"], r["doc"], r["other"]) for r in repeated):
-                begin, end = at >> 5, (at >> 5) + (at & 31)
-                if run is None or begin > run[2]:
-                    if run is not None:
-                        rows.append(tuple(run))
-                    run = [key, begin, end, doc, other >> 5, doc, (other >> 5) + (at & 31)]
-                else:
-                    run[2], run[5], run[6] = end, doc, (other >> 5) + (at & 31)
-            rows.append(tuple(run))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in RUNS.split(", ")])
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)]):
+            last = i + int(np.argmax(end[i:j]))
+            run = (doc[i], begin[i], end[last], place[i], at[i], place[last], at[last] + (unit[last] & 31))
+            if held is None:
+                held = run
+            elif held[0] != run[0] or run[1] > held[2]:
+                rows.append(held)
+                held = run
+            elif run[2] > held[2]:
+                held = (*held[:2], run[2], *held[3:5], *run[5:])
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in RUNS.split(", ")], dtype=np.int64)
+    if held is not None:
+        yield pd.DataFrame([held], columns=[f.split()[0] for f in RUNS.split(", ")], dtype=np.int64)
 
 
 def _low(words: np.ndarray) -> np.ndarray:
@@ -151,6 +182,8 @@ def extended(text: str, found: list, least_words: int = LEAST_WORDS) -> list[tup
             begin -= _same(words[max(0, begin - AROUND) : begin][::-1], np.asarray(r["before"], dtype=np.int64))
         if r["after"] is not None:
             end += _same(words[end : end + AROUND], np.asarray(r["after"], dtype=np.int64))
+        if end - begin < LEAST_WORDS:  # a short line: it alone repeats, whatever word stands beside it
+            begin, end = r["begin"], r["end"]
         if joined and begin <= joined[-1][1]:
             joined[-1] = [min(begin, joined[-1][0]), max(end, joined[-1][1])]
         else:
@@ -181,7 +214,8 @@ def _removing(least_words: int):
 def removals(df: DataFrame, span: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """df with a column more: kept (text), begins, ends (removed spans) of each text that has a repeat, else null.
 
-    Digests (twelve bytes for each unit) are cut to the shared folder and grouped with sums made in the tasks first. A unit
+    Digests (twelve bytes for each unit) are cut to the shared folder. First they alone are counted, with sums made in the tasks; only
+    those that occur again are joined with their places, of which the least is the earliest occurrence. A unit
     that is in very many documents is a join key that Spark can split; no task collects a digest's documents. Of the
     earliest occurrences only the words around the ends of runs are sent, each place once. Rows are dealt by their
     key once: both joins have the same left side, with the same columns, so that Spark uses one exchange for both.
@@ -189,13 +223,15 @@ def removals(df: DataFrame, span: str, least_words: int = LEAST_WORDS) -> DataFr
     key, wanted_, found_ = fresh(df, "doc_key", "wanted", "found")
     base = df.withColumn(key, row_key())
     rows = df.where(F.col("text").isNotNull()).select(row_key().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = cut(rows.mapInPandas(_digests, "doc_key long, doc_id long, places array<int>, digests array<long>"))
+    hashed = cut(rows.mapInPandas(_digests(least_words), "doc_key long, doc_id long, places array<int>, digests array<long>"))
     each = hashed.select("doc_key", "places", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.posexplode("digests").alias("i", "digest"))
     each = each.select("doc_key", "rank", F.get("places", F.col("i")).alias("unit"), "digest")
     place = F.struct("rank", "doc_key", "unit")
-    first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("digest", "first")
-    again = each.join(first, "digest").where(place != F.col("first")).select("doc_key", F.struct("unit", F.col("first.doc_key").alias("doc"), F.col("first.unit").alias("other")).alias("r"))
-    runs = cut(again.groupBy("doc_key").agg(F.collect_set("r").alias("repeated")).mapInPandas(_runs, RUNS))
+    counts = hashed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut(each.join(counts.where("n > 1").select("digest"), "digest"))
+    first = repeated.groupBy("digest").agg(F.min(place).alias("first"))
+    again = repeated.join(first, "digest").where(place != F.col("first")).select("doc_key", F.col("unit").cast("long").alias("unit"), F.col("first.doc_key").alias("doc"), F.col("first.unit").cast("long").alias("other"))
+    runs = cut(again.repartition("doc_key").sortWithinPartitions("doc_key", "unit").mapInPandas(_runs, RUNS))
     ends = runs.select(F.col("before_doc").alias("doc"), F.col("before_at").alias("at"), F.lit(False).alias("after"))
     ends = ends.unionByName(runs.select(F.col("after_doc").alias("doc"), F.col("after_at").alias("at"), F.lit(True).alias("after"))).distinct()
     wanted = ends.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("at", "after")).alias(wanted_))
@@ -222,10 +258,12 @@ def deduplicated(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     A row that came without words stays as it is.
     """
+    names = df.columns
+    df = df.toDF(*[f"column_{i}" if set(".`") & set(c) else c for i, c in enumerate(names)])
     (span,) = fresh(df, "span")
     kept = F.col(f"{span}.kept")
     out = removals(df, span, least_words).where(F.col(span).isNull() | (F.trim(F.regexp_replace(kept, r"[\s]+", "")) != ""))
     changes = {"text": F.coalesce(kept, F.col("text"))}
     if "n_chars" in df.columns:
         changes["n_chars"] = F.when(F.col(span).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(df.schema["n_chars"].dataType))
-    return out.withColumns(changes).select(df.columns)
+    return out.withColumns(changes).select(df.columns).toDF(*names)

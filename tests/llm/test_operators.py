@@ -164,6 +164,50 @@ def test_units_cover_the_text():
         assert "".join("".join(t[a:b].split()) for a, b in spans) == "".join(t.split())
 
 
+def test_substring_against_brute_force(spark):
+    """Random corpora with passages set into hosts: what goes is what an earlier text has, in runs of enough words, and nothing else."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passages = [[word() for _ in range(n)] for n in (31, 45, 60, 90)]
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(r.randint(0, 40))]
+        for p in r.sample(passages, r.randint(0, 2)):
+            text += p + [word() for _ in range(r.randint(1, 40))]
+        rows.append((i, " ".join(text)))
+    got = {x["doc_id"]: x for x in substring.marked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    seen = set()
+    for i, text in rows:
+        words = text.split()
+        grams = [tuple(words[k : k + 30]) for k in range(len(words) - 29)]
+        own = set()
+        gone = set()
+        for k, g in enumerate(grams):
+            if g in seen or g in own:
+                gone |= set(range(k, k + 30))
+            own.add(g)
+        seen |= own
+        spans = [(s["begin"], s["end"]) for s in got[i]["removed"]]
+        assert got[i]["text"].split() == [w for k, w in enumerate(words) if k not in gone]
+        assert sum(len(text[a:b].split()) for a, b in spans) == len(gone) and got[i]["n_chars"] == len(text)
+
+
+def test_substring_lines_of_any_length(spark):
+    rows = [(3, "Same line\nown three"), (1, "own one\nsame  LINE\nown words"), (2, "x\nSame line\nsame line\ny"), (4, None), (5, "own one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["text"] for x in substring.marked(df, 1).collect()} == {1: rows[1][1], 2: "x\ny", 3: "own three", 4: None, 5: ""}
+    assert {x["doc_id"]: x["text"] for x in substring.marked(df).collect()} == dict(rows)
+
+
+def test_substring_keeps_awkward_rows(spark, docs, empty):
+    got = [(x["doc_id"], x["text"]) for x in substring.marked(docs).collect()]
+    assert len(got) == len(ROWS) and (1, None) in got and (2, "") in got and substring.marked(empty).count() == 0
+    assert sum(t == prose(5, 80) for _, t in got) == 1 and [t for i, t in got if i == 6] == ["", ""]  # a tie in doc_id, repeated as a whole: one document
+    assert [t for i, t in got if i == 9] == ["more words at the end"]
+    odd = docs.selectExpr("doc_id", "text", "lang as doc_key", "source as `span.x`", "lang as found")
+    assert substring.deduplicated(odd).columns == odd.columns and substring.deduplicated(odd).count() == len(ROWS) - 2
+
+
 # --- 3 ------------------------------------------------------------------------------------------------
 
 
