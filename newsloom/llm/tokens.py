@@ -6,7 +6,7 @@ Where that can't be relied on (runs of white space, rare controls), the whole te
 Texts are cut into chunks, and chunks looked up, in numpy over the UTF-8 bytes of many texts together: a chunk is known by
 a 64-bit hash of its bytes, a table with open addressing holds where its ids stand in one array. Only chunks that the
 table lacks become Python strings and reach the tokenizer. When the table is full, chunks that have not been met again
-since they came are forgotten. At n different chunks about n^2 / 2^65 pairs would share a hash: 10^-7 at two million.
+since they came are forgotten. At n different chunks about n^2 / 2^65 pairs would share a hash: 10^-7 at two million, twice what is kept.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import span_hashes
 
-#: Chunks remembered by one Python worker, about 100 MB; beyond, those that were met once are encoded again.
-REMEMBERED = 2_000_000
+#: Chunks remembered by one Python worker, about 70 MB; beyond, those that were met once are encoded again.
+REMEMBERED = 1_000_000
 AT_ONCE = 1_000_000
 #: Bytes hashed together, which bounds what one very long text needs besides its chunks.
 HASHED = 1 << 20
@@ -44,7 +44,7 @@ class Memory:
 
     def _open(self, slots: int) -> None:
         self.keys = np.zeros(slots, dtype=np.uint64)
-        self.begins = np.zeros(slots, dtype=np.int64)
+        self.begins = np.zeros(slots, dtype=np.uint32)
         self.counts = np.zeros(slots, dtype=np.uint16)
         self.again = np.zeros(slots, dtype=bool)
 
@@ -79,7 +79,7 @@ class Memory:
         """Hashes that differ and are not in the table, with uint16 ids; None, or too many for a count: odd."""
         ids = [x if x is not None and len(x) < 2 * ODD else None for x in ids]
         if 2 * (self.entries + len(hashes)) > len(self.keys):
-            self._rebuild(self.keys != 0, 1 << (4 * (self.entries + len(hashes))).bit_length())
+            self._rebuild(self.keys != 0, 1 << (2 * (self.entries + len(hashes))).bit_length())
         flat = np.frombuffer(b"".join(x or b"" for x in ids), dtype=np.uint16)
         counts = np.array([ODD if x is None else len(x) // 2 for x in ids], dtype=np.uint16)
         room = self.filled + len(flat)
@@ -106,11 +106,11 @@ class Memory:
         if self.entries <= most:
             return
         kept = self.again if np.count_nonzero(self.again) <= most // 2 else np.zeros_like(self.again)
-        self._rebuild(kept, 1 << (4 * max(1, int(np.count_nonzero(kept)))).bit_length())
+        self._rebuild(kept, 1 << (2 * max(1, int(np.count_nonzero(kept)))).bit_length())
         self.again[:] = False
         at = np.flatnonzero(self.keys)
         size = np.where(self.counts[at] == ODD, 0, self.counts[at]).astype(np.int64)
-        self.ids = self.ids[spread(self.begins[at], size)]
+        self.ids = self.ids[spread(self.begins[at].astype(np.int64), size)]
         self.begins[at] = np.cumsum(size) - size
         self.filled = len(self.ids)
 
