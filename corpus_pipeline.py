@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import langid, mixing, nearjoin, packing, substring, tokens
-from newsloom.llm.common import cut, fresh
+from newsloom.llm.common import cut, fresh, named
 
 #: Texts below this score resemble no learned language: noise of letters, not prose.
 LEAST_SCORE = 0.05
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language: those without a letter, and those near no profile, go."""
     profiles = langid.learn(docs.where(~langid.held_out()))
     name, score = fresh(docs, "lang_pred", "score")
-    return langid.identify(docs, profiles).where((F.col(name) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+    return langid.identify(docs, profiles).where((F.col(name) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(named(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
