@@ -14,7 +14,9 @@ line is the author's text, however many pages repeat it. So does a container wit
 body of a copied article has; containers inside it are judged on their own.
 
 A null or empty page, and one whose every block is deleted, has the text ''. Malformed markup never
-fails: an end tag without a start is skipped, open elements end with their parent.
+fails: an end tag without a start is skipped, open elements end with their parent, and elements may nest without limit. Rows that repeat
+page_id and html are one page for the counts, and each has its text; a null page_id or url is a value like others (pages without a url
+share the host ''); an empty table gives an empty one; pages are read whole, however long.
 """
 
 from __future__ import annotations
@@ -63,20 +65,32 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dt dd
 #: What may be deleted for recurring inside an article or main part, as may elements with a hyphen in the name.
 CONTAINER_PARTS = frozenset("address center details div dl fieldset figure footer header ol section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-SPACE = re.compile(r"[\s\x00​﻿]+")
+SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "children", "noise", "soft", "kept", "hash", "size")
+    __slots__ = ("name", "children", "noise", "soft", "kept", "inside", "protects", "hash", "size")
 
-    def __init__(self, name: str, noise: bool = False, soft: bool = False):
+    def __init__(self, name: str, noise: bool = False, soft: bool = False, inside: bool = False):
         self.name, self.noise, self.soft = name, noise, soft
         self.children: list = []
-        self.kept = False
+        self.kept = False  # an article or main part
+        self.inside = inside  # below one
+        self.protects = False  # above one
         self.hash = 0
         self.size = 0  # characters other than white space, less those of elements that are dropped whatever their size
 
 
+class Root(Node):
+    """A page; nodes: it and all its elements in the order of their start tags, so parents come before children."""
+
+    __slots__ = ("nodes",)
+
+    def __init__(self):
+        super().__init__("#root")
+        self.nodes: list[Node] = [self]
+
+
 def _noisy(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
     """Whether an element is dropped; whether only if it has at most half of the page's text; whether it is a main part by its role."""
     if name in DROPPED or (name == "header" and not inside):
@@ -95,11 +109,21 @@ def _noisy(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
     return any(map(noise.fullmatch, tokens)), not any(map(READERS.fullmatch, tokens)), role == "main"
 
 
-def parse(page: str | None) -> Node:
-    root = Node("#root")
-    stack = [root]
+def parse(page: str | None) -> Root:
+    """The page's elements, however deep; open elements are counted by name, so that a stray end tag searches nothing."""
+    root = Root()
+    stack: list[Node] = [root]
+    open_: dict[str, int] = {}
     at, inside = 0, 0
     page = page or ""
+
+    def close(i: int) -> None:
+        nonlocal inside
+        for n in stack[i:]:
+            open_[n.name] -= 1
+            inside -= n.kept
+        del stack[i:]
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].children.append(entities.unescape(page[at : m.start()]))
@@ -109,57 +133,50 @@ def parse(page: str | None) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    inside -= sum(n.kept for n in stack[i:])
-                    del stack[i:]
-                    break
+            if open_.get(name):
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                close(i)
             continue
-        if (ends := CLOSES.get(name)) is not None:
+        ends = CLOSES.get(name)
+        if ends is not None and any(open_.get(x) for x in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in ends:
-                    inside -= sum(n.kept for n in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in CONTAINERS:
                     break
         noise, soft, main = _noisy(name, m["attrs"], inside > 0)
-        node = Node(name, noise, soft)
+        node = Node(name, noise, soft, inside > 0)
         stack[-1].children.append(node)
+        root.nodes.append(node)
         if name not in VOID and not m["attrs"].endswith("/"):
             node.kept = name in {"article", "main"} or main
             inside += node.kept
-            if len(stack) < 200:  # deeper elements stay beside each other
-                stack.append(node)
-            else:
-                inside -= node.kept
+            open_[name] = open_.get(name, 0) + 1
+            stack.append(node)
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
     measure(root)
-    spare(root, root.size)
     return root
 
 
-def measure(node: Node) -> int:
-    """Set and return the size of an element's subtree."""
-    node.size = sum(sum(map(len, c.split())) if isinstance(c, str) else measure(c) for c in node.children)
-    if node.noise and not node.soft:
-        node.size = 0
-    return node.size
-
-
-def spare(node: Node, total: int) -> None:
-    """No noise: an element that its class alone would drop, but that has over half of the page's text."""
-    if node.noise and node.soft and 2 * node.size > total:
-        node.noise = False
-    for c in node.children:
-        if not isinstance(c, str):
-            spare(c, total)
-
-
-def protects(node: Node) -> bool:
-    """Whether an article or main part is below an element."""
-    return any(not isinstance(c, str) and (c.kept or protects(c)) for c in node.children)
+def measure(root: Root) -> None:
+    """Set sizes, and which elements have an article or main part below. No noise any more: an element that its class alone would
+    drop, but that has over half of the page's text."""
+    for node in reversed(root.nodes):
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += sum(map(len, c.split()))
+            else:
+                node.size += c.size
+                node.protects |= c.kept or c.protects
+        if node.noise and not node.soft:
+            node.size = 0
+    for node in root.nodes:
+        if node.noise and node.soft and 2 * node.size > root.size:
+            node.noise = False
 
 
 def separable(node: Node) -> bool:
@@ -167,41 +184,32 @@ def separable(node: Node) -> bool:
     return not node.kept and (node.name in CONTAINER_PARTS or "-" in node.name)
 
 
-def hashes(node: Node) -> int:
-    """Set and return the hash of an element's subtree."""
-    parts = [node.name]
-    for c in node.children:
-        if isinstance(c, str):
-            if text := SPACE.sub(" ", c).strip():
-                parts.append(f"t{text}")
-        else:
-            parts.append(str(hashes(c)))
-    node.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-    return node.hash
+def hashes(root: Root) -> None:
+    """Set the hash of every element's subtree."""
+    for node in reversed(root.nodes):
+        parts = [node.name]
+        for c in node.children:
+            if isinstance(c, str):
+                if text := SPACE.sub(" ", c).strip():
+                    parts.append(f"t{text}")
+            else:
+                parts.append(str(c.hash))
+        node.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def open_subtrees(root: Node) -> list[int]:
+def open_subtrees(root: Root) -> list[int]:
     """Hashes of the subtrees with text that may be template: any outside of articles and main parts, containers inside."""
     out: dict[int, None] = {}
-
-    def walk(node: Node, inside: bool = False) -> bool:
-        some = False
-        for c in node.children:
-            some |= bool(SPACE.sub("", c)) if isinstance(c, str) else walk(c, inside)
-        if some and (separable(node) if inside else node.name not in {"#root", "html", "body"}):
-            out[node.hash] = None
-        return some
-
-    def top(node: Node) -> None:
-        for c in node.children:
-            if not isinstance(c, str):
-                top(c) if protects(c) and not c.kept else walk(c, c.kept)
-
-    top(root)
+    filled: set[int] = set()
+    for node in reversed(root.nodes):
+        if any(not c.isspace() and c if isinstance(c, str) else id(c) in filled for c in node.children):
+            filled.add(id(node))
+            if separable(node) if node.inside or node.kept else not node.protects and node.name not in {"#root", "html", "body"}:
+                out[node.hash] = None
     return list(out)
 
 
-def content(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+def content(root: Root, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of what is left, one per line."""
     blocks: list[str] = []
     held: list[str] = []
@@ -212,29 +220,37 @@ def content(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
                 blocks.append(text)
             held.clear()
 
-    def walk(node: Node, part: Node | None) -> None:
-        if node.noise:
-            return
-        if node.hash in template:
-            if separable(node) and 2 * node.size <= part.size if part else node.name not in {"#root", "html", "body"}:
-                return
-        block = node.name in BLOCK
-        if block:
-            flush()
-        for c in node.children:
-            held.append(c) if isinstance(c, str) else walk(c, part or (c if c.kept else None))
-        if block:
-            flush()
-
-    def outermost(node: Node, name: str | None, anywhere: bool = False) -> list[Node]:
-        if node.noise and not anywhere:
-            return []
-        if node.kept and (node.name == name or name is None):
-            return [node]
-        return [x for c in node.children if not isinstance(c, str) for x in outermost(c, name, anywhere)]
+    def walk(top: Node, of: Node | None) -> None:
+        todo: list = [(top, of)]
+        while todo:
+            node, part = todo.pop()
+            if node is None:  # the end of a block
+                flush()
+            elif isinstance(node, str):
+                held.append(node)
+            elif not node.noise:
+                if node.hash in template:
+                    if separable(node) and 2 * node.size <= part.size if part else node.name not in {"#root", "html", "body"}:
+                        continue
+                if node.name in BLOCK:
+                    flush()
+                    todo.append((None, None))
+                todo += [(c, part or (c if not isinstance(c, str) and c.kept else None)) for c in reversed(node.children)]
+
+    def outermost(name: str | None, anywhere: bool = False) -> list[Node]:
+        out, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if node.noise and not anywhere:
+                continue
+            if node.kept and (node.name == name or name is None):
+                out.append(node)
+            elif node.protects:
+                todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+        return out
 
     # The parts of a page that has none but in noisy elements are what it has.
-    for part in outermost(root, "article") or outermost(root, None) or outermost(root, "article", True) or outermost(root, None, True) or [root]:
+    for part in outermost("article") or outermost(None) or outermost("article", True) or outermost(None, True) or [root]:
         walk(part, part if part.kept else None)
     flush()
     return "\n".join(blocks)

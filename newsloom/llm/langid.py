@@ -6,18 +6,18 @@ profile has the ``PROFILE`` most frequent n-grams of its training texts. The dis
 own top n-grams, of how far their rank is from the profile's, or ``PROFILE`` where the profile lacks one.
 The nearest language wins, ties by name. The score is 1 - distance / largest possible distance.
 
-A null text, one without a letter, and every text where nothing could be learned are ``und``, score 0.
+A null text, one without a letter, and every text where nothing could be learned are ``und``, score 0. Rows that repeat get equal
+results; an empty table gives an empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh
@@ -25,8 +25,6 @@ from .common import fresh
 PROFILE = 300
 #: Training rows wanted for each language; more are thinned by a hash of the text. This bounds what is fitted.
 TRAINING_ROWS = 2_000
-#: Languages learned at most: those with most rows; profiles of so many fit in any task.
-LANGUAGES = 500
 UNKNOWN = "und"
 _BITS = np.uint64(21)
 
@@ -35,7 +33,7 @@ _BITS = np.uint64(21)
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space."""
     table = np.full(0x110000, 32, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if chr(c).isalpha():
             table[c] = ord(chr(c).lower()[0])
     return table
@@ -64,22 +62,29 @@ def top(values: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
+    """Ranks by n-gram and language, held for the n-grams that a language has: so large as the profiles, however many languages."""
+
     def __init__(self, ranked: dict[str, list[int]], size: int = PROFILE):
         self.size = size
         self.names = sorted(ranked)
-        self.known = np.unique(np.array([g for gs in ranked.values() for g in gs], dtype=np.uint64))
-        self.ranks = np.full((len(self.names), len(self.known) + 1), -1, dtype=np.int32)
-        for i, name in enumerate(self.names):
-            self.ranks[i, np.searchsorted(self.known, np.array(ranked[name], dtype=np.uint64))] = np.arange(len(ranked[name]))
+        each = [np.array(ranked[x], dtype=np.uint64) for x in self.names]
+        found = np.concatenate([np.empty(0, np.uint64), *each])
+        order = np.argsort(found, kind="stable")
+        self.langs = np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+        self.ranks = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in each)])[order]
+        self.known, begins = np.unique(found[order], return_index=True)
+        self.bounds = np.append(begins, len(found))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = top(*grams(text), self.size)
         if not len(own) or not self.names:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.known, own)
-        at[self.known[np.minimum(at, len(self.known) - 1)] != own] = len(self.known)
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, self.size, np.minimum(np.abs(ranks - np.arange(len(own))), self.size)).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == own) if len(self.known) else np.empty(0, dtype=np.int64)
+        begins, counts = self.bounds[at[hit]], self.bounds[at[hit] + 1] - self.bounds[at[hit]]
+        rows = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        gained = self.size - np.minimum(np.abs(self.ranks[rows] - np.repeat(hit, counts)), self.size)
+        away = self.size * len(own) - np.bincount(self.langs[rows], gained, len(self.names)).astype(np.int64)
         best = int(np.argmin(away))
         return self.names[best], float(1 - away[best] / (self.size * len(own)))
 
@@ -105,21 +110,22 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
     """Profiles of the languages of these rows, from about ``rows`` texts of each (a bounded sample).
 
     Only rows that have both a text and a lang count. The sample keeps a row where a hash of its text is
-    small enough for its language's share, so no language is gathered or sorted in one task; n-grams are counted in the
-    tasks and summed. The driver sees ``PROFILE`` n-grams of each of at most ``LANGUAGES`` languages.
+    small enough for its language's share; n-grams are counted in the
+    tasks and summed, then ranked, a language's n-grams together: as many as its sample has. The driver sees ``PROFILE`` n-grams of
+    each language; there are under 8,000 language codes, and no language is left out.
     """
     base = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = base.groupBy("lang").count().collect()
     if not sizes:
         return Profiles({})
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
     sample = base.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
-    counted = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        ranked = {r["lang"]: [x["gram"] for x in counted.where(F.col("lang") == r["lang"]).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()] for r in sizes}
-    finally:
-        counted.unpersist()
-    return Profiles({k: v for k, v in ranked.items() if v})
+    counted = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    ranked: dict[str, list[int]] = {}
+    for r in counted.select("lang", "gram", place.alias("place")).where(F.col("place") <= PROFILE).orderBy("lang", "place").collect():
+        ranked.setdefault(r["lang"], []).append(r["gram"])
+    return Profiles(ranked)
 
 
 def identify(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:

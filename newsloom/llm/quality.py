@@ -1,12 +1,11 @@
 """Quality rules: how much of a text is repetition.
 
-Words (runs of characters other than space and \\t..\\r) are hashed in numpy; windows of 2 to 10 words are
-hashed from those. A text fails if too large a share of its words' characters lies inside 5- to 10-word
+Words (runs of characters other than space and \\t..\\r) are hashed in numpy; the hashes of all windows of n words are rolled on to
+those of n + 1 words by one multiplication and sum, for n from 2 to 10. A text fails if too large a share of its words' characters lies inside 5- to 10-word
 windows that occurred before, inside its most frequent 2-, 3- or 4-word window, or if too many lines (or
 characters in lines) repeat an earlier line. Thresholds are those published for such rules in the
-literature on web corpora. One heading that stands twice in a short text is no junk: a share counts only
-where at least ``LEAST_REPEATED`` words (or ``LEAST_REPEATED_LINES`` lines) repeat. Null and empty texts have no words and
-fail the base rule.
+literature on web corpora, and hold at every length. Null and empty texts have no words and
+fail the base rule; rows that repeat get equal results; an empty table gives an empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, span_hashes, utf8, word_bounds
+from .common import mixed, powers, span_hashes, utf8, word_bounds
 
 #: Largest share of word characters inside repeated windows of so many words.
 DUPLICATE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -27,8 +26,6 @@ TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 LINES = 0.30
 LINE_CHARS = 0.20
 LEAST_WORDS = 50
-LEAST_REPEATED = 25
-LEAST_REPEATED_LINES = 3
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -56,9 +53,6 @@ def measured(text: str | None) -> dict:
     if not n:
         return out
     words = span_hashes(b, starts, ends)
-    if n >= 3:
-        grams, where, times = np.unique(gram_hashes(words, 3), return_inverse=True, return_counts=True)
-        out["n_repeat_words"] = int(_covered(np.flatnonzero(times[where] > 1), 3, n).sum())
     total = max(1, out["word_chars"])
     # lines that have a word
     cuts = np.flatnonzero(b == 10)
@@ -73,25 +67,25 @@ def measured(text: str | None) -> dict:
     out["dup_line_share"] = again.sum() / len(lo)
     out["dup_line_char_share"] = float((heads[hi] - heads[lo])[again].sum() / max(1, (heads[hi] - heads[lo]).sum()))
     worst = worst_top = 0.0
-    fine = out["n_dup_lines"] < LEAST_REPEATED_LINES or (out["dup_line_share"] <= LINES and out["dup_line_char_share"] <= LINE_CHARS)
-    for k in (*TOP, *DUPLICATE):
-        if n < k:
-            break
-        grams, at, where, times = np.unique(gram_hashes(words, k), return_index=True, return_inverse=True, return_counts=True)
-        if k in TOP:
-            most = int(times.max())
-            if most > 1:
-                inside = _covered(np.flatnonzero(where == int(np.argmax(times))), k, n)
-                share = float(chars[inside].sum() / total)
-                worst_top = max(worst_top, share)
-                fine &= share <= TOP[k] or int(inside.sum()) < LEAST_REPEATED
-        else:
+    fine = out["dup_line_share"] <= LINES and out["dup_line_char_share"] <= LINE_CHARS
+    rolled = words
+    for k in range(2, min(n, max(DUPLICATE)) + 1):
+        rolled = rolled[:-1] + words[k - 1 :] * powers(k)[k - 1]
+        grams, at, where, times = np.unique(mixed(rolled), return_index=True, return_inverse=True, return_counts=True)
+        if k == 3:
+            out["n_repeat_words"] = int(_covered(np.flatnonzero(times[where] > 1), k, n).sum())
+        if k in TOP and times.max() > 1:
+            most = np.flatnonzero(times == times.max())
+            most = most[np.argmin(at[most])]  # of equally frequent ones the first in the text
+            share = float(chars[_covered(np.flatnonzero(where == most), k, n)].sum() / total)
+            worst_top = max(worst_top, share)
+            fine &= share <= TOP[k]
+        if k in DUPLICATE:
             repeat = np.ones(len(where), dtype=bool)
             repeat[at] = False
-            inside = _covered(np.flatnonzero(repeat), k, n)
-            share = float(chars[inside].sum() / total)
+            share = float(chars[_covered(np.flatnonzero(repeat), k, n)].sum() / total)
             worst = max(worst, share)
-            fine &= share <= DUPLICATE[k] or int(inside.sum()) < LEAST_REPEATED
+            fine &= share <= DUPLICATE[k]
     out["top_gram_share"], out["dup_gram_share"] = worst_top, worst
     out["base_failed"] = n < LEAST_WORDS or 100 * out["n_repeat_words"] > 50 * n
     out["kept"] = not out["base_failed"] and bool(fine)
