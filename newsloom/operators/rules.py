@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
-from .ruleset import RuleSet, Term, phrase_pattern
+from .ruleset import RuleSet, Term, bounded, literals, phrase_pattern
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -32,21 +32,49 @@ HIT = "struct<label:string,phrase:string,strength:int,origin:string>"
 LABEL_SCORE = "struct<label:string,score:int,matches:int,strong:int,terms:array<string>>"
 
 
+_TOUCHING = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+class Finder:
+    """Spans of one phrase. A phrase of one literal is searched as such; another's pattern only where all its literals occur."""
+
+    def __init__(self, phrase: str):
+        self.parts = literals(phrase)
+        self.bounded = bounded(phrase)
+        self.pattern = re.compile(phrase_pattern(phrase))
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        if len(self.parts) > 1:
+            if all(p in text for p in self.parts):
+                yield from (m.span() for m in self.pattern.finditer(text))
+            return
+        word = self.parts[0]
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not self.bounded or (text[at - 1 : at] not in _TOUCHING and text[end : end + 1] not in _TOUCHING):
+                yield at, end
+                at = text.find(word, end)
+            else:
+                at = text.find(word, at + 1)
+
+
 class Matcher:
-    """Claims text for the terms of a rule set, longest first. Patterns are compiled once per Python worker."""
+    """Claims text for the terms of a rule set, longest first, in time linear in the text. Made once per Python worker."""
 
     def __init__(self, rules: RuleSet):
         self.terms = rules.scoring()
-        self.patterns = [re.compile(phrase_pattern(t.phrase)) for t in self.terms]
+        self.finders = [Finder(t.phrase) for t in self.terms]
         self.order = sorted(rules.direct_labels, key=lambda x: (rules.tie_priority[x], x))
 
     def hits(self, text: str) -> list[Term]:
-        taken: list[tuple[int, int]] = []
+        claimed = bytearray(len(text))
         out = []
-        for term, pattern in zip(self.terms, self.patterns):
-            free = [s for s in (m.span() for m in pattern.finditer(text)) if not any(s[0] < e and s[1] > b for b, e in taken)]
+        for term, finder in zip(self.terms, self.finders):
+            free = [s for s in finder.spans(text) if claimed.find(1, *s) < 0]
+            for begin, end in free:
+                claimed[begin:end] = b"\1" * (end - begin)
             if free:
-                taken += free
                 out.append(term)
         return out
 

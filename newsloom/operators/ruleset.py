@@ -1,7 +1,7 @@
 """Rule sets: labels, phrases and thresholds; their checks and fingerprint. Driver-side, small.
 
 A rule set is data: ``RuleSet.of`` takes records (label, phrase, strength, ...) from wherever they are
-kept, such as a JSON file that ``load`` reads. ``starter`` has a short one for Korean news topics.
+kept, such as a JSON file that ``load`` reads.
 """
 
 from __future__ import annotations
@@ -120,26 +120,25 @@ def load(path: str, **options) -> RuleSet:
         return RuleSet.of(json.load(f), **options)
 
 
+_OTHER = r"[^\W_가-힣ㄱ-ㅎㅏ-ㅣ]"
+_SEAM = re.compile(rf"\s+|(?<={_HANGUL.pattern})(?={_OTHER})|(?<={_OTHER})(?={_HANGUL.pattern})")
+
+
+def literals(phrase: str) -> list[str]:
+    """The pieces of a phrase between which white space may stand or be absent: its words, cut where Hangul meets other letters."""
+    return _SEAM.split(normalized(phrase))
+
+
+def bounded(phrase: str) -> bool:
+    """Whether a phrase must not touch ASCII letters or digits: one without Hangul."""
+    return not _HANGUL.search(normalized(phrase))
+
+
 def phrase_pattern(phrase: str) -> str:
-    """Java pattern of a phrase: white space may be absent, and may stand where Hangul meets other letters.
-
-    Only a phrase without Hangul must not touch ASCII letters or digits; this is looked at around the
-    match, which is the same as checking it afterwards unless the phrase can overlap itself (see overlaps_itself).
-    """
-    n = normalized(phrase)
-    out, before = [], ""
-    for c in n:
-        if c.isspace():
-            if out and out[-1] != r"\s*":
-                out.append(r"\s*")
-            before = ""
-            continue
-        if before and before.isalnum() and c.isalnum() and bool(_HANGUL.match(before)) != bool(_HANGUL.match(c)):
-            out.append(r"\s*")
-        out.append(re.escape(c) if not c.isalnum() else c)
-        before = c
-    body = "".join(out)
-    return body if _HANGUL.search(n) else f"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
+    """Pattern of a phrase for Java and Python. The boundary is looked at around the match, which is the same as checking it
+    afterwards unless the phrase can overlap itself (see overlaps_itself)."""
+    body = r"\s*".join(map(re.escape, literals(phrase)))
+    return rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])" if bounded(phrase) else body
 
 
 def overlaps_itself(phrase: str) -> bool:
@@ -210,36 +209,3 @@ def proposals(records: Iterable[Mapping], limit: int = 128) -> list[Term]:
         _need(r["strength"] in (WEAK, STRONG), "strength must be weak or strong")
         _need(isinstance(r["evidence_event_ids"], (list, tuple)) and all(isinstance(x, str) for x in r["evidence_event_ids"]), "evidence_event_ids must be texts")
     return [Term(r["label"], r["phrase"], r["strength"], "development", tuple(r["evidence_event_ids"])) for r in rows]
-
-
-def starter() -> RuleSet:
-    """A short rule set of the most telling phrases; a full one is loaded from records."""
-    strong = {
-        "금융/투자": "목표가 상장예비심사 투자의견 상장_첫날 공모가 증시_입성 영업이익 ai_관련주",
-        "시장/산업": "시장_규모 시장_점유율 수요_둔화 수요_회복 데이터센터_수요 패널_가격 전력난",
-        "정책/규제": "인플레이션_감축법 배터리_여권 ai_기본법 실증특례 전기요금 탄소규제 탄소_규제",
-        "생산/공급망": "공급망 양산 파운드리 oled_라인",
-        "제품/서비스": "상용화 신제품 ai_서비스 ai_검색 충전_서비스 서비스_로봇 물류_로봇 배송_로봇 청소_로봇 관수_로봇 가사_로봇 생활_로봇 전기차_충전",
-        "기업동향": "투자유치 파트너십 컨소시엄 인수 합병 수주 계약 사업_확장",
-        "노동/노사": "노동조합 단체교섭 파업 쟁의 조건_없이_대화",
-        "국제/통상": "수출통제 수출_통제 공급망_동맹 정상회담 수출_규제 수입_규제 무역장벽 글로벌_공급망",
-    }
-    weak = {
-        "금융/투자": "주가 증권 투자 수익률 매수 상장 실적 흑자 급등 상향 상승 etf ipo",
-        "시장/산업": "시장 산업 업황 수요 가격 점유율 전망 성장률",
-        "정책/규제": "정부 정책 규제 지원 제도 시행령 가이드라인 개인정보 보조금 인증 표준",
-        "생산/공급망": "생산 공장 수율 라인 조달 설비 증설 가동 부품",
-        "기술개발": "기술 연구 개발 성능 실증 추론 최적화 프로토타입 학습 특허 고도화",
-        "제품/서비스": "출시 서비스 제품 솔루션 구독 공개 도입 운영 개시 고객사",
-        "기업동향": "협력 제휴 진출 전략 조직 사업 법인 확장 채용",
-        "노동/노사": "노조 노사 임금 교섭 고용 근로자 직원",
-        "국제/통상": "미중 무역 통상 수출 수입 협상 제재 중국산_배터리",
-    }
-    context = {"기업동향": "삼성 인텔 네이버 대표", "정책/규제": "산업부 국회", "국제/통상": "미국 중국 eu 핵심광물", "생산/공급망": "양극재 리튬 소재 패널 송전망", "기술개발": "알고리즘 모델 데이터 전고체 전고체_배터리 에너지밀도 차세대 ai반도체"}
-    rows = [
-        {"label": label, "phrase": p.replace("_", " "), "strength": strength, "context_only": only}
-        for group, strength, only in ((strong, STRONG, False), (weak, WEAK, False), (context, WEAK, True))
-        for label, phrases in group.items()
-        for p in phrases.split()
-    ]
-    return RuleSet.of(rows)

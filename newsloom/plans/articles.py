@@ -1,6 +1,6 @@
 """The driver's tables seen as articles, cases and predictions; each view once for Spark and once as SQL.
 
-title: the first line, 250 characters at most; description: the second; content: the rest; keyword: lang;
+title: the first line; description: the second; content: the rest; keyword: lang;
 published: 2024-01-01 and doc_id hours. The rule set has function words of four languages as topics.
 """
 
@@ -41,14 +41,14 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("ord"), F.col("lang").alias("keyword"), "source", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("link"),
-        F.substring(F.get(lines, 0), 1, 250).alias("title"), F.coalesce(F.get(lines, 1), F.lit("")).alias("description"),
+        F.get(lines, 0).alias("title"), F.coalesce(F.get(lines, 1), F.lit("")).alias("description"),
         F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias("content"), "text",
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("published"),
     )
 
 
 ARTICLES = """articles AS (
-  SELECT doc_id AS ord, lang AS keyword, source, 'doc://' || doc_id AS link, left(string_split(text, chr(10))[1], 250) AS title,
+  SELECT doc_id AS ord, lang AS keyword, source, 'doc://' || doc_id AS link, string_split(text, chr(10))[1] AS title,
     coalesce(string_split(text, chr(10))[2], '') AS description, array_to_string(string_split(text, chr(10))[3:], chr(10)) AS content, text,
     TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published
   FROM documents)"""
@@ -127,7 +127,7 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
         F.substring(F.sha2(F.lower(F.regexp_replace("title", "\\s+", "")), 256), 1, 16).alias("event_id"), F.col("keyword").alias("gold_label"),
         F.when(F.col("quality").isNotNull(), "confirmed").otherwise("pending").alias("review_status"), F.when(F.col("quality") == 1, "reviewer").otherwise("").alias("reviewed_by"),
         F.when(F.col("toxic") == 1, "en").otherwise("").alias("suggested_label"), F.when(F.col("quality") == 1, "confirmed").otherwise("pending").alias("independent_event_check"),
-        F.substring("title", 1, 20).alias("main_event"), F.substring("description", 1, 20).alias("main_event_evidence"), "description", "content", "source",
+        F.col("title").alias("main_event"), F.col("description").alias("main_event_evidence"), "description", "content", "source",
     )
 
 
@@ -137,5 +137,5 @@ cases AS (
   SELECT a.ord, CAST(a.ord AS VARCHAR) AS id, CASE WHEN a.ord % 2 = 0 THEN 'development' ELSE 'evaluation' END AS split, a.source AS keyword, title, link,
     left(sha256(lower(regexp_replace(title, '\\s+', '', 'g'))), 16) AS event_id, a.keyword AS gold_label, CASE WHEN quality IS NOT NULL THEN 'confirmed' ELSE 'pending' END AS review_status,
     CASE WHEN quality = 1 THEN 'reviewer' ELSE '' END AS reviewed_by, CASE WHEN toxic = 1 THEN 'en' ELSE '' END AS suggested_label,
-    CASE WHEN quality = 1 THEN 'confirmed' ELSE 'pending' END AS independent_event_check, left(title, 20) AS main_event, left(description, 20) AS main_event_evidence, description, content, a.source
+    CASE WHEN quality = 1 THEN 'confirmed' ELSE 'pending' END AS independent_event_check, title AS main_event, description AS main_event_evidence, description, content, a.source
   FROM articles a LEFT JOIN known k ON a.ord = k.doc_id)"""

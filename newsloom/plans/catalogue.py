@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import values as V
-from newsloom.operators import audit, calibrate, decide, dedup, extract, metrics, pipeline, predict, ruleset
+from newsloom.operators import audit, calibrate, decide, dedup, extract, metrics, pipeline, predict
 from newsloom.operators.ruleset import FAILED, REVIEW, Policy
 from newsloom.sources import feeds, sinks
 
@@ -230,21 +230,27 @@ def dedup_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(_stories(spark, d), entities=False, fold=False).select("ord", "group_article_count", F.transform("related_articles", lambda r: r["link"]).alias("references"))
 
 
+def pairs_48h(a: DataFrame, keys: list[str], at: str, id_: str) -> DataFrame:
+    """Pairs of a's rows that agree on keys and are at most 48 hours apart, the other's columns with ``_b``. Time is cut into
+    spans of 48 hours, which are part of the join key: a key that very many rows have is spread over its spans."""
+    span = F.floor(F.unix_micros(at) / F.lit(48 * 3600 * 1_000_000))
+    left = a.withColumn("span", span)
+    right = a.select(*[F.col(c).alias(c if c in keys else f"{c}_b") for c in a.columns], F.explode(F.array(span - 1, span, span + 1)).alias("span"))
+    return left.join(right, [*keys, "span"]).where((F.col(id_) < F.col(f"{id_}_b")) & V.within_hours(F.col(at), F.col(f"{at}_b"))).drop("span")
+
+
 @query(f"""WITH {A.ARTICLES}, k AS (SELECT ord, lower(regexp_replace(title, '\\s+', '', 'g')) AS tk, source, published FROM articles)
 SELECT a.ord AS ord_a, b.ord AS ord_b, a.source = b.source AS same_source FROM k a JOIN k b ON a.tk = b.tk AND a.ord < b.ord AND a.tk <> '' AND b.published BETWEEN a.published - INTERVAL 48 HOUR AND a.published + INTERVAL 48 HOUR""")
 def same_title_48h(spark: SparkSession, d: str) -> DataFrame:
     a = A.articles(spark, d).select("ord", T.normalize_key("title", entities=False).alias("key"), "source", "published").where("key <> ''")
-    b = a.select(F.col("ord").alias("ord_b"), "key", F.col("source").alias("source_b"), F.col("published").alias("published_b"))
-    pairs = a.join(b, "key").where((F.col("ord") < F.col("ord_b")) & V.within_hours(F.col("published"), F.col("published_b")))
-    return pairs.select(F.col("ord").alias("ord_a"), "ord_b", (F.col("source") == F.col("source_b")).alias("same_source"))
+    return pairs_48h(a, ["key"], "published", "ord").select(F.col("ord").alias("ord_a"), "ord_b", (F.col("source") == F.col("source_b")).alias("same_source"))
 
 
 @query("""SELECT a.event_type, count(*) AS pairs, min(abs(epoch_us(b.ts) - epoch_us(a.ts))) AS nearest_us FROM events a JOIN events b
   ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND b.ts BETWEEN a.ts - INTERVAL 48 HOUR AND a.ts + INTERVAL 48 HOUR GROUP BY 1""")
 def event_pairs_48h(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    b = e.select(F.col("event_id").alias("id_b"), "user_id", "event_type", F.col("ts").alias("ts_b"))
-    pairs = e.join(b, ["user_id", "event_type"]).where((F.col("event_id") < F.col("id_b")) & V.within_hours(F.col("ts"), F.col("ts_b")))
+    pairs = pairs_48h(e, ["user_id", "event_type"], "ts", "event_id")
     return pairs.groupBy("event_type").agg(F.count(F.lit(1)).alias("pairs"), F.min(F.abs(F.unix_micros("ts_b") - F.unix_micros("ts"))).alias("nearest_us"))
 
 
@@ -492,10 +498,17 @@ def warning_proximity(spark: SparkSession, d: str) -> DataFrame:
     return audit.context_warnings(evidence, warnings)
 
 
-@query("SELECT a.item_id AS item_a, b.item_id AS item_b FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id AND contains(lower(b.text), lower(left(a.text, 12)))")
+OVERLAPPING = [("en", "token"), ("fr", "le monde"), ("de", "monde"), ("es", "lemonde"), ("en", "the token"), ("fr", "un token de plus"), ("es", "to ken")]
+_OV = ", ".join(f"('{a}', '{b}')" for a, b in OVERLAPPING)
+
+
+@query(f"""WITH p(label, phrase) AS (VALUES {_OV}), q AS (SELECT a.label, a.phrase, b.label AS other_label, b.phrase AS other_phrase, replace(a.phrase, ' ', '') = replace(b.phrase, ' ', '') AS same,
+  regexp_matches(a.phrase, '(^|[^a-z0-9])' || replace(b.phrase, ' ', '\\s*') || '([^a-z0-9]|$)') OR regexp_matches(b.phrase, '(^|[^a-z0-9])' || replace(a.phrase, ' ', '\\s*') || '([^a-z0-9]|$)') AS inside FROM p a CROSS JOIN p b)
+SELECT label, phrase, other_label, other_phrase, CASE WHEN same THEN 'spacing_alias' ELSE 'phrase_overlap' END AS relation FROM q WHERE same OR inside""")
 def phrase_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    b = A.table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("item_a"), F.lower(F.substring("text", 1, 12)).alias("p")).join(F.broadcast(b.select(F.col("item_id").alias("item_b"), F.lower("text").alias("t"))), (F.col("item_a") != F.col("item_b")) & F.contains("t", "p")).select("item_a", "item_b")
+    """A candidate list against itself: lists are as long as a person can review."""
+    t = audit.phrase_table(spark, OVERLAPPING)
+    return audit.phrase_relations(t, t)
 
 
 # --- stores, pages, runs ------------------------------------------------------------------------------
@@ -522,10 +535,19 @@ def explode_groups(spark: SparkSession, d: str) -> DataFrame:
     return audit.exploded_groups(stored).select(F.col("group_title").cast("long").alias("rep"), F.col("place").cast("long").alias("place"), "link")
 
 
-@query("SELECT count(*) AS pages, count(*) AS bodies FROM pages WHERE contains(html, '<article>')")
+_TEXT = "regexp_replace(block, '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
+    _TEXT = f"replace({_TEXT}, '&{_entity};', '{_char}')"
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(string_split_regex(regexp_extract(html, '<article[^>]*>((?:.|\\n)*?)</article>', 1), '</?(?:p|div|section|li|blockquote|h1|h2|h3)(?:\\s[^>]*)?>|<br\\s*/?>|[\\n\\r]')) AS block FROM pages),
+t AS (SELECT page_id, {SQUEEZED.format(_TEXT)} AS t FROM b), k AS (SELECT page_id, lower(replace(t, ' ', '')) AS k, any_value(length(t)) AS n FROM t WHERE length(t) >= 20 GROUP BY 1, 2),
+s AS (SELECT page_id, sum(n) + count(*) - 1 AS size, count(*) AS n FROM k GROUP BY 1)
+SELECT (SELECT count(*) FROM pages) AS pages, count(*) AS bodies, CAST(sum(size) AS BIGINT) AS characters, CAST(sum(n) AS BIGINT) AS blocks FROM s WHERE size >= 40""")
 def article_bodies(spark: SparkSession, d: str) -> DataFrame:
     p = A.table(spark, d, "pages").select(extract.article_body("html", F.lit(""), "url").alias("b"))
-    return p.agg(F.count(F.lit(1)).alias("pages"), F.count_if((F.col("b.method") == "ARTICLE_BLOCKS") & (F.col("b.content") != "")).alias("bodies"))
+    body = F.col("b.method") == "ARTICLE_BLOCKS"
+    return p.agg(F.count(F.lit(1)).alias("pages"), F.count_if(body).alias("bodies"), F.sum(F.when(body, F.length("b.content"))).cast("long").alias("characters"), F.sum(F.when(body, F.col("b.paragraph_count"))).cast("long").alias("blocks"))
 
 
 @query()
@@ -552,10 +574,9 @@ def summary_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(x.select(F.lit(1).alias("group_article_count"), decide.confidence_tier(F.col("pred_score"), F.col("pred_margin")).alias("confidence"), r["rule_applied"].alias("applied"), r["final_label"].alias("final_label")))
 
 
-@query("""WITH p AS (SELECT conv_id % 35 AS query_ord, row_number() OVER (PARTITION BY conv_id % 35 ORDER BY conv_id, turn) - 1 AS place, left(sha256(text), 16) AS event_id, conv_id, turn FROM conversations),
-a AS (SELECT *, row_number() OVER (PARTITION BY query_ord, event_id ORDER BY place) AS n FROM p WHERE place < 40), b AS (SELECT *, row_number() OVER (PARTITION BY query_ord ORDER BY place) AS pick FROM a WHERE n = 1),
-c AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pick, query_ord) AS m FROM b) SELECT query_ord, pick, event_id FROM c WHERE m = 1 ORDER BY pick, query_ord LIMIT 180""")
+@query()
 def round_robin_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Each pick depends on those before: no SQL; tests compare with a plain loop."""
     c = A.table(spark, d, "conversations").withColumns({"query_ord": F.col("conv_id") % 35, "event_id": F.substring(F.sha2("text", 256), 1, 16)})
     c = c.withColumn("place", F.row_number().over(Window.partitionBy("query_ord").orderBy("conv_id", "turn")) - 1)
     return feeds.round_robin(c, 40, 180).select("query_ord", F.col("turn").cast("long").alias("pick"), "event_id")
@@ -588,6 +609,3 @@ def full_run(spark: SparkSession, d: str) -> DataFrame:
     out = pipeline.run(_stories(spark, d), s, created_at="2024-01-01T00:00:00+00:00")
     return sinks.result_rows(out.rows)
 
-
-#: The package's own short rule set, for whoever has articles in Korean.
-STARTER = ruleset.starter

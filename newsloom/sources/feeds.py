@@ -5,9 +5,11 @@ A connector that does is a ``Source``: it lands what it fetched as files, and qu
 
 from __future__ import annotations
 
+import heapq
 import json
 from abc import ABC, abstractmethod
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -133,40 +135,41 @@ def load_cases(path: str, fields: list[str]) -> list[dict[str, str]]:
     return cases
 
 
+PICKED = "query_ord long, place long, event_id string, turn long"
+
+
+def _picked(target: int):
+    """Picks from a frame of (query_ord, place, event_id): a heap holds for each query the turn it is at and its next place."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["query_ord", "place"]).drop_duplicates(["query_ord", "event_id"])
+        pools = {q: iter(list(zip(g["place"], g["event_id"]))) for q, g in frame.groupby("query_ord")}
+        waiting = [(1, q) for q in sorted(pools)]
+        met: set[str] = set()
+        out: list[tuple] = []
+        while waiting and len(out) < target:
+            turn, q = heapq.heappop(waiting)
+            found = next((x for x in pools[q] if x[1] not in met), None)
+            if found is not None:
+                met.add(found[1])
+                out.append((q, found[0], found[1], turn))
+                heapq.heappush(waiting, (turn + 1, q))
+        return pd.DataFrame(out, columns=["query_ord", "place", "event_id", "turn"])
+
+    return run
+
+
 def round_robin(df: DataFrame, per_query: int, target: int) -> DataFrame:
-    """Articles picked in turn from each query's pool, at most ``target`` and one per event.
+    """Articles picked in turn from each query's pool, at most ``target`` and one per event, with the turn they were picked in.
 
-    df: query_ord, place, event_id, ... An event belongs to the turn and query where it is met first; duplicates
-    inside a pool are left out before turns are counted, those between pools are met in (turn, query) order.
+    df: query_ord, place, event_id, ... In its turn a query gives its first article whose event was not picked before, so an
+    event met earlier costs no turn. Picks depend on one another: they are made in one task, from three columns of at most
+    ``per_query`` rows of each query.
     """
-    from pyspark.sql import Window
-
-    pool = df.where(F.col("place") < per_query)
-    first = pool.withColumn("n", F.row_number().over(Window.partitionBy("query_ord", "event_id").orderBy("place"))).where("n = 1")
-    turn = first.withColumn("turn", F.row_number().over(Window.partitionBy("query_ord").orderBy("place")))
-    once = turn.withColumn("n", F.row_number().over(Window.partitionBy("event_id").orderBy("turn", "query_ord"))).where("n = 1")
-    return once.drop("n").orderBy("turn", "query_ord").limit(target)
-
-
-def collect_in_turn(df: DataFrame, per_query: int, target: int) -> list[dict]:
-    """The exact sequential pick, on the driver: for a few dozen queries of at most a hundred articles each."""
-    rows = [r.asDict() for r in df.where(F.col("place") < per_query).orderBy("query_ord", "place").limit(100_000).collect()]
-    pools: dict[int, list[dict]] = {}
-    for r in rows:
-        pools.setdefault(r["query_ord"], []).append(r)
-    seen: set[str] = set()
-    out: list[dict] = []
-    while len(out) < target and any(pools.values()):
-        for pool in pools.values():
-            while pool:
-                r = pool.pop(0)
-                if r["event_id"] not in seen:
-                    seen.add(r["event_id"])
-                    out.append(r)
-                    break
-            if len(out) >= target:
-                break
-    return out
+    pool = df.where(F.col("place") < per_query).select(F.col("query_ord").cast("long").alias("query_ord"), F.col("place").cast("long").alias("place"), "event_id")
+    picks = pool.groupBy(F.lit(0).alias("all")).applyInPandas(_picked(target), PICKED)
+    rest = df.withColumns({"query_ord": F.col("query_ord").cast("long"), "place": F.col("place").cast("long")})
+    return rest.join(picks, ["query_ord", "place", "event_id"])
 
 
 def fetch_outcome(failure: Column, http_status: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators import decide, rules
-from newsloom.operators.ruleset import FAILED, REVIEW, Policy, RuleSet, Term, normalized, phrase_pattern, proposals, starter, validate
+from newsloom.operators.ruleset import FAILED, REVIEW, Policy, RuleSet, Term, normalized, phrase_pattern, proposals, validate
 
 
 def rank(spark, texts, rs):
@@ -16,9 +16,36 @@ def rank(spark, texts, rs):
     return [{x["label"]: x for x in r["ranking"]} for r in out], out
 
 
+def topics():
+    """A few phrases for each topic that the articles below speak of: (label, strong ones, weak ones)."""
+    few = [
+        ("국제/통상", ["글로벌 공급망"], ["무역"]), ("생산/공급망", ["공급망"], ["공장"]), ("시장/산업", ["시장 점유율"], ["시장", "산업"]), ("정책/규제", ["탄소 규제", "정책"], []),
+        ("기업동향", ["투자유치"], ["사업"]), ("금융/투자", ["공모가"], ["투자"]), ("노동/노사", ["노동조합", "파업"], ["임금"]), ("기술개발", [], ["기술", "연구", "개발"]),
+    ]
+    return RuleSet.of([{"label": label, "phrase": p, "strength": 2 if p in strong else 1} for label, strong, weak in few for p in strong + weak])
+
+
+def test_spellings_match_with_and_without_spaces():
+    finder = rules.Finder("ai 관련주")
+    assert [list(finder.spans(t)) for t in ("xai관련주", "ai  관련주 ai관련주", "ai 관련")] == [[(1, 6)], [(0, 7), (8, 13)], []]
+    assert list(rules.Finder("aa").spans("aa aaa aa")) == [(0, 2), (7, 9)] and list(rules.Finder("가가").spans("가가가가")) == [(0, 2), (2, 4)]
+
+
+def test_a_long_text_takes_linear_time():
+    import time
+
+    matcher = rules.Matcher(RuleSet.of([{"label": "x" if i % 2 else "y", "phrase": w} for i, w in enumerate(["the", "of", "and", "on"])], labels=("x", "y", "other"), tie_priority={"x": 1, "y": 2}, other_label="other", technology_label="x"))
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        matcher.hits("the end of it and on " * (n // 21))
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.001)
+
+
 def test_longest_phrase_claims_its_text(spark):
     texts = ["글로벌 공급망 재편", "AI 시장 점유율 확대", "AI 시장 점유율 확대 시장 점유율", "탄소 규제 시행", "탄소규제 시행", "AI 스타트업 투자유치 성공", "정부가 ＡＩ 정책을 발표했다"]
-    got, _ = rank(spark, texts, starter())
+    got, _ = rank(spark, texts, topics())
     assert got[0]["국제/통상"]["score"] == 2 and got[0]["생산/공급망"]["score"] == 0
     assert got[1]["시장/산업"]["score"] == 2 and got[1]["시장/산업"]["terms"] == ["시장 점유율"] == got[2]["시장/산업"]["terms"]
     assert got[3]["정책/규제"]["score"] == got[4]["정책/규제"]["score"] == 2
@@ -68,7 +95,7 @@ def decided(spark, rs, rows, **kw):
 
 
 def test_decision_table(spark):
-    rs = starter()
+    rs = topics()
     got = decided(spark, rs, [
         ("기술", FAILED, 0.0, 0.0), ("무관", "스포츠", 0.55, 0.08), ("노동조합 파업 임금", "기술개발", 0.9, 0.5), ("노동조합 파업 임금", "스포츠", 0.9, 0.5),
         ("파업", "스포츠", 0.3, 0.01), ("연구", "스포츠", 0.45, 0.2), ("아무것도", "스포츠", 0.3, 0.2), ("아무것도", "스포츠", 0.52, 0.06), ("연구 시장", "스포츠", 0.3, 0.01), ("연구 개발 시장 산업", "스포츠", 0.3, 0.01),
@@ -91,7 +118,7 @@ def test_conflict_and_unrelated(spark):
 
 
 def test_anchor_holds_a_body_only_match(spark):
-    rs = starter()
+    rs = topics()
     df = spark.createDataFrame([(1, "제목", "", "첫 문장. 둘째 문장. 파업 노동조합 교섭.")], "i long, title string, description string, content string")
     out = decide.with_anchor(rules.rank_articles(df, rs), rs).withColumns({"pred_label": F.lit("스포츠"), "pred_score": F.lit(0.3), "pred_margin": F.lit(0.0)})
     r = out.select(decide.decision(rs).alias("a"), decide.decision(rs, anchored=F.col("anchored")).alias("b")).first()
@@ -99,7 +126,7 @@ def test_anchor_holds_a_body_only_match(spark):
 
 
 def test_relaxed_policy_says_why(spark):
-    rs = starter()
+    rs = topics()
     df = spark.createDataFrame([("무관", "스포츠", 0.42, 0.03, "")], "t string, pred_label string, pred_score double, pred_margin double, content string")
     out = rules.rank(df.withColumn("rule_text", F.col("t")), F.col("rule_text"), rs)
     relaxed = Policy(ambiguity_score=0.41, ambiguity_margin=0.02, review_model_score=0.40)

@@ -1,6 +1,7 @@
 """Metrics, calibration, stores and gates on fixed values."""
 
 import csv
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,20 @@ def test_gates(spark, tmp_path):
 
 
 def test_round_robin(spark):
-    rows = [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c"), (2, 0, "d")]
-    df = spark.createDataFrame(rows, "query_ord int, place int, event_id string")
-    assert [r["event_id"] for r in feeds.collect_in_turn(df, 40, 10)] == ["a", "c", "d", "b"]
+    def picked(rows, target=10):
+        df = spark.createDataFrame(rows, "query_ord int, place int, event_id string")
+        return [r["event_id"] for r in feeds.round_robin(df, 40, target).orderBy("turn", "query_ord").collect()]
+
+    assert picked([(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c"), (2, 0, "d")]) == ["a", "c", "d", "b"]
+    r = random.Random(2)
+    rows = [(q, k, f"e{r.randrange(40)}") for q in range(6) for k in range(r.randrange(12))]
+    queues, seen, want = {q: [e for p, _, e in rows if p == q] for q in range(6)}, set(), []
+    while any(queues.values()):  # a plain loop: each query gives its first event that was not met
+        for queue in queues.values():
+            while queue:
+                e = queue.pop(0)
+                if e not in seen:
+                    seen.add(e)
+                    want.append(e)
+                    break
+    assert picked(rows, 100) == want and picked(rows, 7) == want[:7]
