@@ -23,8 +23,8 @@ def ship(spark: SparkSession) -> None:
             for name in sorted(names):
                 if name.endswith(".py"):
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
-        for name in ("corpus_pipeline.py",):
-            if os.path.exists(os.path.join(top, name)):
+        for name in sorted(os.listdir(top)):  # modules beside the package, if there are any
+            if name.endswith(".py") and not name.startswith("_") and os.path.isfile(os.path.join(top, name)):
                 z.write(os.path.join(top, name), name)
     context.addPyFile(path)
     context._newsloom_shipped = True
