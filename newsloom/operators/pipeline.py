@@ -58,12 +58,16 @@ def with_input(df: DataFrame) -> DataFrame:
 
 
 def classified(df: DataFrame, s: Settings) -> DataFrame:
-    """df (articles) with pred_*, ranking and decision."""
+    """df (articles) with pred_*, ranking and decision.
+
+    Written out after predictions and ranking, and again after decisions: a filter or column on the decision would otherwise repeat all
+    that it is made of wherever it is read.
+    """
     out = s.classifier(with_input(df))
     cleaned = out.withColumn("raw_description", F.col("description")).withColumn("description", T.article_description("title", "description", "source"))
-    ranked = rules.rank_articles(cleaned, s.rules)
+    ranked = dedup.written(rules.rank_articles(cleaned, s.rules))
     decided = ranked.withColumn("decision", decide.post_processed(s.rules, s.relaxed, s.input_mode))
-    return decided.withColumn("description", F.col("raw_description")).drop("raw_description", "rule_text", "hits", "ranking", "rule_margin", "tied_labels")
+    return dedup.written(decided.withColumn("description", F.col("raw_description")).drop("raw_description", "rule_text", "hits", "ranking", "rule_margin", "tied_labels"))
 
 
 def retry_status(enabled: bool, has_pages: bool, changed: Column) -> Column:
@@ -87,7 +91,7 @@ def retried(df: DataFrame, s: Settings, pages: DataFrame | None, already: bool =
     rest = rest.withColumn("retry", F.lit(None).cast("string"))
     old = held.withColumns({"old_content": F.col("content"), "old_input": F.col(INPUT), "first": F.struct("pred_label", "pred_score", "pred_margin", "decision"), "already": F.lit(already)})
     if pages is not None:
-        old = extract.enriched(old, pages)
+        old = dedup.written(extract.enriched(old, pages))
     else:
         old = old.withColumns({"enrichment_status": F.lit(None).cast("string"), "http_status": F.lit(None).cast("int"), "extraction": F.lit(None).cast("struct<content:string,method:string,reason:string,paragraph_count:int,candidate_count:int>")})
     old = with_input(old).withColumn("retry_status", retry_status(s.retry, pages is not None, F.col(INPUT) != F.col("old_input")))
@@ -106,12 +110,12 @@ def retried(df: DataFrame, s: Settings, pages: DataFrame | None, already: bool =
 def run(articles: DataFrame, s: Settings, pages: DataFrame | None = None, created_at: str = "") -> Result:
     """articles: ord and the article columns. pages: fetched pages (url, html), for bodies."""
     named = articles.withColumn("title", T.strip_source_suffix("title", "source", s.entities))
-    groups = dedup.deduplicate(named, s.entities)
+    groups = dedup.written(dedup.deduplicate(named, s.entities))
     if groups.isEmpty():
         return Result("NO_RESULTS", None)
     if s.enrich_all and pages is not None:
         groups = extract.enriched(groups, pages).drop("enrichment_status", "http_status", "extraction")
-    first = classified(groups.drop("group_article_count"), s).persist()
+    first = classified(groups.drop("group_article_count"), s)
     problems = predict.check(first, s.labels or list(s.rules.labels)).first()
     if problems["failed"] == problems["rows"] or problems["unknown_labels"] or problems["bad_scores"]:
         return Result("MODEL_ERROR", first, f"{problems.asDict()}")

@@ -602,10 +602,14 @@ def centroid_prediction(spark: SparkSession, d: str) -> DataFrame:
     return predict.with_prediction(e, *predict.centroid_scores(e, "embedding", centroids)).select("vec_id", F.col("label").cast("string").alias("gold"), "pred_label", F.round("pred_score", 6).alias("pred_score"))
 
 
+@query()
 def full_run(spark: SparkSession, d: str) -> DataFrame:
-    """The whole composition to result rows, with deterministic predictions."""
+    """The whole composition to result rows, with predictions by word shares; what is held for review is retried with the body of the page
+    of its number. Made of ordered grouping, HTML and text functions that SQL lacks: a test holds its rows against what each step promises."""
     classifier = lambda df: predict.by_shares(df, F.lower(T.squeezed(pipeline.INPUT)), A.MODEL_WORDS)
     s = pipeline.Settings(A.rule_set(), classifier, A.LABELS, entities=False)
-    out = pipeline.run(_stories(spark, d), s, created_at="2024-01-01T00:00:00+00:00")
+    address = lambda i: F.concat(F.lit("https://news.example/"), F.col(i).cast("string"))
+    pages = A.table(spark, d, "pages").select(address("page_id").alias("url"), "html")
+    out = pipeline.run(_stories(spark, d).withColumn("link", address("ord")), s, pages, created_at="2024-01-01T00:00:00+00:00")
     return sinks.result_rows(out.rows)
 
