@@ -536,7 +536,7 @@ def explode_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TEXT = "regexp_replace(block, '<[^>]*>', ' ', 'g')"
-for _entity, _char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
+for _entity, _char in 2 * (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):  # by the parser, and by clean_text
     _TEXT = f"replace({_TEXT}, '&{_entity};', '{_char}')"
 
 
