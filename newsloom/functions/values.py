@@ -120,7 +120,11 @@ def is_public_url(s: pd.Series) -> pd.Series:
     return s.map(public_url, na_action=None)
 
 
-def publisher_url(c: Column, aggregators: tuple[str, ...] = ("news.google.com", "google.com", "www.google.com")) -> Column:
+# Hosts whose addresses are no publisher's.
+AGGREGATORS = ("news.google.com", "consent.google.com", "www.google.com", "google.com")
+
+
+def publisher_url(c: Column, aggregators: tuple[str, ...] = AGGREGATORS) -> Column:
     return looks_public(c) & ~url_host(c).isin(*aggregators)
 
 

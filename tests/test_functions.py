@@ -1,5 +1,6 @@
 """Text, date, URL and extraction functions on fixed values."""
 
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,4 +58,9 @@ def test_extraction_branches():
     story = 'Fusion.globalContent={"type":"story","website_url":"/a","headlines":{"basic":"T"},"content_elements":[{"type":"text","content":"%s"}]}' % BODY
     assert got(f"<script>{story}</script>", title="T", url="https://x.example/a")[0] == "ARC_STORY_JSON"
     assert extract.extract(f"<article>{'x' * 39}</article>")[0] == "" and extract.extract(f"<article>{'x' * 40}</article>")[0] != ""
-    assert extract.lookup_target('[["wrb.fr","x","[\\"garturlres\\",\\"https://p.example/a\\"]"]]') == "https://p.example/a"
+    row = lambda method, url: ["wrb.fr", method, json.dumps(["garturlres", url])]
+    told = lambda *rows: ")]}'\n\n123\n" + json.dumps(rows)
+    good = row("Fbv4je", "https://p.example/a")
+    assert extract.lookup_target(told(good)) == "https://p.example/a"
+    for none in (told(row("x", "https://p.example/a")), told(good, good), told(row("Fbv4je", "https://consent.google.com/a")), told(row("Fbv4je", "http://10.0.0.1/a")), "[1", "", None):
+        assert extract.lookup_target(none) == ""

@@ -1,0 +1,136 @@
+"""Connectors over a transport that answers from a table."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import values as V
+from newsloom.operators import extract
+from newsloom.sources import feeds, web
+
+ID = "CBMiAbCdEfGhIjKl"
+WRAPPED = f"https://news.google.com/rss/articles/{ID}?oc=5"
+
+
+class Site:
+    """Answers by address: a Reply, an exception, or none (404)."""
+
+    def __init__(self, answers):
+        self.answers, self.asked = answers, []
+
+    def __call__(self, method, url, data, headers, seconds, follow):
+        self.asked.append((method, url))
+        got = self.answers.get(url, web.Reply(404))
+        if isinstance(got, Exception):
+            raise got
+        return web.Reply(got.code, got.text, got.url or url, got.headers)
+
+
+def client(answers, where=("8.8.8.8",)):
+    return web.Client(transport=Site(answers), resolve=lambda host, port: list(where))
+
+
+@pytest.mark.parametrize("answer", [web.Reply(200, "x"), *map(web.Reply, (401, 403, 429, 451, 404, 500)), TimeoutError(), OSError("gone")])
+def test_statuses_agree_with_the_column(spark, answer):
+    got = client({"https://a.example/": answer}).get("https://a.example/")
+    failure = "" if isinstance(answer, web.Reply) else "timeout" if isinstance(answer, TimeoutError) else "other"
+    code = answer.code if isinstance(answer, web.Reply) else None
+    assert got.status == spark.range(1).select(V.fetch_status(F.lit(failure), F.lit(code).cast("int"))).first()[0]
+    assert got.http_status == code and (got.reply is not None) == (got.status == "SUCCESS")
+
+
+def test_public_requests_check_every_hop():
+    to = lambda url: web.Reply(302, headers={"location": url})
+    hops = {f"https://a.example/{i}": to(f"/{i + 1}") for i in range(9)}
+    assert client(hops | {"https://a.example/4": web.Reply(200, "end")}).get_public("https://a.example/0").reply.text == "end"
+    c = client(hops)
+    assert (c.get_public("https://a.example/0").status, len(c.transport.asked)) == ("REDIRECT_LIMIT", 5)
+    c = client({"https://a.example/": to("http://127.0.0.1/admin")})
+    assert c.get_public("https://a.example/").status == "UNSAFE_URL" and len(c.transport.asked) == 1
+    assert client({"https://a.example/": web.Reply(302)}).get_public("https://a.example/").status == "REDIRECT_LIMIT"
+    assert client({"https://a.example/": web.Reply(304)}).get_public("https://a.example/").status == "HTTP_ERROR"
+    for inside in (["10.0.0.1"], ["8.8.8.8", "::1"], []):
+        c = client({}, inside)
+        assert c.get_public("https://a.example/").status == "UNSAFE_URL" and not c.transport.asked
+
+
+def test_a_host_that_is_not_found_is_not_public():
+    def fails(host, port):
+        raise OSError("no such host")
+
+    assert not web.Client(resolve=fails).is_public("https://a.example/")
+
+
+def test_lookups_are_never_redirected():
+    c = client({web.LOOKUP: web.Reply(302, headers={"location": "https://a.example/"})})
+    assert c.look_up({}).status == "HTTP_ERROR" and c.transport.asked == [("POST", web.LOOKUP)]
+
+
+def page(**attrs):
+    return f'<div {" ".join(f"{k.replace("_", "-")}={json.dumps(str(v))}" for k, v in attrs.items())}></div>'
+
+
+def found(url):
+    return web.Reply(200, ")]}'\n" + json.dumps([["wrb.fr", "Fbv4je", json.dumps(["garturlres", url])]]))
+
+
+def test_resolver_takes_what_the_page_states():
+    c = client({})
+    html = '<a href="https://other.example/"></a><link rel="canonical" href="https://news.google.com/x"><meta property="og:url" content="https://p.example/a">'
+    assert web.Resolver(c).resolve(WRAPPED, html) == web.Resolution("HTML_SOURCE_URL", "https://p.example/a", 200)
+    assert not c.transport.asked
+    for other in ("https://a.example/rss/articles/" + ID, "https://news.google.com/home", "https://news.google.com/articles/short"):
+        assert web.Resolver(c).resolve(other, html) == web.Resolution()
+
+
+def test_resolver_asks_the_lookup_for_signed_pages_and_remembers():
+    c = client({web.LOOKUP: found("https://p.example/a")})
+    r = web.Resolver(c, most=1)
+    html = page(data_n_a_sg="s", data_n_a_ts="17", data_n_a_id=ID)
+    assert r.resolve(WRAPPED, html) == r.resolve(WRAPPED, "") == web.Resolution("GOOGLE_RPC_SOURCE_URL", "https://p.example/a", 200)
+    assert len(c.transport.asked) == 1
+    second = WRAPPED.replace(ID, ID + "2")
+    r.resolve(second, page(data_n_a_sg="s", data_n_a_ts="17"))
+    assert list(r.known) == [ID + "2"]
+    form = json.loads(json.loads(web.lookup_form(ID, "s", "17")["f.req"])[0][0][1])
+    assert (form[0], form[2:]) == ("garturlreq", [ID, 17, "s"])
+    for bad in (page(data_n_a_sg="", data_n_a_ts="17"), page(data_n_a_sg="s", data_n_a_ts="x"), page(data_n_a_sg="s", data_n_a_ts="17", data_n_a_id="other")):
+        assert web.Resolver(c).resolve(WRAPPED, bad).status == "SOURCE_URL_UNRESOLVED"
+    refused = web.Resolver(client({web.LOOKUP: web.Reply(429)}))
+    assert refused.resolve(WRAPPED, html) == web.Resolution("BLOCKED_HTTP", "", 429) and not refused.known
+
+
+@pytest.mark.parametrize("reply, status", [
+    (web.Reply(200, "", "https://p.example/a"), "HTTP_SOURCE_REDIRECT"), (web.Reply(200, "", "https://consent.google.com/x"), "CONSENT_OR_BLOCK_PAGE"),
+    (web.Reply(200, "nothing"), "SOURCE_URL_UNRESOLVED"), (web.Reply(403), "BLOCKED_HTTP"), (web.Reply(200, page(data_n_a_sg="s", data_n_a_ts="1")), "GOOGLE_RPC_SOURCE_URL"),
+])
+def test_resolver_falls_back_on_one_other_page(reply, status):
+    c = client({web.FALLBACK.format(ID): reply, web.LOOKUP: found("https://p.example/a")})
+    got = web.Resolver(c).resolve(WRAPPED, "")
+    assert got.status == status and (got.url == "https://p.example/a") == (status in ("HTTP_SOURCE_REDIRECT", "GOOGLE_RPC_SOURCE_URL"))
+
+
+def test_pages_are_fetched_in_tasks_and_read_by_enriched(spark):
+    body = "<article><p>" + "The council approved the new harbour plan on Monday after a long debate. " * 3 + "</p></article>"
+
+    def made():
+        return client({"https://p.example/a": web.Reply(200, body), WRAPPED: web.Reply(200, '<link rel="canonical" href="https://p.example/a">'), "https://p.example/b": web.Reply(403)})
+
+    links = ["https://p.example/a", "https://p.example/a", WRAPPED, "https://p.example/b", "http://127.0.0.1/", "", None]
+    got = {r["url"]: r for r in web.fetch_pages(spark.createDataFrame([(x,) for x in links], "url string"), made, 2).collect()}
+    assert {u: (r["status"], r["http_status"]) for u, r in got.items()} == {"https://p.example/a": ("SUCCESS", 200), WRAPPED: ("SUCCESS", 200), "https://p.example/b": ("BLOCKED_HTTP", 403), "http://127.0.0.1/": ("UNSAFE_URL", None)}
+    articles = spark.createDataFrame([(u, "t", "") for u in got], "link string, title string, content string")
+    told = {r["link"]: r for r in extract.enriched(articles, spark.createDataFrame(list(got.values()), web.PAGE)).collect()}
+    assert told[WRAPPED]["enrichment_status"] == "BODY_EXTRACTED" and told[WRAPPED]["content"].startswith("The council") and told["https://p.example/b"]["enrichment_status"] == "BLOCKED_HTTP"
+
+
+def test_search_feed_is_landed_and_read(spark, tmp_path):
+    xml = '<rss><channel><item><title>One</title>\n<link>https://p.example/1</link></item><item><title>Two</title><link>https://p.example/2</link></item></channel></rss>'
+    url = spark.range(1).select(V.search_url(F.lit("harbour"))).first()[0]
+    got = web.SearchFeeds(str(tmp_path), client({url: web.Reply(200, xml)})).fetch(spark, "harbour", 1)
+    assert [(r["keyword"], r["title"], r["link"]) for r in got.collect()] == [("harbour", "One", "https://p.example/1")]
+    with pytest.raises(feeds.NetworkError):
+        web.SearchFeeds(str(tmp_path), client({})).fetch(spark, "harbour")
+    with pytest.raises(feeds.FeedError):
+        web.SearchFeeds(str(tmp_path), client({url: web.Reply(200, " ")})).fetch(spark, "harbour")
