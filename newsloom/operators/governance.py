@@ -7,7 +7,7 @@ import json
 import math
 import os
 import tempfile
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame
@@ -150,13 +150,12 @@ def write_new_json(path: str, value) -> None:
         f.write(text + "\n")
 
 
-def replace_json(path: str, value) -> None:
-    """Write a profile whole or not at all."""
-    text = json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False)
+def replace_text(path: str, parts: Iterable[str]) -> None:
+    """Write a file whole or not at all."""
     handle, name = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
+            f.writelines(parts)
             f.flush()
             os.fsync(f.fileno())
         os.replace(name, path)
@@ -165,6 +164,11 @@ def replace_json(path: str, value) -> None:
         raise
 
 
+def replace_json(path: str, value) -> None:
+    """Write a profile whole or not at all."""
+    replace_text(path, [json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False), "\n"])
+
+
 def file_sha256(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
@@ -188,9 +192,9 @@ def thresholds(t: Mapping) -> tuple[tuple[float, float], tuple[float, float]]:
     return (t["high_score"], t["high_margin"]), (t["medium_score"], t["medium_margin"])
 
 
-def bindings(rules: RuleSet, model: str, input_mode: str, dataset_sha256: str) -> dict:
+def bindings(rules: RuleSet, model: str, input_mode: str = "") -> dict:
     """What a profile depends on; loading it under others is refused."""
-    return {"rules": rules.fingerprint(), "labels": list(rules.labels), "model": model, "input_mode": input_mode, "dataset": dataset_sha256}
+    return {"rules": rules.fingerprint(), "labels": list(rules.labels), "model": model, "input_mode": input_mode}
 
 
 def decision_profile(policy: Policy, evidence: Mapping, bound: Mapping) -> dict:

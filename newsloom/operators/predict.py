@@ -62,6 +62,27 @@ def batched(load: Callable[[], Scorer], text: str, batch: int = BATCH) -> Callab
     return predict
 
 
+def zero_shot(load: Callable[[], Callable], labels: list[str], described: dict[str, str] | None = None, template: str = HYPOTHESIS, batch: int = BATCH) -> Callable[[], Scorer]:
+    """A load() for batched() from one that gives an entailment pipeline: called with sequences, candidate_labels, hypothesis_template,
+    multi_label and batch_size, it returns for each text its labels and scores. Each label is asked for by its description; without
+    descriptions by its own short name."""
+    asked = [(described or {}).get(x, x) for x in labels]
+    if not labels or len(set(labels)) < len(labels) or len(set(asked)) < len(asked) or not all(x.strip() for x in asked):
+        raise ValueError("labels and their descriptions must be there, not blank and different")
+    named = dict(zip(asked, labels))
+
+    def made() -> Scorer:
+        model = load()
+
+        def score(texts: list[str]) -> list[dict[str, float]]:
+            found = model(sequences=texts, candidate_labels=asked, hypothesis_template=template, multi_label=False, batch_size=batch)
+            return [dict(zip([named[x] for x in one["labels"]], one["scores"], strict=True)) for one in ([found] if isinstance(found, dict) else found)]
+
+        return score
+
+    return made
+
+
 def by_shares(df: DataFrame, text: Column, words: dict[str, list[str]]) -> DataFrame:
     """df with predictions: each label's share of the listed words in a lower-case text, in the JVM. No such word: zeros."""
     # a word is what stands between spaces: padded, so that neighbours don't share the space

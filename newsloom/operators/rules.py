@@ -123,6 +123,11 @@ def rank_articles(df: DataFrame, rules: RuleSet) -> DataFrame:
     return rank(df.withColumn("rule_text", joined), F.col("rule_text"), rules)
 
 
+def ranked_once(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """rank_articles, unless df has a ranking already, which must be of the same rules and texts."""
+    return df if {"rule_text", "hits", "ranking", "rule_margin"} <= set(df.columns) else rank_articles(df, rules)
+
+
 def score_for(ranking: Column, label: str) -> Column:
     return F.get(F.filter(ranking, lambda x: x["label"] == label), 0)
 

@@ -116,8 +116,17 @@ class RuleSet:
 
 
 def load(path: str, **options) -> RuleSet:
+    """A rule set from a JSON file: a list of records, or an object with them under rules and other fields of RuleSet beside."""
     with open(path, encoding="utf-8") as f:
-        return RuleSet.of(json.load(f), **options)
+        p = json.load(f)
+    if isinstance(p, list):
+        return RuleSet.of(p, **options)
+    given = {k: tuple(v) if isinstance(v, list) else v for k, v in p.items() if k != "rules"}
+    if "policy" in given:
+        given["policy"] = Policy(**given["policy"])
+    if "unrelated_groups" in given:
+        given["unrelated_groups"] = tuple(map(tuple, given["unrelated_groups"]))
+    return RuleSet.of(p["rules"], **(given | {"no_override": frozenset(given.get("no_override", ()))} | options))
 
 
 _OTHER = r"[^\W_가-힣ㄱ-ㅎㅏ-ㅣ]"

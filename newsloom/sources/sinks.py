@@ -23,15 +23,17 @@ ADDED = {
 }
 
 
-def result_rows(df: DataFrame) -> DataFrame:
-    """The 27 result columns of decided articles: article columns, pred_*, decision (a struct), created_at, related_articles, retry (JSON text or null)."""
+def result_rows(df: DataFrame, tiers: tuple[tuple[float, float], tuple[float, float]] = ((0.70, 0.10), (0.50, 0.05))) -> DataFrame:
+    """The 27 result columns of decided articles: article columns, pred_*, decision (a struct), created_at, related_articles, retry (JSON text or null).
+
+    tiers: score and margin of high and of medium confidence."""
     d = F.col("decision")
     applied = d["rule_applied"]
     refs = F.coalesce("related_articles", F.array().cast("array<struct<title:string,source:string,published_at:string,link:string>>"))
     own = {
         "classification_text": T.model_input(T.clean_text("title"), T.article_description("title", "description", "source"), T.clean_text("content")),
         "model_category": F.col("pred_label"), "model_category_score": F.round("pred_score", 4), "model_confidence": F.round("pred_score", 4),
-        "model_confidence_level": decide.confidence_tier(F.col("pred_score"), F.col("pred_margin")), "score_margin": F.round("pred_margin", 4), "final_category": d["final_label"],
+        "model_confidence_level": decide.confidence_tier(F.col("pred_score"), F.col("pred_margin"), *tiers), "score_margin": F.round("pred_margin", 4), "final_category": d["final_label"],
         "decision_source": decide.decision_source(d["final_label"], applied), "review_required": decide.review_required(d["final_label"]), "final_decision_status": decide.decision_status(d["final_label"]),
         "rule_applied": F.when(applied, "Y").otherwise("N"), "rule_reason": d["rule_reason"], "rule_best_label": d["rule_best_label"], "rule_match_count": d["rule_match_count"],
         "top3_labels": F.array_join("pred_top_labels", ", "), "top3_scores": V.score_text(F.col("pred_top_scores")), "group_article_count": F.size(refs) + 1, "related_articles": F.to_json(refs),
@@ -45,10 +47,10 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("published_at").desc_nulls_last())
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """One CSV file with the result columns, byte order mark first, whole or not at all; the folder must exist.
+def write_table(df: DataFrame, path: str) -> str:
+    """One CSV file with a header, byte order mark first, whole or not at all; the folder must exist.
 
-    Rows are sorted in the cluster and stream through the driver one partition at a time.
+    Rows are made in the cluster and stream through the driver one partition at a time.
     """
     import csv
 
@@ -59,8 +61,8 @@ def write_csv(df: DataFrame, path: str) -> str:
     try:
         with os.fdopen(handle, "w", encoding="utf-8-sig", newline="") as f:
             out = csv.writer(f)
-            out.writerow(RESULT)
-            for row in newest_first(df.select(*RESULT)).toLocalIterator():
+            out.writerow(df.columns)
+            for row in df.toLocalIterator():
                 out.writerow(["" if x is None else x for x in row])
             f.flush()
             os.fsync(f.fileno())
@@ -71,6 +73,11 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_csv(df: DataFrame, path: str) -> str:
+    """The result columns, newest first."""
+    return write_table(newest_first(df.select(*RESULT)), path)
+
+
 def write_csv_parts(df: DataFrame, path: str) -> None:
     """The same rows as part files, for tables that are too large for one."""
     newest_first(df.select(*RESULT)).write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
