@@ -167,17 +167,24 @@ class WaveletFile:
         return value
 
 
-FILES = "shard int, file_name string, n_docs long, n_tokens long, payload binary"
+FILES = "shard int, part int, file_name string, n_docs long, n_tokens long, payload binary"
+#: Ids held for one file, two bytes each; a range of documents that has more goes on in the next file.
+IDS_A_FILE = 16 << 20
+#: Ranges of doc_id, and so the tasks that write, whatever the input's size.
+SHARDS = 65_536
+#: Files whose two numbers are broadcast, 32 MB; more are joined.
+BROADCAST_FILES = 1_000_000
 
 
-def _pack_shards(tokenizer: str):
+def _pack_shards(tokenizer: str, ids_a_file: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, names, parts = None, [], []
+        shard, part, held, names, parts = None, 0, 0, [], []
 
         def closed():
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             data = pack(names, offsets, np.concatenate(parts))
-            return pd.DataFrame([(shard, f"shard-{shard:06d}.nlwm", len(names), int(offsets[-1]), data)], columns=["shard", "file_name", "n_docs", "n_tokens", "payload"])
+            row = (shard, part, f"shard-{shard:06d}-{part:06d}.nlwm", len(names), int(offsets[-1]), data)
+            return pd.DataFrame([row], columns=["shard", "part", "file_name", "n_docs", "n_tokens", "payload"])
 
         encode = encoder("bytes", tokenizer)
         end = np.array([END], dtype=np.uint16)
@@ -187,32 +194,35 @@ def _pack_shards(tokenizer: str):
                 rows = zip(batch["shard"].iloc[done : done + len(some)], batch["doc_id"].iloc[done : done + len(some)], encode.ids(some), strict=True)
                 done += len(some)
                 for at, doc_id, ids in rows:
-                    if at != shard and parts:
+                    if parts and (at != shard or held + len(ids) + 1 > ids_a_file):
                         yield closed()
-                        names, parts = [], []
+                        held, names, parts = 0, [], []
+                        part = part + 1 if at == shard else 0
                     shard = at
                     names.append(None if pd.isna(doc_id) else int(doc_id))
                     parts.append(np.append(ids, end))
+                    held += len(ids) + 1
         if parts:
             yield closed()
 
     return run
 
 
-def shard_files(df: DataFrame, tokenizer: str, bytes_a_shard: int = 8 << 20) -> DataFrame:
-    """One row (FILES) for each shard: a range of ascending doc_id (nulls first; ties by text).
+def shard_files(df: DataFrame, tokenizer: str, bytes_a_shard: int = 8 << 20, ids_a_file: int = IDS_A_FILE) -> DataFrame:
+    """One row (FILES) for each file: a shard is a range of ascending doc_id (nulls first; ties by text), its files are parts of it in order.
 
-    A shard's texts stream through one task in order; only its ids, two bytes each, are held. One text
-    is never cut, so a very long one makes its shard longer. Null texts are empty: the end id alone.
+    A shard's texts stream through one task in order; only the ids of one file, two bytes each, are held, however long the shard is
+    (beyond SHARDS shards they grow with the input, and rows of one doc_id are one shard). One text is never cut, so a very long one
+    makes its file longer. Null texts are empty: the end id alone. An empty table has no file.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     _, size = size_of(rows)
-    dealt = deal_in_order(rows, "doc_id", "shard", size // bytes_a_shard + 1)
+    shards = min(size // bytes_a_shard + 1, SHARDS)
     return (
-        dealt.repartition(max(1, size // bytes_a_shard + 1), "shard")
+        deal_in_order(rows, "doc_id", "shard", shards).repartition(shards, "shard")
         .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
-        .mapInPandas(_pack_shards(tokenizer), FILES)
-    )
+        .mapInPandas(_pack_shards(tokenizer, ids_a_file), FILES)
+    )
 
 
 def write(df: DataFrame, path: str, tokenizer: str, **options) -> str:
@@ -231,16 +241,16 @@ def export(files: DataFrame, folder: str) -> list[str]:
     return out
 
 
-READ = "shard int, doc_id long, n_docs_before long, start long, n_tokens long, ids_crc32 long"
+READ = "shard int, part int, doc_id long, n_docs_before long, start long, n_tokens long, ids_crc32 long"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for shard, payload in zip(batch["shard"], batch["payload"]):
+        for shard, part, payload in zip(batch["shard"], batch["part"], batch["payload"]):
             f = WaveletFile(bytes(payload))
             ids, at = f.tokens().astype("<u4"), f.offsets
             frame = pd.DataFrame({
-                "shard": shard, "doc_id": pd.array(f.doc_ids, dtype="Int64"), "n_docs_before": range(len(f.doc_ids)), "start": at[:-1], "n_tokens": np.diff(at),
+                "shard": shard, "part": part, "doc_id": pd.array(f.doc_ids, dtype="Int64"), "n_docs_before": range(len(f.doc_ids)), "start": at[:-1], "n_tokens": np.diff(at),
                 "ids_crc32": [zlib.crc32(ids[i:j].data) for i, j in zip(at[:-1], at[1:])],
             })
             frame.loc[f.doc_ids == NULL_ID, "doc_id"] = pd.NA
@@ -249,10 +259,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(files: DataFrame) -> DataFrame:
     """A row for each document of the files, decoded: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    # One row per file, two numbers each; the running sum over files is all that is ordered here.
-    totals = files.select("shard", F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("base"))
-    docs = files.select("shard", "payload").mapInPandas(_read, READ)
-    return docs.join(F.broadcast(totals), "shard").select("doc_id", (F.col("start") + F.coalesce(F.col("base"), F.lit(0))).alias("start"), "n_tokens", "ids_crc32", "shard")
+    # Ids of a shard's earlier files, within the shard; and of earlier shards, which are SHARDS at most.
+    inside = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    parts = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within"))
+    totals = parts.join(F.broadcast(shards), "shard").select("shard", "part", (F.col("base") + F.col("within")).alias("base"))
+    docs = files.select("shard", "part", "payload").mapInPandas(_read, READ)
+    both = docs.join(F.broadcast(totals) if files.count() <= BROADCAST_FILES else totals, ["shard", "part"])
+    return both.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
 def encoded_and_read(spark: SparkSession, df: DataFrame, tokenizer: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import fingerprint, html, langid, mixing, nearjoin, packing, quality, sharding, substring, tokens, wavelet
 from newsloom.llm.common import deal_in_order, gram_hashes, shingles, span_hashes, utf8, word_bounds
@@ -491,6 +492,27 @@ def test_wavelet_query(spark, docs, empty):
     assert got == want and wavelet.encoded_and_read(spark, empty, path).count() == 0
 
 
+def test_wavelet_files_are_bounded(spark, docs, tmp_path):
+    """One doc_id for all rows is one shard; its files hold no more ids than asked for, unless one text has more."""
+    path, most = tokens.public("byte_bpe_50k.json"), 700
+    t = tokens.encoder("bytes", path).tokenizer
+    hot = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    files = spark.read.schema(wavelet.FILES).parquet(wavelet.write(hot, str(tmp_path / "files"), path, bytes_a_shard=1000, ids_a_file=most))
+    held = [(r["shard"], r["part"], r["n_docs"], r["n_tokens"]) for r in files.orderBy("shard", "part").collect()]
+    assert {h[0] for h in held} == {0} and [h[1] for h in held] == list(range(len(held))) and len(held) > 2
+    assert all(n <= most or k == 1 for _, _, k, n in held)
+    start, want = 0, []
+    for text in sorted((x or "" for _, x, _, _ in ROWS), key=str.encode):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want.append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read(files).collect()) == want
+    several = spark.read.schema(wavelet.FILES).parquet(wavelet.write(docs, str(tmp_path / "several"), path, bytes_a_shard=2000, ids_a_file=most))
+    one = spark.read.schema(wavelet.FILES).parquet(wavelet.write(docs, str(tmp_path / "one"), path))
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert several.select("shard").distinct().count() > 1 and sorted(map(str, wavelet.read(several).select(columns).collect())) == sorted(map(str, wavelet.read(one).select(columns).collect()))
+
+
 def test_plan_places_every_rest_once():
     r = random.Random(2)
     histogram = dict(Counter(r.choice([100, 1948, 1024, r.randint(1, 2047)]) for _ in range(3_000)))
