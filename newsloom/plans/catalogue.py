@@ -349,10 +349,16 @@ def best_threshold(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.best_threshold(calibrate.threshold_grid(_samples(spark, d), 0.6, 15)).select("score", "margin", "support", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query()
+@query(f"""{_SAMPLES}, {_GRID}, h AS (SELECT score AS hs, margin AS hm, support AS hn, coverage AS hcov, accuracy AS ha, lower_bound AS hb FROM grid WHERE support >= 15 AND lower_bound >= 0.8),
+lr AS (SELECT h.*, gs.score AS ms, gm.margin AS mm, count(*) AS support, count(CASE WHEN correct THEN 1 END) AS c FROM h, gs, gm, samples s
+  WHERE gs.score <= hs AND gm.margin <= hm AND s.score >= gs.score AND s.margin >= gm.margin AND NOT (s.score >= hs AND s.margin >= hm) GROUP BY ALL),
+lo AS (SELECT *, c / support AS ma, {_W.format(n='support', c='c')} AS mb FROM lr)
+SELECT hs AS high_score, hm AS high_margin, hn AS high_support, round(hb, 6) AS high_lower_bound, ms AS medium_score, mm AS medium_margin, support AS medium_support, round(mb, 6) AS medium_lower_bound FROM
+(SELECT *, row_number() OVER (PARTITION BY hs, hm ORDER BY support DESC, mb DESC, ma DESC, ms, mm) AS place FROM lo WHERE support >= 15 AND mb >= 0.6) WHERE place = 1 ORDER BY hn + support DESC, hn DESC, hb DESC, mb DESC, hs, hm LIMIT 1""")
 def confidence_pair(spark: SparkSession, d: str) -> DataFrame:
-    """High and medium thresholds together; a unit test has the expected pair."""
-    return calibrate.tiers(_samples(spark, d), 0.80, 0.60)
+    """High and medium thresholds together."""
+    t = calibrate.tiers(_samples(spark, d), 0.80, 0.60)
+    return t.select("high_score", "high_margin", "high_support", F.round("high_lower_bound", 6).alias("high_lower_bound"), "medium_score", "medium_margin", "medium_support", F.round("medium_lower_bound", 6).alias("medium_lower_bound"))
 
 
 _EV = f"""ev AS (SELECT keyword, event_id, count(*) AS rows, count(CASE WHEN before <> '{REVIEW}' THEN 1 END) AS n, count(CASE WHEN before <> '{REVIEW}' AND before = gold THEN 1 END) AS r FROM samples GROUP BY 1, 2),
@@ -592,12 +598,14 @@ def embedding_labels(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "embeddings").groupBy("label").agg(F.first(F.size("embedding")).cast("long").alias("dims"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS cls, i, avg(x) AS c FROM e GROUP BY 1, 2),
+p AS (SELECT vec_id, label, cls, sum(x * c) / nullif(sqrt(sum(x * x)) * sqrt(sum(c * c)), 0) AS cosine FROM e JOIN c USING (i) GROUP BY 1, 2, 3), s AS (SELECT *, greatest(0, coalesce(cosine, 0)) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls::VARCHAR) AS place FROM s) SELECT vec_id, label::VARCHAR AS gold, cls::VARCHAR AS pred_label, round(score, 6) AS pred_score FROM r WHERE place = 1""")
 def centroid_prediction(spark: SparkSession, d: str) -> DataFrame:
     """Nearest class centroid by cosine; as many centroids as classes reach the driver."""
     e = A.table(spark, d, "embeddings")
     each = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    rows = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).orderBy("label").limit(1_000).collect()
+    rows = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).orderBy("label").collect()
     centroids = {str(r["label"]): [float(x["x"]) for x in r["c"]] for r in rows}
     return predict.with_prediction(e, *predict.centroid_scores(e, "embedding", centroids)).select("vec_id", F.col("label").cast("string").alias("gold"), "pred_label", F.round("pred_score", 6).alias("pred_score"))
 
