@@ -324,10 +324,10 @@ samples AS (SELECT d.ord, a.keyword AS gold, a.source AS keyword, left(sha256(lo
   pred_label = a.keyword AS correct, final_label AS before, relaxed AS after FROM decided d JOIN articles a ON a.ord = d.ord JOIN relaxed_rows r ON r.ord = d.ord)"""
 
 
-def _samples(spark: SparkSession, d: str) -> DataFrame:
+def _samples(spark: SparkSession, d: str, steps: int = 20) -> DataFrame:
     x = A.decided(spark, d)
     open_ = decide.decision(A.rule_set(), Policy(review_model_score=0.0, ambiguity_score=0.0, ambiguity_margin=0.0))["final_label"]
-    step = lambda c: F.round(F.floor(F.col(c) * 20) / 20, 2)
+    step = lambda c: F.round(F.floor(F.col(c) * steps) / steps, 2)
     event = F.substring(F.sha2(F.lower(F.regexp_replace("title", "\\s+", "")), 256), 1, 16)
     return x.select("ord", "gold", F.col("source").alias("keyword"), event.alias("event_id"), step("pred_score").alias("score"), step("pred_margin").alias("margin"), (F.col("pred_label") == F.col("gold")).alias("correct"), F.col("decision.final_label").alias("before"), open_.alias("after"))
 
@@ -385,9 +385,10 @@ pe AS (SELECT ps, pm, event_id, count(CASE WHEN chosen <> '{REVIEW}' THEN 1 END)
 gp AS (SELECT ps, pm, sum(n) AS selected_support, sum(nn) AS new_support, count(CASE WHEN n > 0 THEN 1 END) AS se, count(CASE WHEN n > 0 AND n = r THEN 1 END) AS sr, count(CASE WHEN nn > 0 THEN 1 END) AS ne, count(CASE WHEN nn > 0 AND nn = nr THEN 1 END) AS nre FROM pe GROUP BY 1, 2)"""
 
 
-@query(f"""{_SAMPLES}, {_OPEN} SELECT ps AS score, pm AS margin, CAST(selected_support AS BIGINT) AS selected_support, CAST(new_support AS BIGINT) AS new_support, se AS selected_events, round({_W.format(n='se', c='sr')}, 6) AS selected_lower_bound, ne AS new_events, round({_W.format(n='ne', c='nre')}, 6) AS new_lower_bound FROM gp WHERE new_support > 0""")
+@query(f"""{_SAMPLES.replace("* 20) / 20", "* 100) / 100")}, {_OPEN} SELECT ps AS score, pm AS margin, CAST(selected_support AS BIGINT) AS selected_support, CAST(new_support AS BIGINT) AS new_support, se AS selected_events, round({_W.format(n='se', c='sr')}, 6) AS selected_lower_bound, ne AS new_events, round({_W.format(n='ne', c='nre')}, 6) AS new_lower_bound FROM gp WHERE new_support > 0""")
 def decision_grid(spark: SparkSession, d: str) -> DataFrame:
-    g = calibrate.decision_grid(_samples(spark, d).withColumnRenamed("after", "relaxed"), A.LABELS)
+    # finer steps: margins under the gate of 0.05 are what there is to open
+    g = calibrate.decision_grid(_samples(spark, d, 100).withColumnRenamed("after", "relaxed"), A.LABELS)
     return g.select("score", "margin", "selected_support", "new_support", "selected_events", F.round("selected_lower_bound", 6).alias("selected_lower_bound"), "new_events", F.round("new_lower_bound", 6).alias("new_lower_bound"))
 
 
