@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -108,20 +107,44 @@ def migrated(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A cumulative Parquet store. Each save writes a new version beside the last and then names it current."""
+    """A cumulative Parquet store on any file system that the session reaches. Each save writes a new version beside the last and
+    then names it current, by one rename: a save that is broken off leaves the version before."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def _current(self) -> str | None:
-        try:
-            with open(os.path.join(self.path, "CURRENT"), encoding="utf-8") as f:
-                return os.path.join(self.path, f.read().strip())
-        except FileNotFoundError:
+    def _files(self, spark: SparkSession):
+        """The session's file system classes, its file system at the store, and the pointer's path."""
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        pointer = hadoop.Path(self.path, "CURRENT")
+        fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return hadoop, fs, fs.makeQualified(pointer)
+
+    def _current(self, spark: SparkSession) -> str | None:
+        _, fs, pointer = self._files(spark)
+        if not fs.exists(pointer):
             return None
+        stream = fs.open(pointer)
+        try:
+            name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return f"{self.path}/{name.strip()}"
+
+    def _point(self, spark: SparkSession, name: str) -> None:
+        hadoop, fs, pointer = self._files(spark)
+        written = hadoop.Path(pointer.getParent(), f"CURRENT-{name}")
+        out = fs.create(written, True)
+        try:
+            out.write(bytearray(name.encode()))
+        finally:
+            out.close()
+        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(written, pointer, over)
 
     def load(self, spark: SparkSession) -> DataFrame | None:
-        at = self._current()
+        at = self._current(spark)
         return None if at is None else migrated(spark.read.parquet(at))
 
     def save(self, rows: DataFrame) -> None:
@@ -129,16 +152,15 @@ class Store:
         if rows.isEmpty():
             return
         spark = rows.sparkSession
-        before, old = self.load(spark), self._current()
+        before, old = self.load(spark), self._current(spark)
         seq = 0 if before is None else (before.agg(F.max("batch_seq")).first()[0] or 0)
         new = rows.withColumn("batch_seq", F.lit(seq + 1).cast("long"))
         name = f"v{seq + 1}-{uuid.uuid4().hex[:8]}"
-        (latest(before, new) if before is not None else latest(new.limit(0), new)).write.parquet(os.path.join(self.path, name))
-        with open(os.path.join(self.path, "CURRENT.tmp"), "w", encoding="utf-8") as f:
-            f.write(name)
-        os.replace(os.path.join(self.path, "CURRENT.tmp"), os.path.join(self.path, "CURRENT"))
+        (latest(before, new) if before is not None else latest(new.limit(0), new)).write.parquet(f"{self.path}/{name}")
+        self._point(spark, name)
         if old:
-            shutil.rmtree(old, ignore_errors=True)
+            hadoop, fs, _ = self._files(spark)
+            fs.delete(hadoop.Path(old), True)
 
 
 def write_candidates(df: DataFrame, path: str, overwrite: bool = False) -> None:

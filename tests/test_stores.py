@@ -43,6 +43,22 @@ def test_csv_and_store(spark, tmp_path):
     store.save(df.withColumn("ord", F.lit(1).cast("long")))
     store.save(df.where("title = 'x'").withColumns({"ord": F.lit(1).cast("long"), "link": F.lit("new")}))
     assert {(r["title"], r["link"]) for r in store.load(spark).collect()} == {("x", "new"), ("é,\n", "x")}
+    assert sorted(x.name[:2] for x in (tmp_path / "store").iterdir() if not x.name.startswith(".")) == ["CU", "v2"]
+
+
+def test_store_by_address(spark, tmp_path):
+    """A store named by a URI, in a folder that is not there yet; rows that are lost on the way leave the version before."""
+    store = sinks.Store((tmp_path / "a" / "b").as_uri())
+    rows = spark.createDataFrame([("k", "x", "s", "one", 0)], "keyword string, title string, source string, link string, ord long")
+    assert store.load(spark) is None
+    store.save(rows.limit(0))
+    assert store.load(spark) is None
+    store.save(rows)
+    with pytest.raises(Exception):
+        store.save(rows.withColumn("link", F.raise_error(F.lit("lost"))))
+    assert [(r["link"], r["batch_seq"]) for r in store.load(spark).collect()] == [("one", 1)]
+    store.save(rows.withColumn("link", F.lit("two")))
+    assert [(r["link"], r["batch_seq"]) for r in store.load(spark).collect()] == [("two", 2)]
 
 
 def test_feed(spark, tmp_path):
