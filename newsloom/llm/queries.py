@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprint, html, langid, mixing, nearjoin, packing, quality, sharding, substring, tokens, wavelet
+from . import fingerprint, html, infill, langid, mixing, nearjoin, packing, phrases, quality, sharding, substring, tokens, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokens.public("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transformed(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_fingerprints": op1_fingerprints,
@@ -66,8 +74,10 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_wavelet_files": op9_wavelet_files,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op11_collocations": phrases.SQL, "op12_fill_in_middle": infill.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
