@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprint, html, infill, langid, mixing, nearjoin, packing, phrases, quality, sharding, substring, tokens, wavelet
+from . import fingerprint, html, infill, langid, mixing, nearjoin, packing, phrases, pii, quality, sharding, substring, tokens, wavelet
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.transformed(documents(spark, sf_dir))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_fingerprints": op1_fingerprints,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_personal_data": op13_personal_data,
 }
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op11_collocations": phrases.SQL, "op12_fill_in_middle": infill.SQL}
