@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mixed, span_hashes
@@ -33,9 +33,9 @@ COVERED = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of a block; a task holds one block and its lists.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 #: Bytes that are cut into words at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Parts that a language's candidates are ranked in before the parts' best meet.
 RANKED_IN = 64
 
@@ -80,6 +80,15 @@ def words(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return b, starts, ends, doc, np.cumsum(gap) - 1, mixed(keys ^ salts[which][doc]) if len(keys) else keys
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Steps from place to place, the first bytes of all numbers, then the second: runs that compress well."""
+    return np.diff(places, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1), dtype=np.int32)
+
+
 FILE = "words long, places binary, sizes array<int>, keys array<long>, terms array<string>, langs array<string>"
 
 
@@ -112,7 +121,7 @@ class _Block:
         own = keys[heads]
         named = [self.terms[k] for k in own.tolist()]
         sizes = np.diff(np.append(heads, len(keys))).astype(np.int32)
-        return pd.DataFrame({"words": [self.n], "places": [places[order].tobytes()], "sizes": [sizes], "keys": [own.view(np.int64)], "terms": [[t for t, _ in named]], "langs": [[x for _, x in named]]})
+        return pd.DataFrame({"words": [self.n], "places": [_packed(places[order])], "sizes": [sizes], "keys": [own.view(np.int64)], "terms": [[t for t, _ in named]], "langs": [[x for _, x in named]]})
 
 
 def _inverted(block_words: int):
@@ -138,7 +147,7 @@ def _extend(file: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
     columns = [c.split()[0] for c in LISTS.split(", ")]
     if not len(file) or not len(frequent):
         return pd.DataFrame(columns=columns)
-    sizes, places = np.asarray(file["sizes"].iloc[0]), np.frombuffer(file["places"].iloc[0], dtype=np.int32)
+    sizes, places = np.asarray(file["sizes"].iloc[0]), _places(file["places"].iloc[0])
     key = np.zeros(len(sizes), dtype=np.int64)
     known = np.zeros(len(sizes), dtype=bool)
     key[frequent["i"]], known[frequent["i"]] = frequent["key"], True
@@ -155,7 +164,7 @@ def _extend(file: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
     pair = pair[order]
     heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     left, right = np.divmod(pair[heads], len(sizes))
-    row = (file["block"].iloc[0], begin[order].tobytes(), np.diff(np.append(heads, len(pair))).astype(np.int32), key[left], key[right])
+    row = (file["block"].iloc[0], _packed(begin[order]), np.diff(np.append(heads, len(pair))).astype(np.int32), key[left], key[right])
     return pd.DataFrame([row], columns=columns)
 
 
@@ -174,6 +183,12 @@ def _exploded(lists: DataFrame, *names: str) -> DataFrame:
     return lists.select("block", F.posexplode(F.arrays_zip(*names)).alias("i", "entry")).select("block", "i", *(F.col(f"entry.{n}") for n in names))
 
 
+def _dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, where the session's file system has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Mined:
     """levels[k]: key, lang, f, w1.. (keys of its words), and for phrases left and right, of every frequent phrase of k words; totals: lang, n."""
 
@@ -184,7 +199,7 @@ class Mined:
 def mined(df: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> Mined:
     """Every phrase of up to ``longest`` words that occurs ``least`` times in its language, with its exact frequency.
 
-    Each level's lists and its frequent phrases are written to the shared folder once. A phrase of very many blocks is a join key
+    Each level's lists and its frequent phrases are written to the shared folder once; lists go when the next level's are written. A phrase of very many blocks is a join key
     that Spark splits; its lengths are summed in the tasks first.
     """
     folder = _folder(df)
@@ -194,11 +209,13 @@ def mined(df: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words
     counts = _stored(counts.where(F.col("f") >= least), f"{folder}/words")
     levels = {1: counts.withColumn("w1", F.col("key"))}
     total = _exploded(lists, "langs", "sizes").groupBy(F.col("langs").alias("lang")).agg(F.sum(F.col("sizes").cast("long")).alias("n"))
+    total = _stored(total, f"{folder}/totals")
     marks = _exploded(lists, "keys").withColumnRenamed("keys", "key").join(counts.select("key"), "key")
     for k in range(2, longest + 1):
         file = lists.select("block", "places", "sizes")
         frequent = marks.select(F.col("block").alias("of_block"), "i", "key").groupBy("of_block")
         lists = _stored(file.groupBy("block").cogroup(frequent).applyInPandas(_extend, LISTS), f"{folder}/{k}")
+        _dropped(df.sparkSession, f"{folder}/{k - 1}")
         each = _exploded(lists, "lefts", "rights", "sizes").toDF("block", "i", "left", "right", "n")
         found = each.groupBy("left", "right").agg(F.sum(F.col("n").cast("long")).alias("f")).where(F.col("f") >= least).withColumn("key", F.xxhash64("left", "right"))
         first = levels[k - 1].select(F.col("key").alias("left"), "lang", *(f"w{j}" for j in range(1, k)))
