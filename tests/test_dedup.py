@@ -1,6 +1,9 @@
 """Grouping on fixed articles, and against a plain loop on random ones."""
 
 import random
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
 
 from newsloom.operators import dedup
 
@@ -27,32 +30,73 @@ def test_fixed_groups(spark):
     assert len(groups(spark, [("컴퓨터공학 취업 소식", s, AT, "") for s in "AB"])) == 2 and len(groups(spark, [("", s, AT, "") for s in "AA"])) == 2
 
 
-def test_random_against_plain_first_fit(spark):
-    r = random.Random(4)
-    words = "가나다 라마바 사아자 차카타 파하가 나라다".split()
-    rows = []
-    for _ in range(60):
-        title = " ".join(r.sample(words, 5)) + r.choice(["", "", "을", " 3", " 취소"]) + " 기사제목길이"
-        rows.append((title, r.choice("AB"), r.choice(["", f"2026-01-0{r.randint(1, 9)}T00:00:00+00:00"]), ""))
-    df = spark.createDataFrame([(i, t, s, p, d, str(i)) for i, (t, s, p, d) in enumerate(rows)], KIND)
-    from datetime import datetime
-
-    from pyspark.sql import functions as F
-
+def plain(df):
+    """Groups by a loop over every article, group and member; rows: (ord, rep)."""
     found = dedup.features(df).withColumn("published", F.col("published").cast("string")).orderBy("ord").collect()
-    items = []
+    out, groups = {}, []
     for x in found:
         f = x.asDict()
         for k in ("words", "cues", "numbers", "description_words", "description_numbers"):
             f[k] = frozenset(f[k])
         f["published"] = datetime.fromisoformat(f["published"]) if f["published"] else None
-        items.append(f)
-    plain = []
-    for f in items:
-        for g in plain:
+        for g in groups:
             if all(dedup.same_event(m, f) for m in g):
                 g.append(f)
                 break
         else:
-            plain.append([f])
-    assert groups(spark, rows) == [(g[0]["ord"], [str(m["ord"]) for m in g[1:]]) for g in plain]
+            groups.append([f])
+            g = groups[-1]
+        out[f["ord"]] = g[0]["ord"]
+    return out
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, s, p, d, str(i)) for i, (t, s, p, d) in enumerate(rows)], KIND).repartition(5)
+
+
+def random_rows(seed, n, days, undated=0.1, words="가나다 라마바 사아자 차카타 파하가 나라다"):
+    r, rows = random.Random(seed), []
+    for _ in range(n):
+        title = " ".join(r.sample(words.split(), 5)) + r.choice(["", "", "을", " 3", " 취소"]) + " 기사제목길이"
+        when = f"2026-{r.randint(0, days - 1) // 28 + 1:02}-{r.randint(1, min(28, days)):02}T{r.randint(0, 23):02}:00:00+00:00"
+        described = r.choice(["", "", "발표 내용은 다음과 같이 정리된다", "발표 내용은 다음과 같이 정리됐다", "다른 설명 하나 둘 셋 넷"])
+        rows.append((title, r.choice("AB"), "" if r.random() < undated else when, described))
+    return rows
+
+
+def test_random_against_plain_first_fit(spark):
+    for seed, (n, days, undated) in enumerate([(60, 9, 0.3), (150, 28, 0.0), (150, 56, 0.1)]):
+        df = table(spark, random_rows(seed, n, days, undated, words="가나다 라마바 사아자 차카타 파하가"))
+        want = plain(df)
+        for whole, hours in ((dedup.WHOLE, dedup.SPAN_HOURS), (3, 96), (3, 24 * 7)):  # in one stream, and in spans that need rounds
+            got = {r["ord"]: r["rep"] for r in dedup.group_articles(df, whole=whole, span_hours=hours).collect()}
+            assert got == want, (seed, whole, hours)
+
+
+def test_a_component_of_five_thousand_among_ten_thousand(spark):
+    """One title by many sources, hour by hour, with copies alike in all; and as many other articles. The plain loop is the rule for one title: the
+    first group whose members are all within 48 hours."""
+    r = random.Random(9)
+    title, at = "가나다 라마바 사아자 차카타 파하가 기사제목", datetime(2026, 1, 1, tzinfo=timezone.utc)
+    hours = [r.randrange(0, 4000) for _ in range(5000)]
+    rows = [(title, f"S{h % 7}", (at + timedelta(hours=h)).isoformat(), "") for h in hours] + [(f"혼자 있는 기사 제목 번호 {i} 입니다", "A", at.isoformat(), "") for i in range(5000)]
+    groups, want = [], {}
+    for i, h in enumerate(hours):
+        g = next((g for g in groups if g[2] - 48 <= h <= g[1] + 48), None)
+        if g is None:
+            g = [i, h, h]
+            groups.append(g)
+        g[1], g[2] = min(g[1], h), max(g[2], h)
+        want[i] = g[0]
+    got = {x["ord"]: x["rep"] for x in dedup.group_articles(table(spark, rows), whole=500, span_hours=24 * 30).collect()}
+    assert {i: got[i] for i in want} == want and all(got[i] == i for i in range(5000, 10000))
+
+
+def test_long_ords_and_references(spark):
+    big = 2**60
+    refs = [("참조 기사", "B", AT, "x")]
+    rows = [(big + 1, TITLE, "A", AT, "", "a", None), (big, TITLE, "A", AT, "", "b", refs), (big + 2, TITLE, "A", "2026-10-04T11:00:00+09:00", "", "c", []), (big + 3, TITLE, "A", AT, "", "d", None)]
+    df = spark.createDataFrame(rows, KIND + ", related_articles array<struct<title:string,source:string,published_at:string,link:string>>")
+    got = {r["ord"]: ([x["link"] for x in r["related_articles"]], r["group_article_count"]) for r in dedup.deduplicate(df).collect()}
+    assert got == {big: (["x"], 2), big + 1: (["c", "d"], 3)}  # the first has a reference that no other article matches
+    assert dedup.group_articles(df.where("ord < 0")).collect() == []
