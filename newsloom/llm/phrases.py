@@ -7,7 +7,8 @@ adjacent word: of those only the places are read that end a frequent phrase of k
 frequent parts. So a phrase of k + 1 words is a pair (left, right) of frequent phrases of k words, one place apart. Lists stay with their block; what is shuffled
 to be summed is (left, right, length), and what comes back to a block is which of its phrases are frequent.
 
-Everything is counted per language (null: ``und``), which is a part of a word's key. Words are told apart by a 64-bit hash within a block and by their letters across blocks.
+Everything is counted per language (null: ``und``). Words are told apart by a 64-bit hash within a block, by their letters across blocks; frequent words and phrases
+get numbers of their own.
 
 Null and empty texts have no words; rows that repeat count again; ties have a defined order; an empty table gives an empty one; a very long text is a block of its own
 (a block is never cut inside a document); columns other than doc_id, text and lang are ignored, whatever their names.
@@ -89,7 +90,7 @@ def _places(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1), dtype=np.int32)
 
 
-FILE = "words long, places binary, sizes array<int>, keys array<long>, terms array<string>, langs array<string>"
+FILE = "words long, places binary, sizes array<int>, terms array<string>, langs array<string>"
 
 
 class _Block:
@@ -121,7 +122,7 @@ class _Block:
         own = keys[heads]
         named = [self.terms[k] for k in own.tolist()]
         sizes = np.diff(np.append(heads, len(keys))).astype(np.int32)
-        return pd.DataFrame({"words": [self.n], "places": [_packed(places[order])], "sizes": [sizes], "keys": [own.view(np.int64)], "terms": [[t for t, _ in named]], "langs": [[x for _, x in named]]})
+        return pd.DataFrame({"words": [self.n], "places": [_packed(places[order])], "sizes": [sizes], "terms": [[t for t, _ in named]], "langs": [[x for _, x in named]]})
 
 
 def _inverted(block_words: int):
@@ -183,6 +184,13 @@ def _exploded(lists: DataFrame, *names: str) -> DataFrame:
     return lists.select("block", F.posexplode(F.arrays_zip(*names)).alias("i", "entry")).select("block", "i", *(F.col(f"entry.{n}") for n in names))
 
 
+def _frequent(each: DataFrame, phrase: list[str], least: int) -> DataFrame:
+    """The lists (block, i, phrase) of the phrases that occur so often, with f, the sum of their lengths n. A phrase has one row for each block it is in,
+    so what meets for a phrase is its blocks, never its places; all lists are dealt once, and only the frequent ones' go on."""
+    summed = each.withColumn("f", F.sum(F.col("n").cast("long")).over(Window.partitionBy(*phrase)))
+    return summed.where(F.col("f") >= least).select("block", "i", *phrase, "f")
+
+
 def _dropped(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more, where the session's file system has it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -199,29 +207,29 @@ class Mined:
 def mined(df: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> Mined:
     """Every phrase of up to ``longest`` words that occurs ``least`` times in its language, with its exact frequency.
 
-    Each level's lists and its frequent phrases are written to the shared folder once; lists go when the next level's are written. A phrase of very many blocks is a join key
-    that Spark splits; its lengths are summed in the tasks first.
+    Each level's lists and its frequent phrases are written to the shared folder once; lists go when the next level's are written.
     """
     folder = _folder(df)
     rows = df.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where(F.col("text").isNotNull())
     lists = _stored(rows.mapInPandas(_inverted(block_words), FILE).withColumn("block", F.monotonically_increasing_id()), f"{folder}/1")
-    counts = _exploded(lists, "keys", "langs", "terms", "sizes").groupBy(F.col("langs").alias("lang"), F.col("terms").alias("term")).agg(F.min("keys").alias("key"), F.sum(F.col("sizes").cast("long")).alias("f"))
-    counts = _stored(counts.where(F.col("f") >= least), f"{folder}/words")
-    levels = {1: counts.withColumn("w1", F.col("key"))}
     total = _exploded(lists, "langs", "sizes").groupBy(F.col("langs").alias("lang")).agg(F.sum(F.col("sizes").cast("long")).alias("n"))
     total = _stored(total, f"{folder}/totals")
-    marks = _exploded(lists, "keys").withColumnRenamed("keys", "key").join(counts.select("key"), "key")
+    each = _exploded(lists, "langs", "terms", "sizes").toDF("block", "i", "lang", "term", "n")
+    often = _stored(_frequent(each, ["lang", "term"], least), f"{folder}/often1")
+    levels = {1: _stored(often.select("lang", "term", "f").distinct().withColumn("key", F.monotonically_increasing_id()), f"{folder}/phrases1").withColumn("w1", F.col("key"))}
+    marks = often.drop("f").join(levels[1].select("lang", "term", "key"), ["lang", "term"])
     for k in range(2, longest + 1):
         file = lists.select("block", "places", "sizes")
         frequent = marks.select(F.col("block").alias("of_block"), "i", "key").groupBy("of_block")
         lists = _stored(file.groupBy("block").cogroup(frequent).applyInPandas(_extend, LISTS), f"{folder}/{k}")
         _dropped(df.sparkSession, f"{folder}/{k - 1}")
         each = _exploded(lists, "lefts", "rights", "sizes").toDF("block", "i", "left", "right", "n")
-        found = each.groupBy("left", "right").agg(F.sum(F.col("n").cast("long")).alias("f")).where(F.col("f") >= least).withColumn("key", F.xxhash64("left", "right"))
+        often = _stored(_frequent(each, ["left", "right"], least), f"{folder}/often{k}")
         first = levels[k - 1].select(F.col("key").alias("left"), "lang", *(f"w{j}" for j in range(1, k)))
         last = levels[k - 1].select(F.col("key").alias("right"), F.col(f"w{k - 1}").alias(f"w{k}"))
-        levels[k] = _stored(found.join(first, "left").join(last, "right"), f"{folder}/phrases{k}")
-        marks = each.drop("n").join(levels[k].select("left", "right", "key"), ["left", "right"])
+        found = often.select("left", "right", "f").distinct().join(first, "left").join(last, "right")
+        levels[k] = _stored(found.withColumn("key", F.monotonically_increasing_id()), f"{folder}/phrases{k}")
+        marks = often.drop("f").join(levels[k].select("left", "right", "key"), ["left", "right"])
     return Mined(levels, total)
 
 
