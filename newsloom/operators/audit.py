@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,14 @@ from newsloom.functions import text as T
 from newsloom.functions import values as V
 
 from . import calibrate, decide
-from .rules import spans
+from .rules import automaton
 from .ruleset import FAILED, REVIEW, RuleSet, normalized, phrase_pattern
 
+#: Phrases that one automaton takes.
+MOST_PHRASES = 200_000
+#: Characters of the keys of an index of phrases.
+GRAM = 6
+
 # The splits of a reviewed dataset.
 SPLITS = ["development", "evaluation"]
 
@@ -30,6 +36,17 @@ def phrase_table(spark: SparkSession, phrases: list[tuple[str, str]]) -> DataFra
     return spark.createDataFrame(rows, "label string, phrase string, normal string, alias string, pattern string")
 
 
+def phrases_of(df: DataFrame, label: str, phrase: str) -> DataFrame:
+    """A phrase_table() of a table's columns, made where the rows are."""
+
+    @F.pandas_udf("normal string, pattern string")
+    def written(phrases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(normalized(p or ""), phrase_pattern(p or "")) for p in phrases], columns=["normal", "pattern"])
+
+    rows = df.select(F.col(label).alias("label"), F.col(phrase).alias("phrase")).withColumn("w", written("phrase"))
+    return rows.select("label", "phrase", "w.normal", F.replace(F.col("w.normal"), F.lit(" "), F.lit("")).alias("alias"), "w.pattern")
+
+
 def article_fields(df: DataFrame) -> DataFrame:
     """title without its source, description without what it repeats, clean content; search keyword and source are no evidence."""
     return df.withColumns({"title": T.strip_source_suffix("title", "source"), "description": T.article_description("title", "description", "source"), "content": T.clean_text("content")})
@@ -38,38 +55,82 @@ def article_fields(df: DataFrame) -> DataFrame:
 def phrase_evidence(df: DataFrame, phrases: list[tuple[str, str]], fields: list[str] | None = None, normalize: bool = True) -> DataFrame:
     """id, field, label, phrase, start, end, matched, excerpt of every span; offsets count in the normalised field.
 
-    Phrases are literals in the plan: one pass over the articles, no join.
+    One automaton holds all phrases (``MOST_PHRASES`` at most): one pass over the articles, no join, and a cost that does not grow with the phrases.
+    A phrase that a text holds under several labels gives a span for each.
     """
+    if len(phrases) > MOST_PHRASES:
+        raise ValueError(f"{len(phrases)} phrases; an automaton takes {MOST_PHRASES} at most")
     names = fields or ["title", "description", "content"]
     long = df.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(F.col(n), F.lit("")).alias("text")) for n in names])).alias("f")).select("id", "f.field", "f.text")
     if normalize:
         long = long.withColumn("text", T.normalize_rule_text("text"))
+    wanted = tuple(phrases)
 
-    def named(label: str, phrase: str) -> Column:
-        return F.transform(spans(F.col("text"), phrase_pattern(phrase)), lambda s: F.struct(F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), s["s"].alias("start"), s["e"].alias("end")))
+    @F.pandas_udf("array<struct<label:string,phrase:string,start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        finder = automaton(tuple(p for _, p in wanted))
+        return pd.Series([[{"label": wanted[i][0], "phrase": wanted[i][1], "start": a, "end": b} for i, spans in sorted(finder.spans(t).items()) for a, b in spans] for t in texts], dtype=object)
 
-    found = [named(label, phrase) for label, phrase in phrases]
-    hits = long.select("id", "field", "text", F.explode(F.flatten(F.array(*found))).alias("h"))
+    hits = long.select("id", "field", "text", F.explode(found("text")).alias("h"))
     return hits.select("id", "field", "h.label", "h.phrase", "h.start", "h.end", F.substring(F.col("text"), F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("matched"), T.excerpt(F.col("text"), F.col("h.start"), F.col("h.end")).alias("excerpt"))
 
 
+def near_spans(left: DataFrame, right: DataFrame, on: list[str], within: int) -> DataFrame:
+    """Pairs of left's (on, start, end, ...) and right's spans (on, r_start, r_end, ...) that are at most ``within`` apart.
+
+    Offsets are cut into bins of ``within``; a span is in each bin that it touches, left's widened by ``within``, and a pair is made in the first bin that
+    both are in. So a text's spans meet only those around them, however long the text is and however many it has.
+    """
+    bin_ = lambda c: F.floor(c / F.lit(within))
+    low, high = F.col("start") - within, F.col("end") + within
+    a = left.withColumns({"l_first": bin_(low), "bin": F.explode(F.sequence(bin_(low), bin_(high)))})
+    b = right.withColumns({"r_first": bin_(F.col("r_start")), "bin": F.explode(F.sequence(bin_(F.col("r_start")), bin_(F.col("r_end"))))})
+    near = (F.col("r_end") >= low) & (F.col("r_start") <= high) & (F.col("bin") == F.greatest("l_first", "r_first"))
+    return a.join(b, [*on, "bin"]).where(near).drop("bin", "l_first", "r_first")
+
+
 def context_warnings(evidence: DataFrame, warnings: DataFrame, within: int = 120) -> DataFrame:
     """Warnings (id, field, label as kind, start, end) that stand near evidence (id, field, phrase, start, end)."""
-    w = warnings.select("id", "field", F.col("label").alias("kind"), F.col("matched").alias("warning"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
-    near = (F.col("w_end") >= F.col("start") - within) & (F.col("w_start") <= F.col("end") + within)
-    return evidence.select("id", "field", "phrase", "start", "end").join(w, ["id", "field"]).where(near).select("id", "field", "phrase", "kind", "warning", "w_start", "w_end").distinct()
+    w = warnings.select("id", "field", F.col("label").alias("kind"), F.col("matched").alias("warning"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    pairs = near_spans(evidence.select("id", "field", "phrase", "start", "end"), w, ["id", "field"], within)
+    return pairs.select("id", "field", "phrase", "kind", "warning", F.col("r_start").alias("w_start"), F.col("r_end").alias("w_end")).distinct()
+
+
+def _grams(df: DataFrame, size: int) -> DataFrame:
+    """A row for each place of each distinct gram of so many characters of alias."""
+    starts = F.sequence(F.lit(1), F.length("alias") - size + 1)
+    return df.where(F.length("alias") >= size).withColumn("gram", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("alias"), i, F.lit(size))))))
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """i_label, i_phrase, o_label, o_phrase of each outer phrase that holds an inner one, white space at its seams or not; both are phrase_table()s.
+
+    An inverted index in place of a comparison of all with all: a phrase (without white space) of ``GRAM`` characters or more is looked up by that of its
+    grams which the fewest outer phrases hold, a shorter one by all of itself, in postings of that length. What the index gives is verified.
+    """
+    i = inner.select(*[F.col(c).alias(f"i_{c}") for c in inner.columns], "alias").where(F.length("alias") > 0)
+    o = outer.select(*[F.col(c).alias(f"o_{c}") for c in outer.columns], "alias")
+    postings = _grams(o, GRAM).select("gram", "o_label", "o_phrase", "o_normal")
+    sizes = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    held = _grams(i.where(F.length("alias") >= GRAM), GRAM).join(sizes, "gram")  # a phrase with a gram that is in no outer one is in none either
+    rarest = held.groupBy("i_label", "i_phrase", "i_pattern").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    pairs = rarest.join(postings, "gram")
+    short = i.where(F.length("alias") < GRAM).select("i_label", "i_phrase", "i_pattern", F.col("alias").alias("gram"))
+    for size in sorted(r[0] for r in short.select(F.length("gram")).distinct().collect()):  # under GRAM lengths
+        pairs = pairs.unionByName(short.where(F.length("gram") == size).join(_grams(o, size).select("gram", "o_label", "o_phrase", "o_normal"), "gram"))
+    return pairs.where(F.expr("rlike(o_normal, i_pattern)")).select("i_label", "i_phrase", "o_label", "o_phrase")
 
 
 def phrase_relations(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     """label, phrase, other_label, other_phrase, relation of phrases that are spellings of one another or contain one another.
 
-    Both are phrase_table()s, so the nested loop is over two short lists.
+    Both are phrase_table()s of any length: joins by equal keys alone.
     """
-    t = terms.select(*[F.col(c).alias(f"other_{c}") for c in terms.columns])
-    alias = F.col("alias") == F.col("other_alias")
-    over = F.expr("rlike(normal, other_pattern) or rlike(other_normal, pattern)")
-    both = candidates.join(F.broadcast(t), alias | over)
-    return both.select("label", "phrase", "other_label", "other_phrase", F.when(alias, "spacing_alias").otherwise("phrase_overlap").alias("relation"))
+    of = lambda df, p: df.select(F.col("label").alias(f"{p}label"), F.col("phrase").alias(f"{p}phrase"), "alias")
+    pair = ["label", "phrase", "other_label", "other_phrase"]
+    same = of(candidates, "").join(of(terms, "other_"), "alias").select(*pair).distinct()
+    over = containing(candidates, terms).toDF(*pair).unionByName(containing(terms, candidates).toDF("other_label", "other_phrase", "label", "phrase")).distinct()
+    return same.withColumn("relation", F.lit("spacing_alias")).unionByName(over.join(same, pair, "left_anti").withColumn("relation", F.lit("phrase_overlap")))
 
 
 def phrase_counts(evidence: DataFrame, articles: DataFrame) -> DataFrame:

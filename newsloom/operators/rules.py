@@ -7,9 +7,13 @@ its own row: the rules travel with the plan, so there is no join and no shuffle.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +24,21 @@ from .ruleset import RuleSet, Term, bounded, literals, phrase_pattern
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e>> of all matches of a pattern that do not overlap, as offsets from 0."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    lengths = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(matches, lambda m, i: F.struct(
-        (lengths(between, i + 1) + lengths(matches, i)).alias("s"), (lengths(between, i + 1) + lengths(matches, i) + F.length(m)).alias("e")
-    ))
+    """array<struct<s, e>> of all matches of a pattern that do not overlap, as offsets from 0, in time linear in the text."""
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        return pd.Series([None if t is None else [{"s": m.start(), "e": m.end()} for m in compiled.finditer(t)] for t in texts], dtype=object)
+
+    return found(text)
 
 
 HIT = "struct<label:string,phrase:string,strength:int,origin:string>"
 LABEL_SCORE = "struct<label:string,score:int,matches:int,strong:int,terms:array<string>>"
 
 
+_RUN = re.compile(r"\S+")
 _TOUCHING = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -59,23 +66,76 @@ class Finder:
                 at = text.find(word, at + 1)
 
 
+class Automaton:
+    """Spans of many phrases in one pass over a text, whose cost does not depend on how many phrases there are.
+
+    One trie with failure links holds the phrases without white space, and runs over the text without white space. What it finds counts if white space
+    of the text falls only between the phrase's literals, and a bounded phrase touches no ASCII letter or digit; of overlapping spans of one
+    phrase the leftmost is kept, as Finder does for one phrase.
+    """
+
+    def __init__(self, phrases: Sequence[str]):
+        self.trie = ahocorasick.Automaton()
+        whose: dict[str, list[int]] = {}
+        self.seams: list[frozenset[int]] = []
+        self.bounded = [bounded(p) for p in phrases]
+        for i, phrase in enumerate(phrases):
+            parts = literals(phrase)
+            self.seams.append(frozenset(itertools.accumulate(map(len, parts[:-1]))))
+            whose.setdefault("".join(parts), []).append(i)
+        for word, own in whose.items():
+            if word:
+                self.trie.add_word(word, (len(word), own))
+        if len(self.trie):
+            self.trie.make_automaton()
+
+    def spans(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """phrase's number -> its spans, ascending; phrases without a span are left out."""
+        parts = text.split()
+        if not parts or not len(self.trie):
+            return {}
+        heads = list(itertools.accumulate(map(len, parts[:-1]), initial=0))  # where each run begins in the text without white space
+        starts: list[int] = []
+        out: dict[int, list[tuple[int, int]]] = {}
+        for last, (size, own) in self.trie.iter("".join(parts)):
+            if not starts:
+                starts = [m.start() for m in _RUN.finditer(text)]
+            first = last + 1 - size
+            a, b = bisect_right(heads, first) - 1, bisect_right(heads, last) - 1
+            begin, end = starts[a] + first - heads[a], starts[b] + last - heads[b] + 1
+            touches = text[begin - 1 : begin] in _TOUCHING or text[end : end + 1] in _TOUCHING
+            for i in own:
+                if touches and self.bounded[i] or a < b and any(heads[k] - first not in self.seams[i] for k in range(a + 1, b + 1)):
+                    continue
+                found = out.setdefault(i, [])
+                if not found or begin >= found[-1][1]:
+                    found.append((begin, end))
+        return out
+
+
+@lru_cache(maxsize=8)
+def automaton(phrases: tuple[str, ...]) -> Automaton:
+    """Made once for each Python worker."""
+    return Automaton(phrases)
+
+
 class Matcher:
-    """Claims text for the terms of a rule set, longest first, in time linear in the text. Made once per Python worker."""
+    """Claims text for the terms of a rule set, longest first, in one pass over the text."""
 
     def __init__(self, rules: RuleSet):
         self.terms = rules.scoring()
-        self.finders = [Finder(t.phrase) for t in self.terms]
+        self.automaton = automaton(tuple(t.phrase for t in self.terms))
         self.order = sorted(rules.direct_labels, key=lambda x: (rules.tie_priority[x], x))
 
     def hits(self, text: str) -> list[Term]:
         claimed = bytearray(len(text))
         out = []
-        for term, finder in zip(self.terms, self.finders):
-            free = [s for s in finder.spans(text) if claimed.find(1, *s) < 0]
+        for i, spans in sorted(self.automaton.spans(text).items()):
+            free = [s for s in spans if claimed.find(1, *s) < 0]
             for begin, end in free:
                 claimed[begin:end] = b"\1" * (end - begin)
             if free:
-                out.append(term)
+                out.append(self.terms[i])
         return out
 
     def ranking(self, hits: list[Term]) -> list[tuple]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
@@ -496,26 +496,62 @@ def phrase_spans(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("s.s").cast("long").alias("first_at"), F.max("s.s").cast("long").alias("last_at"))
 
 
-@query()
+NEAR = [("background", "the"), ("comparison", "que"), ("background", "der")]
+_NEAR = ", ".join(f"('{a}', '{b}')" for a, b in NEAR)
+
+
+@query(f"""WITH ph(label, phrase, near) AS (SELECT *, false FROM (VALUES {_PH}) UNION ALL SELECT *, true FROM (VALUES {_NEAR})), t AS (SELECT doc_id AS id, lower(text) AS t FROM documents),
+p AS (SELECT id, t, label, phrase, near, string_split(t, phrase) AS parts FROM t, ph WHERE contains(t, phrase)), u AS (SELECT id, t, label, phrase, near, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+s AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY id, phrase ORDER BY i) AS BIGINT) + length(phrase) * (i - 1) AS a FROM u),
+e AS (SELECT id, label, phrase, near, a, a + length(phrase) AS z FROM s WHERE i < n AND NOT (a > 0 AND regexp_matches(substr(t, a, 1), '[A-Za-z0-9]')) AND NOT regexp_matches(substr(t, a + length(phrase) + 1, 1), '[A-Za-z0-9]'))
+SELECT DISTINCT x.id, 'text' AS field, x.phrase, w.label AS kind, w.phrase AS warning, w.a AS w_start, w.z AS w_end FROM e x JOIN e w ON w.id = x.id AND w.near AND NOT x.near AND w.z >= x.a - 120 AND w.a <= x.z + 120""")
 def warning_proximity(spark: SparkSession, d: str) -> DataFrame:
-    """Warnings within 120 characters of evidence; a unit test has exact offsets."""
-    c = A.cases(spark, d).select("id", F.lower("title").alias("title"))
-    evidence = audit.phrase_evidence(c, PHRASES, ["title"], normalize=False)
-    warnings = audit.phrase_evidence(c, [("background", "the"), ("comparison", "que")], ["title"], normalize=False)
-    return audit.context_warnings(evidence, warnings)
+    """Warnings within 120 characters of evidence, in whole texts."""
+    c = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return audit.context_warnings(audit.phrase_evidence(c, PHRASES, ["text"], normalize=False), audit.phrase_evidence(c, NEAR, ["text"], normalize=False))
+
+
+def _lower(c: str) -> Column:
+    """Folded case, as far as these texts need it."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
 
+def _windows(spark: SparkSession, d: str, sizes: range) -> DataFrame:
+    """item_id, phrase: the runs of so many words of each item of benchmark."""
+    words = A.table(spark, d, "benchmark").select("item_id", F.split(F.trim(F.regexp_replace(_lower("text"), r"\s+", " ")), " ").alias("w"))
+    runs = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")) for n in sizes]  # noqa: B023
+    each = [words.where(F.size("w") >= n).select("item_id", F.explode(run).alias("phrase")) for n, run in zip(sizes, runs)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
-OVERLAPPING = [("en", "token"), ("fr", "le monde"), ("de", "monde"), ("es", "lemonde"), ("en", "the token"), ("fr", "un token de plus"), ("es", "to ken")]
-_OV = ", ".join(f"('{a}', '{b}')" for a, b in OVERLAPPING)
 
+_WORDS = "words AS (SELECT item_id, string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), ' ') AS w FROM benchmark)"
+_FLEXIBLE = "'(^|[^A-Za-z0-9])' || replace(regexp_escape({0}), '\\ ', '\\s*') || '([^A-Za-z0-9]|$)'"
 
-@query(f"""WITH p(label, phrase) AS (VALUES {_OV}), q AS (SELECT a.label, a.phrase, b.label AS other_label, b.phrase AS other_phrase, replace(a.phrase, ' ', '') = replace(b.phrase, ' ', '') AS same,
-  regexp_matches(a.phrase, '(^|[^a-z0-9])' || replace(b.phrase, ' ', '\\s*') || '([^a-z0-9]|$)') OR regexp_matches(b.phrase, '(^|[^a-z0-9])' || replace(a.phrase, ' ', '\\s*') || '([^a-z0-9]|$)') AS inside FROM p a CROSS JOIN p b)
+
+def _runs(name: str, low: int, high: int) -> str:
+    return f"{name} AS (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM words, generate_series({low}, {high}) g(n)))"
+
+
+@query(f"""WITH {_WORDS}, {_runs('a', 2, 2)}, {_runs('b', 3, 3)}, p AS (SELECT CAST(a.item_id AS VARCHAR) AS label, a.phrase, CAST(b.item_id AS VARCHAR) AS other_label, b.phrase AS other_phrase, replace(a.phrase, ' ', '') AS x, replace(b.phrase, ' ', '') AS y FROM a CROSS JOIN b),
+q AS (SELECT *, x = y AS same, (contains(y, x) AND regexp_matches(other_phrase, {_FLEXIBLE.format('phrase')})) OR (contains(x, y) AND regexp_matches(phrase, {_FLEXIBLE.format('other_phrase')})) AS inside FROM p WHERE contains(y, x) OR contains(x, y))
 SELECT label, phrase, other_label, other_phrase, CASE WHEN same THEN 'spacing_alias' ELSE 'phrase_overlap' END AS relation FROM q WHERE same OR inside""")
 def phrase_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """A candidate list against itself: lists are as long as a person can review."""
-    t = audit.phrase_table(spark, OVERLAPPING)
-    return audit.phrase_relations(t, t)
+    """Runs of two words of the benchmark's items against its runs of three."""
+    tables = [audit.phrases_of(_windows(spark, d, range(n, n + 1)).withColumn("label", F.col("item_id").cast("string")), "label", "phrase") for n in (2, 3)]
+    return audit.phrase_relations(*tables)
+
+
+@query(f"""WITH {_WORDS}, {_runs('r', 2, 8)}, p AS (SELECT DISTINCT phrase, replace(phrase, ' ', '') AS x, {_FLEXIBLE.format('phrase')} AS pattern FROM r), f AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents), t AS (SELECT doc_id, t, regexp_replace(t, '\\s+', '', 'g') AS y FROM f)
+SELECT phrase, count(*) AS documents, min(doc_id) AS first_doc FROM p JOIN t ON contains(y, x) WHERE regexp_matches(t, pattern) GROUP BY phrase""")
+def benchmark_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold each run of two to eight words of the benchmark (some ten thousand phrases), found in one pass."""
+    phrases = [("benchmark", r["phrase"]) for r in _windows(spark, d, range(2, 9)).select("phrase").distinct().orderBy("phrase").limit(audit.MOST_PHRASES + 1).collect()]
+    c = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _lower("text").alias("text"))
+    found = audit.phrase_evidence(c, phrases, ["text"], normalize=False).select("id", "phrase").distinct()
+    return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("first_doc"))
 
 
 # --- stores, pages, runs ------------------------------------------------------------------------------
@@ -581,12 +617,17 @@ def summary_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(x.select(F.lit(1).alias("group_article_count"), decide.confidence_tier(F.col("pred_score"), F.col("pred_margin")).alias("confidence"), r["rule_applied"].alias("applied"), r["final_label"].alias("final_label")))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id % 35 AS query_ord, substr(sha256(text), 1, 16) AS event_id, row_number() OVER (PARTITION BY conv_id % 35 ORDER BY conv_id, turn) AS place FROM conversations),
+p AS (SELECT query_ord, list(event_id ORDER BY place) AS events FROM c WHERE place <= 40 GROUP BY 1), a AS (SELECT list(query_ord ORDER BY query_ord) AS qs, list(events ORDER BY query_ord) AS pools FROM p),
+r AS (SELECT 0::BIGINT AS step, []::VARCHAR[] AS met, NULL::VARCHAR AS event_id UNION ALL
+  SELECT step + 1, CASE WHEN e IS NULL THEN met ELSE list_append(met, e) END, e FROM (
+    SELECT step, met, list_filter(pools[step % len(qs) + 1], lambda x: NOT list_contains(met, x))[1] AS e FROM r, a WHERE len(met) < 180 AND step < 41 * len(qs)))
+SELECT qs[(step - 1) % len(qs) + 1] AS query_ord, (step - 1) // len(qs) + 1 AS pick, event_id FROM r, a WHERE event_id IS NOT NULL""")
 def round_robin_pick(spark: SparkSession, d: str) -> DataFrame:
-    """Each pick depends on those before: no SQL; tests compare with a plain loop."""
+    """Turns in 35 pools; each pick depends on those before it."""
     c = A.table(spark, d, "conversations").withColumns({"query_ord": F.col("conv_id") % 35, "event_id": F.substring(F.sha2("text", 256), 1, 16)})
     c = c.withColumn("place", F.row_number().over(Window.partitionBy("query_ord").orderBy("conv_id", "turn")) - 1)
-    return feeds.round_robin(c, 40, 180).select("query_ord", F.col("turn").cast("long").alias("pick"), "event_id")
+    return feeds.round_robin(c, 40, 180).select("query_ord", F.col("_turn").alias("pick"), "event_id")
 
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")

@@ -160,7 +160,8 @@ def _picked(target: int):
 
 
 def round_robin(df: DataFrame, per_query: int, target: int) -> DataFrame:
-    """Articles picked in turn from each query's pool, at most ``target`` and one per event, with the turn they were picked in.
+    """Articles picked in turn from each query's pool, at most ``target`` and one per event, with the turn they were picked in (``turn``, or with
+    underscores before it where df has such a column).
 
     df: query_ord, place, event_id, ... In its turn a query gives its first article whose event was not picked before, so an
     event met earlier costs no turn. Picks depend on one another: they are made in one task, from three columns of at most
@@ -169,7 +170,10 @@ def round_robin(df: DataFrame, per_query: int, target: int) -> DataFrame:
     pool = df.where(F.col("place") < per_query).select(F.col("query_ord").cast("long").alias("query_ord"), F.col("place").cast("long").alias("place"), "event_id")
     picks = pool.groupBy(F.lit(0).alias("all")).applyInPandas(_picked(target), PICKED)
     rest = df.withColumns({"query_ord": F.col("query_ord").cast("long"), "place": F.col("place").cast("long")})
-    return rest.join(picks, ["query_ord", "place", "event_id"])
+    name = "turn"
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return rest.join(picks.withColumnRenamed("turn", name), ["query_ord", "place", "event_id"])
 
 
 def fetch_outcome(failure: Column, http_status: Column) -> Column:

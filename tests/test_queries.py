@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from newsloom.plans import catalogue
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,5 +38,10 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"full_run"}))  # which test_run runs
+def test_query_without_sql_runs(spark, name):
+    assert entry.queries()[name](spark, D).columns
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
