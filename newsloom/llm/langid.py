@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 PROFILE = 300
-#: Training rows wanted for each language; more are thinned by a hash of the text. This bounds what is fitted.
+#: Different texts wanted for each language; more are thinned by a hash of the text. This bounds what is fitted.
 TRAINING_ROWS = 2_000
 UNKNOWN = "und"
 _BITS = np.uint64(21)
+_HASHES = 1 << 40
 
 
 @lru_cache(maxsize=1)
@@ -107,19 +108,20 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAINING_ROWS) -> Profiles:
-    """Profiles of the languages of these rows, from about ``rows`` texts of each (a bounded sample).
+    """Profiles of the languages of these rows, from about ``rows`` different texts of each (a bounded sample).
 
-    Only rows that have both a text and a lang count. The sample keeps a row where a hash of its text is
-    small enough for its language's share; n-grams are counted in the
+    Only rows that have both a text and a lang count, and rows of one text as one. The sample keeps a text where its hash is
+    small enough for its language's share, and of each language the text of the least hash in any case, so none is left out; n-grams are counted in the
     tasks and summed, then ranked, a language's n-grams together: as many as its sample has. The driver sees ``PROFILE`` n-grams of
-    each language; there are under 8,000 language codes, and no language is left out.
+    each language; there are under 8,000 language codes.
     """
-    base = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = base.groupBy("lang").count().collect()
+    base = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    of = F.pmod(F.col("hash"), F.lit(_HASHES))
+    sizes = base.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("least")).collect()
     if not sizes:
         return Profiles({})
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
-    sample = base.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
+    most = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["least"], int(min(1.0, rows / r["n"]) * _HASHES) - 1)))])
+    sample = base.where(of <= F.try_element_at(most, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     counted = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}
