@@ -19,7 +19,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.marked(documents(spark, sf_dir))
+    return substring.marked(documents(spark, sf_dir), least_words=1)  # every line that repeats, and passages across lines
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,23 @@ def test_substring_lines_of_any_length(spark):
     assert {x["doc_id"]: x["text"] for x in substring.marked(df).collect()} == dict(rows)
 
 
+def test_substring_leaves_no_line_twice(spark):
+    """Lines of any length, as the registered query takes them, against a loop: the earliest of a line stays, every other goes."""
+    r = random.Random(13)
+    lines = [" ".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(40)]
+    rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.5 else f"own{i}x{k} line" for k in range(r.randint(0, 9)))) for i in range(80)]
+    got = {x["doc_id"]: x["text"] for x in substring.marked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least_words=1).collect()}
+    seen, want = set(), {}
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            if line not in seen:
+                kept.append(line)
+            seen.add(line)
+        want[i] = [x for x in kept if x]
+    assert {i: [x for x in t.split("\n") if x.strip()] for i, t in got.items()} == want
+
+
 def test_substring_keeps_awkward_rows(spark, docs, empty):
     got = [(x["doc_id"], x["text"]) for x in substring.marked(docs).collect()]
     assert len(got) == len(ROWS) and (1, None) in got and (2, "") in got and substring.marked(empty).count() == 0
@@ -222,6 +239,14 @@ def test_language(docs, empty, spark):
     assert all(r["lang_pred"] == ("de" if r["doc_id"] % 2 else "en") for r in pred if r["held_out"])
 
 
+def test_no_language_is_lost_to_copies(spark):
+    """Thousands of copies of one text are one text, and a language of few texts is learned whatever their hashes."""
+    for seed in range(4):
+        rows = [(i, f"die und der nicht mit sich {seed}", "de") for i in range(4000)] + [(9000 + i, f"the and of with that word {i} {seed}", "en") for i in range(50)]
+        profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=1 + seed)
+        assert profiles.names == ["de", "en"] and profiles.predict("mit und nicht")[0] == "de" and profiles.predict("with the word")[0] == "en"
+
+
 def test_grams_match_a_plain_count():
     for text in ("Ab c, aB", "ünü 漢x", "a", "--"):
         s = re.sub(r" +", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {text} "))
@@ -339,6 +364,8 @@ def test_mixing(spark, docs, empty):
         assert r["target"] == pytest.approx(target[s]) and r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
     assert "tiny" in full and all(abs(taken[s] - target[s]) < 0.15 * target[s] + 60 for s in names)
+    largest = {s: max(len(t.split()) for _, t, x in rows if x == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= largest[s] + 1 for s in names)  # within one document
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.rated(df).collect()))
     assert mixing.mixed(df).count() == sum(r["copies"] for r in got) and mixing.mixed(df).columns == df.columns
     assert len(mixing.rated(docs).collect()) == len(ROWS) and mixing.rated(empty).count() == 0 and mixing.mixed(empty).count() == 0
