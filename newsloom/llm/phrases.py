@@ -7,8 +7,8 @@ adjacent word: of those only the places are read that end a frequent phrase of k
 frequent parts. So a phrase of k + 1 words is a pair (left, right) of frequent phrases of k words, one place apart. Lists stay with their block; what is shuffled
 to be summed is (left, right, length), and what comes back to a block is which of its phrases are frequent.
 
-Everything is counted per language (null: ``und``). Words are told apart by a 64-bit hash within a block, by their letters across blocks; frequent words and phrases
-get numbers of their own.
+Everything is counted per language (null: ``und``). Words are told apart by a 64-bit hash within a block, by their letters across blocks; frequent words
+get numbers of their own, frequent phrases a 64-bit hash of the numbers or hashes of their two parts.
 
 Null and empty texts have no words; rows that repeat count again; ties have a defined order; an empty table gives an empty one; a very long text is a block of its own
 (a block is never cut inside a document); columns other than doc_id, text and lang are ignored, whatever their names.
@@ -224,12 +224,11 @@ def mined(df: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words
         lists = _stored(file.groupBy("block").cogroup(frequent).applyInPandas(_extend, LISTS), f"{folder}/{k}")
         _dropped(df.sparkSession, f"{folder}/{k - 1}")
         each = _exploded(lists, "lefts", "rights", "sizes").toDF("block", "i", "left", "right", "n")
-        often = _stored(_frequent(each, ["left", "right"], least), f"{folder}/often{k}")
+        often = _stored(_frequent(each, ["left", "right"], least).withColumn("key", F.xxhash64("left", "right")).drop(*(() if k < longest else ("block", "i"))), f"{folder}/often{k}")
         first = levels[k - 1].select(F.col("key").alias("left"), "lang", *(f"w{j}" for j in range(1, k)))
         last = levels[k - 1].select(F.col("key").alias("right"), F.col(f"w{k - 1}").alias(f"w{k}"))
-        found = often.select("left", "right", "f").distinct().join(first, "left").join(last, "right")
-        levels[k] = _stored(found.withColumn("key", F.monotonically_increasing_id()), f"{folder}/phrases{k}")
-        marks = often.drop("f").join(levels[k].select("left", "right", "key"), ["left", "right"])
+        levels[k] = _stored(often.select("key", "left", "right", "f").distinct().join(first, "left").join(last, "right"), f"{folder}/phrases{k}")
+        marks = often
     return Mined(levels, total)
 
 
