@@ -6,7 +6,6 @@ Models are named as ``module:function``, which returns a classifier (see operato
 from __future__ import annotations
 
 import argparse
-import hashlib
 import importlib
 import json
 import logging
@@ -24,13 +23,13 @@ from newsloom.functions import values as V
 from newsloom.operators import audit, calibrate, decide, extract, governance, metrics, pipeline, predict, profiles, reports, ruleset
 from newsloom.operators.ruleset import REVIEW, RuleSet
 from newsloom.shipping import ship
-from newsloom.sources import feeds, sinks, web
+from newsloom.sources import feeds, sinks
 
 FAILURES = (OSError, ValueError, RuntimeError, feeds.CollectionError, PySparkException)
 
 
 def configure_logging(level: int = logging.INFO) -> None:
-    logging.basicConfig(format="%(asctime)s | %(levelname)s | %(name)s | %(message)s", datefmt="%Y-%m-%d %H:%M:%S", level=level, stream=sys.stderr, force=True)
+    logging.basicConfig(format="{levelname:.1} {asctime} {module}: {message}", style="{", level=level, stream=sys.stderr, force=True)
     logging.getLogger("py4j").setLevel(logging.ERROR)
 
 
@@ -63,9 +62,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=_limit, default=10)
     p.add_argument("--csv", default="news_analysis_results.csv")
     p.add_argument("--store", help="cumulative store to add the rows to")
-    p.add_argument("--feeds", help="landed feeds to read; default: ask the search")
-    p.add_argument("--pages", help="landed pages (Parquet: url, html, status, http_status) to read; default: fetch them")
-    p.add_argument("--landing", default="landing", help="folder for what is fetched, shared by the cluster")
+    p.add_argument("--feeds", help="landed feeds (RSS) to read")
+    p.add_argument("--pages", help="landed pages (Parquet: url, html, status, http_status) to take bodies from")
     p.add_argument("--enrich-content", action="store_true")
     p.add_argument("--no-review-enrichment", action="store_true")
     for x in ("confidence", "decision", "rule"):
@@ -110,9 +108,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--target-total", type=int, default=180)
     p.add_argument("--per-query", type=_limit, default=40)
     p.add_argument("--query", action="append", required=True)
-    p.add_argument("--feeds", help="folder of landed feeds, one folder per keyword; default: ask the search")
-    p.add_argument("--landing", default="landing")
-    p.add_argument("--enrich-content", action="store_true")
+    p.add_argument("--feeds", help="folder of landed feeds, one folder per keyword")
+    p.add_argument("--pages", help="landed pages to take bodies from")
     p.add_argument("--overwrite", action="store_true")
 
     p = command("prepare-review", prepare_review, "review sheet without predictions", rules=True)
@@ -221,20 +218,14 @@ def collect(args: argparse.Namespace) -> int:
     p = _load_profiles(args, _rules(args))
     settings = pipeline.Settings(p["rules"], _named(args.classifier), relaxed=p["relaxed"], input_mode=p["input_mode"], enrich_all=args.enrich_content, retry=not args.no_review_enrichment)
     ship(spark)
-    source = feeds.LandedFeeds(args.feeds) if args.feeds else web.SearchFeeds(os.path.join(args.landing, "feeds"))
+    source = feeds.LandedFeeds(V.require_non_blank(args.feeds or "", "--feeds"))
     try:
         articles = source.fetch(spark, keyword, args.limit)
         articles = articles.withColumn("ord", F.col("ord.file") * 128 + F.col("ord.place"))  # a feed gives at most 100 items
     except feeds.CollectionError as e:
         print(f"Pipeline status: {'NETWORK_ERROR' if isinstance(e, feeds.NetworkError) else 'COLLECTION_ERROR'}\n{e}\nNothing was saved.", file=sys.stderr)
         return 1
-    pages = None
-    if args.pages:
-        pages = spark.read.parquet(args.pages)
-    elif args.enrich_content or not args.no_review_enrichment:
-        at = os.path.join(args.landing, "pages", hashlib.sha256(keyword.encode()).hexdigest()[:16])
-        web.fetch_pages(articles.select(F.col("link").alias("url"))).write.mode("overwrite").parquet(at)
-        pages = spark.read.parquet(at)
+    pages = spark.read.parquet(args.pages) if args.pages else None
     result = pipeline.run(articles, settings, pages, created_at=datetime.now(timezone.utc).isoformat(timespec="seconds"))
     print(f"Pipeline status: {result.status}")
     if not result.succeeded:
@@ -374,7 +365,7 @@ def collect_evaluation(args: argparse.Namespace) -> int:
         raise FileExistsError(f"{args.output} exists")
     pools = []
     for n, keyword in enumerate(dict.fromkeys(V.require_non_blank(q, "query") for q in args.query)):
-        source = feeds.LandedFeeds(os.path.join(args.feeds, keyword)) if args.feeds else web.SearchFeeds(os.path.join(args.landing, "feeds"))
+        source = feeds.LandedFeeds(os.path.join(V.require_non_blank(args.feeds or "", "--feeds"), keyword))
         try:
             rows = source.fetch(spark, keyword, args.per_query)
         except feeds.CollectionError as e:
@@ -389,8 +380,8 @@ def collect_evaluation(args: argparse.Namespace) -> int:
         rows = rows.unionByName(more)
     rows = rows.withColumn("title", T.strip_source_suffix("title", "source")).withColumn("event_id", V.event_id("title")).where("event_id is not null")
     picked = pipeline.dedup.written(feeds.round_robin(rows, args.per_query, args.target_total))
-    if args.enrich_content:
-        picked = extract.enriched(picked, pipeline.dedup.written(web.fetch_pages(picked.select(F.col("link").alias("url")))))
+    if args.pages:
+        picked = extract.enriched(picked, spark.read.parquet(args.pages))
     out = picked.select(V.article_id(F.lit(""), F.col("link"), F.col("title"), F.col("source")).alias("id"), "event_id", *feeds.ARTICLE.fieldNames(), "turn", "query_ord").orderBy("turn", "query_ord").drop("turn", "query_ord")
     sinks.write_candidates(out.coalesce(1), args.output, args.overwrite)
     print(f"{picked.count()} candidates: {args.output}")

@@ -14,6 +14,8 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, field, replace
 
+import pandas as pd
+
 WEAK, STRONG = 1, 2
 REVIEW, FAILED, OVERFLOW = "검토필요", "분류실패", "기타"
 
@@ -160,51 +162,54 @@ def _need(holds: bool, message: str) -> None:
         raise ValueError(message)
 
 
+def _whole(x: object, least: int = 0) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and x >= least
+
+
+def _ascending(*xs: float) -> bool:
+    return list(xs) == sorted(xs)
+
+
+#: What holds of a rule set: name -> test.
+SET_CHECKS = {
+    "labels: each once": lambda r: len(set(r.labels)) == len(r.labels),
+    "labels: those named apart are among them": lambda r: {r.other_label, r.technology_label} <= set(r.labels),
+    "labels: every term has one": lambda r: {t.label for t in r.terms} <= set(r.labels),
+    "labels: two or more have terms, the other label none": lambda r: len(r.direct_labels) > 1 and r.other_label not in r.direct_labels,
+    "priorities: whole and different": lambda r: all(_whole(r.tie_priority.get(x)) for x in r.direct_labels) and len({r.tie_priority[x] for x in r.direct_labels}) == len(r.direct_labels),
+    "versions: named": lambda r: all(v.strip() for v in (r.version, r.matcher_version)),
+    "evidence: one event at least": lambda r: _whole(r.min_evidence_events, 1),
+    "domain terms: some, none blank": lambda r: len(r.domain_terms) > 0 and all(map(normalized, r.domain_terms)),
+    "unrelated groups: some in each, none blank": lambda r: all(len(g) > 0 and all(map(normalized, g)) for g in r.unrelated_groups),
+    "policy: shares from 0 to 1": lambda r: all(0 <= getattr(r.policy, x) <= 1 for x in ("model_keep_score", "model_keep_margin", "review_model_score", "ambiguity_score", "ambiguity_margin")),
+    "policy: rule scores whole, the least one above 0": lambda r: _whole(r.policy.min_rule_score, 1) and all(_whole(getattr(r.policy, x)) for x in ("min_rule_margin", "strong_override_score", "strong_override_margin")),
+    "policy: gates ascend": lambda r: _ascending(r.policy.review_model_score, r.policy.ambiguity_score, r.policy.model_keep_score) and _ascending(r.policy.ambiguity_margin, r.policy.model_keep_margin),
+    "policy: an override takes no less than a rule": lambda r: _ascending(r.policy.min_rule_score, r.policy.strong_override_score) and _ascending(r.policy.min_rule_margin, r.policy.strong_override_margin),
+}
+
+
+def _term_problems(rules: RuleSet) -> pd.DataFrame:
+    """phrase, problem of each term that fails a check; terms are a frame, and so are the checks."""
+    f = pd.DataFrame([(t.label, t.phrase, normalized(t.phrase), t.strength, t.origin, t.context_only, [x.strip().casefold() for x in t.evidence_event_ids]) for t in rules.terms],
+                     columns=["label", "phrase", "normal", "strength", "origin", "context", "events"])
+    spelling = f.groupby(f["normal"].str.replace(" ", ""))
+    added = f["origin"] == "development"
+    bad = {
+        "blank": f["normal"] == "", "twice": f["normal"].duplicated(keep=False), "of two labels": spelling["label"].transform("nunique") > 1, "of two strengths": spelling["strength"].transform("nunique") > 1,
+        "neither weak nor strong": ~f["strength"].map(lambda x: _whole(x) and x in (WEAK, STRONG)), "context neither true nor false": ~f["context"].map(lambda x: isinstance(x, bool)),
+        "of unknown origin": ~f["origin"].isin(["legacy", "development"]), "with blank events": f["events"].map(lambda x: not all(x)), "with an event twice": f["events"].map(lambda x: len(set(x)) < len(x)),
+        "added, but for context": added & (f["context"] == True), "added on too few events": added & (f["events"].map(len) < rules.min_evidence_events),  # noqa: E712
+    }
+    return pd.concat([pd.DataFrame({"phrase": f["phrase"][rows], "problem": name}) for name, rows in bad.items()])
+
+
 def validate(rules: RuleSet) -> RuleSet:
-    """The rule set, or ValueError that says which check it fails."""
-    labels = list(rules.labels)
-    _need(len(labels) == len(set(labels)), "candidate labels contain duplicates")
-    _need(rules.other_label in labels, "other label is not a candidate label")
-    _need(rules.technology_label in labels, "technology label is not a candidate label")
-    _need(bool(rules.version.strip() and rules.matcher_version.strip()), "rule and matcher versions must not be empty")
-    _need(isinstance(rules.min_evidence_events, int) and rules.min_evidence_events >= 1, "evidence events must be a positive integer")
-    direct = rules.direct_labels
-    _need({t.label for t in rules.terms} <= set(labels), "a term's label is not a candidate label")
-    _need(len(direct) >= 2, "at least two labels need rules")
-    _need(rules.other_label not in direct, "the other label takes no rules")
-    places = [rules.tie_priority.get(x) for x in direct]
-    _need(all(isinstance(p, int) and p >= 0 for p in places), "tie priorities must be non-negative integers")
-    _need(len(places) == len(set(places)), "tie priorities contain duplicates")
-    owner: dict[str, tuple[str, int]] = {}
-    seen: set[str] = set()
-    for t in rules.terms:
-        n = normalized(t.phrase)
-        _need(bool(n), f"empty phrase: {t.label}")
-        _need(n not in seen, f"phrase occurs twice: {t.phrase}")
-        seen.add(n)
-        _need(t.strength in (WEAK, STRONG) and not isinstance(t.strength, bool), f"strength must be weak or strong: {t.phrase}")
-        label, strength = owner.setdefault(n.replace(" ", ""), (t.label, t.strength))
-        _need(label == t.label, f"spellings of one phrase belong to two labels: {t.phrase}")
-        _need(strength == t.strength, f"spellings of one phrase differ in strength: {t.phrase}")
-        _need(isinstance(t.context_only, bool), "context_only must be boolean")
-        _need(t.origin in ("legacy", "development"), f"unknown origin: {t.origin}")
-        ids = [x.strip().casefold() for x in t.evidence_event_ids]
-        _need(all(ids), "evidence event ids must not be empty")
-        _need(len(ids) == len(set(ids)), "evidence event ids contain duplicates")
-        if t.origin == "development":
-            _need(not t.context_only, "a development term must score")
-            _need(len(ids) >= rules.min_evidence_events, f"too few evidence events: {t.phrase}")
-    p = rules.policy
-    _need(all(0.0 <= x <= 1.0 for x in (p.model_keep_score, p.model_keep_margin, p.review_model_score, p.ambiguity_score, p.ambiguity_margin)), "model thresholds must be from 0 to 1")
-    counts = (p.min_rule_score, p.min_rule_margin, p.strong_override_score, p.strong_override_margin)
-    _need(all(isinstance(x, int) and x >= 0 for x in counts), "rule thresholds must be non-negative integers")
-    _need(p.min_rule_score > 0, "the least rule score must be positive")
-    _need(p.strong_override_score >= p.min_rule_score, "the override score is below the rule score")
-    _need(p.strong_override_margin >= p.min_rule_margin, "the override margin is below the rule margin")
-    _need(p.review_model_score <= p.ambiguity_score <= p.model_keep_score, "review, ambiguity and keep scores must ascend")
-    _need(p.ambiguity_margin <= p.model_keep_margin, "the ambiguity margin exceeds the keep margin")
-    _need(bool(rules.domain_terms) and all(normalized(x) for x in rules.domain_terms), "domain terms must not be empty")
-    _need(all(g and all(normalized(x) for x in g) for g in rules.unrelated_groups), "unrelated groups must not be empty")
+    """The rule set, or ValueError that names every check that fails."""
+    wrong = [name for name, holds in SET_CHECKS.items() if not holds(rules)]
+    if rules.terms and not wrong:
+        wrong = [f"{p!r}: {problem}" for p, problem in _term_problems(rules).itertuples(index=False)]
+    if wrong:
+        raise ValueError("rule set refused: " + "; ".join(wrong))
     return rules
 
 

@@ -58,9 +58,12 @@ def test_extraction_branches():
     story = 'Fusion.globalContent={"type":"story","website_url":"/a","headlines":{"basic":"T"},"content_elements":[{"type":"text","content":"%s"}]}' % BODY
     assert got(f"<script>{story}</script>", title="T", url="https://x.example/a")[0] == "ARC_STORY_JSON"
     assert extract.extract(f"<article>{'x' * 39}</article>")[0] == "" and extract.extract(f"<article>{'x' * 40}</article>")[0] != ""
-    row = lambda method, url: ["wrb.fr", method, json.dumps(["garturlres", url])]
-    told = lambda *rows: ")]}'\n\n123\n" + json.dumps(rows)
-    good = row("Fbv4je", "https://p.example/a")
-    assert extract.lookup_target(told(good)) == "https://p.example/a"
-    for none in (told(row("x", "https://p.example/a")), told(good, good), told(row("Fbv4je", "https://consent.google.com/a")), told(row("Fbv4je", "http://10.0.0.1/a")), "[1", "", None):
-        assert extract.lookup_target(none) == ""
+    closed = story.replace('"type":"story"', '"type":"story","content_restrictions":{"restricted":true}')
+    assert got(f"<script>{closed}</script>", title="T", url="https://x.example/a")[1] == "restricted_story_data" and got(f"<script>{story}</script>", title="U", url="https://x.example/a")[0] == ""
+
+
+def test_a_fetched_page_counts_before_a_failed_one(spark):
+    pages = spark.createDataFrame([("https://p.example/a", "BLOCKED_HTTP", None, 403), ("https://p.example/a", "SUCCESS", f"<article><p>{BODY}</p></article>", 200), ("https://p.example/b", "TIMEOUT", None, None)], "url string, status string, html string, http_status int")
+    links = [("https://p.example/a", ""), ("https://p.example/b", "own text"), ("", ""), ("ftp://p.example/x", ""), ("https://p.example/c", "")]
+    got = {r["link"]: (r["enrichment_status"], r["content"]) for r in extract.enriched(spark.createDataFrame([(u, "t", c) for u, c in links], "link string, title string, content string"), pages).collect()}
+    assert got == {"https://p.example/a": ("BODY_EXTRACTED", BODY), "https://p.example/b": ("TIMEOUT", "own text"), "": ("NO_LINK", ""), "ftp://p.example/x": ("UNSAFE_URL", ""), "https://p.example/c": ("REQUEST_FAILED", "")}
