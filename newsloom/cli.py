@@ -229,7 +229,7 @@ def collect(args: argparse.Namespace) -> int:
     result = pipeline.run(articles, settings, pages, created_at=datetime.now(timezone.utc).isoformat(timespec="seconds"))
     print(f"Pipeline status: {result.status}")
     if not result.succeeded:
-        print(f"{result.error}\nNothing was saved.", file=sys.stderr)
+        print(f"{result.stage} {result.cause}: {result.error}\nNothing was saved.", file=sys.stderr)
         return 1
     none = spark.createDataFrame([], ", ".join(f"{c} string" for c in feeds.RESULT))
     rows = none if result.rows is None else pipeline.dedup.written(sinks.result_rows(result.rows, p["tiers"]))

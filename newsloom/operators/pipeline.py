@@ -1,6 +1,10 @@
-"""The whole run as one lazy composition, and the retry of what is held for review.
+"""The whole run, and the retry of what is held for review.
 
 collect -> clean titles -> group -> enrich? -> predict -> score rules -> decide -> retry? -> result rows.
+
+Each step is written once. What gates and reports need to know of it (rows in, rows out, failed or impossible predictions, totals) is observed by that
+write itself, so nothing is read a second time to be counted. A batch that fails says at which stage and why, and what was decided before
+stays as partial results.
 """
 
 from __future__ import annotations
@@ -8,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
-from . import decide, dedup, extract, metrics, predict, rules
+from . import decide, dedup, extract, predict, rules
 from .ruleset import REVIEW, Policy, RuleSet
 
 Classifier = Callable[[DataFrame], DataFrame]
@@ -35,37 +39,75 @@ class Settings:
     entities: bool = True
 
 
+# Stages that classify, and why a batch of them is not used.
+STAGES = ["CLASSIFICATION", "RECLASSIFICATION"]
+CAUSES = ["MODEL_INFERENCE_FAILURE", "PREDICTION_COUNT_MISMATCH", "MODEL_PREDICTION_FAILURE"]
+
+
+class BatchFailure(Exception):
+    """A batch whose predictions can't be used: cause is one of CAUSES."""
+
+    def __init__(self, cause: str, message: str):
+        super().__init__(message)
+        self.cause = cause
+
+
 @dataclass
 class Result:
+    """status, rows (with a failed batch: what was decided before it, if anything), and of a failure its message, stage and cause.
+    statistics: totals of rows, observed when they were written."""
+
     status: str
     rows: DataFrame | None = None
     error: str = ""
+    stage: str = ""
+    cause: str = ""
+    statistics: dict = field(default_factory=dict)
 
     @property
     def succeeded(self) -> bool:
         return self.status in ("SUCCESS", "NO_RESULTS")
 
-    def statistics(self) -> dict:
-        if self.rows is None:
-            return {}
-        d = F.col("decision")
-        flat = self.rows.select((F.size("related_articles") + 1).alias("group_article_count"), decide.confidence_tier(F.col("pred_score"), F.col("pred_margin")).alias("confidence"), d["rule_applied"].alias("applied"), d["final_label"].alias("final_label"))
-        return metrics.summary(flat).first().asDict()
+
+def observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """df written, and these metrics of it, taken by the write."""
+    seen = Observation()
+    out = dedup.written(df.observe(seen, *metrics))
+    if out.is_cached:  # nowhere to write to: kept in memory, which nothing has read yet
+        out.count()
+    return out, seen.get
+
+
+def totals() -> list[Column]:
+    """What a run reports, as metrics of its result."""
+    d = F.col("decision")
+    return [
+        F.count(F.lit(1)).alias("classified_count"), F.coalesce(F.sum((F.size("related_articles") + 1).cast("long")), F.lit(0)).alias("collected_count"),
+        F.count_if(d["rule_applied"]).alias("rule_applied_count"), F.count_if(d["final_label"] == REVIEW).alias("review_required_count"),
+    ]
 
 
 def with_input(df: DataFrame) -> DataFrame:
     return df.withColumn(INPUT, T.prepared_input(T.model_input(T.clean_text("title"), T.article_description("title", "description", "source"), T.clean_text("content")), entities=False))
 
 
-def classified(df: DataFrame, s: Settings) -> DataFrame:
-    """df (articles) with pred_*, ranking and decision.
+def classified(df: DataFrame, s: Settings, n: int) -> DataFrame:
+    """df (n articles) with pred_*, ranking and decision; BatchFailure if the classifier fails, loses or adds rows, or gives predictions that are none.
 
     Written out after predictions and ranking, and again after decisions: a filter or column on the decision would otherwise repeat all
     that it is made of wherever it is read.
     """
-    out = s.classifier(with_input(df))
-    cleaned = out.withColumn("raw_description", F.col("description")).withColumn("description", T.article_description("title", "description", "source"))
-    ranked = dedup.written(rules.rank_articles(cleaned, s.rules))
+    try:
+        out = s.classifier(with_input(df))
+        cleaned = out.withColumn("raw_description", F.col("description")).withColumn("description", T.article_description("title", "description", "source"))
+        ranked, told = observed(rules.rank_articles(cleaned, s.rules), *predict.problems(s.labels or list(s.rules.labels)))
+    except Exception as e:  # whatever a model raises, here or in a task
+        raise BatchFailure(CAUSES[0], str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__) from e
+    if told["rows"] != n:
+        raise BatchFailure(CAUSES[1], f"{n} texts, {told['rows']} predictions")
+    odd = {k: v for k, v in told.items() if k != "rows" and v}
+    if odd:
+        raise BatchFailure(CAUSES[2], ", ".join(f"{k}: {v} of {n}" for k, v in odd.items()))
     decided = ranked.withColumn("decision", decide.post_processed(s.rules, s.relaxed, s.input_mode))
     return dedup.written(decided.withColumn("description", F.col("raw_description")).drop("raw_description", "rule_text", "hits", "ranking", "rule_margin", "tied_labels"))
 
@@ -91,12 +133,13 @@ def retried(df: DataFrame, s: Settings, pages: DataFrame | None, already: bool =
     rest = rest.withColumn("retry", F.lit(None).cast("string"))
     old = held.withColumns({"old_content": F.col("content"), "old_input": F.col(INPUT), "first": F.struct("pred_label", "pred_score", "pred_margin", "decision"), "already": F.lit(already)})
     if pages is not None:
-        old = dedup.written(extract.enriched(old, pages))
+        old = extract.enriched(old, pages)
     else:
         old = old.withColumns({"enrichment_status": F.lit(None).cast("string"), "http_status": F.lit(None).cast("int"), "extraction": F.lit(None).cast("struct<content:string,method:string,reason:string,paragraph_count:int,candidate_count:int>")})
     old = with_input(old).withColumn("retry_status", retry_status(s.retry, pages is not None, F.col(INPUT) != F.col("old_input")))
+    old, told = observed(old, F.count_if(F.col("retry_status") == "PENDING").alias("pending"))
     pending = old.where(F.col("retry_status") == "PENDING")
-    again = classified(pending.drop(INPUT, "pred_label", "pred_score", "pred_margin", "pred_top_labels", "pred_top_scores", "decision"), s).withColumn("retry_status", F.lit("RECLASSIFIED"))
+    again = classified(pending.drop(INPUT, "pred_label", "pred_score", "pred_margin", "pred_top_labels", "pred_top_scores", "decision"), s, told["pending"]).withColumn("retry_status", F.lit("RECLASSIFIED"))
     stays = old.where(F.col("retry_status") != "PENDING").withColumns({"content": F.col("old_content"), INPUT: F.col("old_input")})
     both = again.unionByName(stays)
     record = F.struct(
@@ -110,14 +153,21 @@ def retried(df: DataFrame, s: Settings, pages: DataFrame | None, already: bool =
 def run(articles: DataFrame, s: Settings, pages: DataFrame | None = None, created_at: str = "") -> Result:
     """articles: ord and the article columns. pages: fetched pages (url, html), for bodies."""
     named = articles.withColumn("title", T.strip_source_suffix("title", "source", s.entities))
-    groups = dedup.written(dedup.deduplicate(named, s.entities))
-    if groups.isEmpty():
-        return Result("NO_RESULTS", None)
+    groups, told = observed(dedup.deduplicate(named, s.entities), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("group_article_count").cast("long")), F.lit(0)).alias("articles"))
+    if not told["rows"]:
+        return Result("NO_RESULTS", None, statistics={"collected_count": 0, "deduplicated_count": 0})
+    counts = {"collected_count": told["articles"], "deduplicated_count": told["rows"]}
     if s.enrich_all and pages is not None:
         groups = extract.enriched(groups, pages).drop("enrichment_status", "http_status", "extraction")
-    first = classified(groups.drop("group_article_count"), s)
-    problems = predict.check(first, s.labels or list(s.rules.labels)).first()
-    if problems["failed"] == problems["rows"] or problems["unknown_labels"] or problems["bad_scores"]:
-        return Result("MODEL_ERROR", first, f"{problems.asDict()}")
-    rows = retried(first, s, pages, already=s.enrich_all)
-    return Result("SUCCESS", rows.withColumn("created_at", F.lit(created_at)))
+    first, stage = None, STAGES[0]
+    try:
+        first = classified(groups.drop("group_article_count"), s, told["rows"])
+        stage = STAGES[1]
+        out = retried(first, s, pages, already=s.enrich_all)
+    except BatchFailure as e:
+        if first is None:
+            return Result("MODEL_ERROR", None, str(e), stage, e.cause, counts)
+        rows, found = observed(first.withColumns({"retry": F.lit(None).cast("string"), "created_at": F.lit(created_at)}), *totals())
+        return Result("MODEL_ERROR", rows, str(e), stage, e.cause, found | counts)
+    rows, found = observed(out.withColumn("created_at", F.lit(created_at)), *totals())
+    return Result("SUCCESS", rows, statistics=found | counts)

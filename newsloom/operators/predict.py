@@ -109,8 +109,13 @@ def centroid_scores(df: DataFrame, vector: str, centroids: dict[str, list[float]
     return F.array(*map(F.lit, centroids)), F.array(*cosines)
 
 
-def check(df: DataFrame, labels: list[str]) -> DataFrame:
-    """One row: rows, failed, unknown_labels, bad_scores; all but rows are 0 for sound predictions."""
+def problems(labels: list[str]) -> list[Column]:
+    """rows, failed, unknown_labels, bad_scores, as metrics of a table with predictions; all but rows are 0 for sound ones."""
     odd = F.col("pred_label").isNull() | ~F.col("pred_label").isin(FAILED, *labels)
     bad = F.isnan("pred_score") | ~F.col("pred_score").between(0.0, 1.0) | F.isnan("pred_margin") | ~F.col("pred_margin").between(0.0, 1.0) | (F.col("pred_margin") > F.col("pred_score"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("pred_label") == FAILED).alias("failed"), F.count_if(odd).alias("unknown_labels"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad_scores"))
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("pred_label") == FAILED).alias("failed"), F.count_if(odd).alias("unknown_labels"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad_scores")]
+
+
+def check(df: DataFrame, labels: list[str]) -> DataFrame:
+    """One row of the problems."""
+    return df.agg(*problems(labels))
