@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
-from . import decide, dedup, extract, predict, rules
+from . import decide, dedup, extract, predict, rules, scores
 from .ruleset import REVIEW, Policy, RuleSet
 
 Classifier = Callable[[DataFrame], DataFrame]
@@ -37,6 +37,7 @@ class Settings:
     enrich_all: bool = False
     retry: bool = True
     entities: bool = True
+    score_table: str | None = None  # folder of rankings that are kept between runs
 
 
 # Stages that classify, and why a batch of them is not used.
@@ -100,7 +101,8 @@ def classified(df: DataFrame, s: Settings, n: int) -> DataFrame:
     try:
         out = s.classifier(with_input(df))
         cleaned = out.withColumn("raw_description", F.col("description")).withColumn("description", T.article_description("title", "description", "source"))
-        ranked, told = observed(rules.rank_articles(cleaned, s.rules), *predict.problems(s.labels or list(s.rules.labels)))
+        scored = scores.ScoreTable(s.score_table, s.rules).ranked(cleaned)[0] if s.score_table else rules.rank_articles(cleaned, s.rules)
+        ranked, told = observed(scored, *predict.problems(s.labels or list(s.rules.labels)))
     except Exception as e:  # whatever a model raises, here or in a task
         raise BatchFailure(CAUSES[0], str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__) from e
     if told["rows"] != n:

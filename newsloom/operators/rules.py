@@ -177,15 +177,20 @@ def rank(df: DataFrame, text: Column, rules: RuleSet, prefix: str = "") -> DataF
 
 
 def rank_articles(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Rank title, description and content together. Description is the cleaned one (text.article_description)."""
+    """Rank title, description and content together. Description is the cleaned one (text.article_description). The ranking's column
+    carries the rule set's fingerprint."""
     joined = T.normalize_rule_text(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "description", "content")]))
     # the normalised text is computed by a UDF: name it once, so that it runs once
-    return rank(df.withColumn("rule_text", joined), F.col("rule_text"), rules)
+    return rank(df.withColumn("rule_text", joined), F.col("rule_text"), rules).withMetadata("ranking", {"rules": rules.fingerprint()})
 
 
 def ranked_once(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """rank_articles, unless df has a ranking already, which must be of the same rules and texts."""
-    return df if {"rule_text", "hits", "ranking", "rule_margin"} <= set(df.columns) else rank_articles(df, rules)
+    """rank_articles, unless df has a ranking by the same rule set already (told by the column's metadata), of texts that have not changed since.
+    Between runs scores.ScoreTable tells changed texts too."""
+    kept = {"rule_text", "hits", "ranking", "rule_margin", "tied_labels"}
+    if kept <= set(df.columns) and df.schema["ranking"].metadata.get("rules") == rules.fingerprint():
+        return df
+    return rank_articles(df.drop(*kept), rules)
 
 
 def score_for(ranking: Column, label: str) -> Column:

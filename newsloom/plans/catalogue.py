@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import values as V
-from newsloom.operators import audit, calibrate, decide, dedup, extract, metrics, pipeline, predict
+from newsloom.operators import audit, calibrate, decide, dedup, extract, metrics, pipeline, predict, rules, scores
 from newsloom.operators.ruleset import FAILED, REVIEW, Policy
 from newsloom.sources import feeds, sinks
 
@@ -163,6 +165,18 @@ def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     return A.ranked(spark, d).select("ord", F.explode("ranking").alias("r")).select("ord", "r.label", "r.score", "r.matches", "r.strong")
 
 
+@query(f"WITH {A.ARTICLES}, {A.SCORES} SELECT ord, label, score, matches, strong FROM scores")
+def rule_scores_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a table of rankings that grows run by run: first the articles of one language, then all, of which only the others are ranked anew."""
+    dedup.written(spark.range(1))  # sets the folder that the session names
+    folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="newsloom-")
+    table = scores.ScoreTable(f"{folder}/scores-{uuid.uuid4().hex}", A.rule_set(), lambda df, rs: rules.rank(df, F.col("rule_text"), rs), ("rule_text",))
+    texts = A.articles(spark, d).select("ord", "keyword", A.body().alias("rule_text"))
+    table.ranked(texts.where(F.col("keyword") == "en"))
+    full, _ = table.ranked(texts)
+    return full.select("ord", F.explode("ranking").alias("r")).select("ord", "r.label", "r.score", "r.matches", "r.strong")
+
+
 @query(f"WITH {A.ARTICLES}, {A.SCORES} SELECT b.ord, best, s1, s2, rule_margin, (SELECT count(*) FROM scores s WHERE s.ord = b.ord AND s.score = b.s1) AS tied FROM best b")
 def rule_ranking(spark: SparkSession, d: str) -> DataFrame:
     first, second = F.get("ranking", 0), F.get("ranking", 1)
