@@ -174,8 +174,19 @@ def _folder(df: DataFrame) -> str:
     return f"{df.sparkSession.sparkContext.getCheckpointDir()}/phrases-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the files of a query's shuffles go when the query ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    """df written to the shared folder and read back; of what it was made of nothing stays on the executors' disks."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
