@@ -578,6 +578,21 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return sinks.latest(o.where(even), o.where(~even)).select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice")
 
 
+@query("""WITH k AS (SELECT *, ntile(10) OVER (ORDER BY o_orderkey) AS batch FROM orders)
+SELECT o_custkey, o_orderstatus, o_orderkey, CAST(batch AS BIGINT) AS batch_seq FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS n FROM k) WHERE n = 1""")
+def store_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders saved to a bucketed store in ten batches: of each customer and status the last order stays, with the batch it came in."""
+    o = dedup.written(A.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey"))
+    n = o.count()
+    sizes = [n // 10 + (i < n % 10) for i in range(10)]
+    ends = o.select(F.percentile("o_orderkey", F.array(*[F.lit(sum(sizes[: i + 1]) - 1.0) / max(1, n - 1) for i in range(10)]))).first()[0]  # the last key of each batch
+    store = sinks.Store(f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='newsloom-')}/store-{uuid.uuid4().hex}", buckets=16)
+    rows = o.withColumns({"keyword": F.col("o_custkey").cast("string"), "title": F.col("o_orderstatus"), "source": F.lit(""), "ord": F.col("o_orderkey")})
+    for low, high in zip([None, *ends], ends or []):
+        store.save(rows.where((F.col("ord") <= round(high)) & (F.lit(True) if low is None else F.col("ord") > round(low))))
+    return store.load(spark).select("o_custkey", "o_orderstatus", "o_orderkey", "batch_seq")
+
+
 @query("SELECT doc_id, CAST(NULL AS DOUBLE) AS model_confidence, 1 AS group_article_count, '[]' AS related_articles, '{}' AS review_reclassification FROM documents")
 def schema_migration(spark: SparkSession, d: str) -> DataFrame:
     return sinks.migrated(A.table(spark, d, "documents")).select("doc_id", "model_confidence", "group_article_count", "related_articles", "review_reclassification")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,61 +108,105 @@ def migrated(df: DataFrame) -> DataFrame:
     return out
 
 
+class StoreConflict(RuntimeError):
+    """Another writer has made the version that this one was making; nothing of this save is in the store, and it can be tried again."""
+
+
 class Store:
-    """A cumulative Parquet store on any file system that the session reaches. Each save writes a new version beside the last and
-    then names it current, by one rename: a save that is broken off leaves the version before."""
+    """A cumulative Parquet store on any file system that the session reaches, of one row per unique key.
+
+    Rows lie in ``buckets`` by the hash of their key. A version is a manifest that names the folder of each bucket: a save rewrites the buckets that
+    its rows fall in and carries the others over by name, so what is written follows the batch, not the store. A manifest is made under its number,
+    by a rename that fails where that number is there: of two writers one wins and the other gets StoreConflict. A save that is broken off leaves the version
+    before. The ``kept`` last versions can be read; what only older ones name is deleted. The number of buckets is fixed by the first save.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, buckets: int = 64, kept: int = 2):
+        self.path, self.buckets, self.kept = path.rstrip("/"), buckets, kept
 
-    def _files(self, spark: SparkSession):
-        """The session's file system classes, its file system at the store, and the pointer's path."""
+    def _fs(self, spark: SparkSession):
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        pointer = hadoop.Path(self.path, "CURRENT")
-        fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return hadoop, fs, fs.makeQualified(pointer)
-
-    def _current(self, spark: SparkSession) -> str | None:
-        _, fs, pointer = self._files(spark)
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
+        top = hadoop.Path(self.path)
+        return hadoop, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """Numbers of the versions that can be read, ascending."""
+        hadoop, fs = self._fs(spark)
+        at = hadoop.Path(f"{self.path}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, spark: SparkSession, version: int | None = None) -> dict:
+        """version, buckets (their number) and at (bucket -> folder under the store) of a version, the last one by default."""
+        known = self.versions(spark)
+        if version is None and not known:
+            return {"version": 0, "buckets": self.buckets, "at": {}}
+        hadoop, fs = self._fs(spark)
+        stream = fs.open(hadoop.Path(f"{self.path}/versions/{known[-1] if version is None else version}.json"))
         try:
-            name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return f"{self.path}/{name.strip()}"
 
-    def _point(self, spark: SparkSession, name: str) -> None:
-        hadoop, fs, pointer = self._files(spark)
-        written = hadoop.Path(pointer.getParent(), f"CURRENT-{name}")
-        out = fs.create(written, True)
+    def _commit(self, spark: SparkSession, manifest: dict) -> None:
+        hadoop, fs = self._fs(spark)
+        final = fs.makeQualified(hadoop.Path(f"{self.path}/versions/{manifest['version']}.json"))
+        draft = hadoop.Path(final.getParent(), f"_{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
         try:
-            out.write(bytearray(name.encode()))
+            out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-        over[0] = hadoop.Options.Rename.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(written, pointer, over)
-
-    def load(self, spark: SparkSession) -> DataFrame | None:
-        at = self._current(spark)
-        return None if at is None else migrated(spark.read.parquet(at))
-
-    def save(self, rows: DataFrame) -> None:
-        """rows: the result columns and ord. Skipped when there are none."""
-        if rows.isEmpty():
-            return
+        options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.NONE
+        try:
+            hadoop.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(draft, final, options)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if fs.exists(final):
+                raise StoreConflict(f"version {manifest['version']} of {self.path} was made by another writer") from e
+            raise
+
+    def _read(self, spark: SparkSession, manifest: dict, wanted: set[int] | None = None) -> DataFrame | None:
+        at = [f"{self.path}/{p}" for b, p in sorted(manifest["at"].items()) if wanted is None or int(b) in wanted]
+        return migrated(spark.read.option("mergeSchema", "true").parquet(*at)) if at else None
+
+    def load(self, spark: SparkSession, version: int | None = None) -> DataFrame | None:
+        return self._read(spark, self.manifest(spark, version))
+
+    def save(self, rows: DataFrame, on: dict | None = None) -> int:
+        """rows: the result columns and ord; the number of the version made, 0 without rows. on: the manifest that the save builds on, the last by default."""
         spark = rows.sparkSession
-        before, old = self.load(spark), self._current(spark)
-        seq = 0 if before is None else (before.agg(F.max("batch_seq")).first()[0] or 0)
-        new = rows.withColumn("batch_seq", F.lit(seq + 1).cast("long"))
-        name = f"v{seq + 1}-{uuid.uuid4().hex[:8]}"
-        (latest(before, new) if before is not None else latest(new.limit(0), new)).write.parquet(f"{self.path}/{name}")
-        self._point(spark, name)
-        if old:
-            hadoop, fs, _ = self._files(spark)
-            fs.delete(hadoop.Path(old), True)
+        before = on or self.manifest(spark)
+        bucket = F.pmod(F.xxhash64("unique_key"), F.lit(before["buckets"])).cast("int")
+        new = rows.withColumns({"batch_seq": F.lit(before["version"] + 1).cast("long"), "unique_key": unique_key()}).withColumn("bucket", bucket)
+        touched = {r[0] for r in new.select("bucket").distinct().collect()}  # as many as there are buckets
+        if not touched:
+            return 0
+        old = self._read(spark, before, touched)
+        both = latest((new.limit(0) if old is None else old).drop("bucket"), new.drop("bucket")).withColumn("bucket", bucket)
+        folder = f"data/{uuid.uuid4().hex}"
+        both.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        made = {str(b): f"{folder}/bucket={b}" for b in sorted(touched)}
+        try:
+            self._commit(spark, {"version": before["version"] + 1, "buckets": before["buckets"], "at": before["at"] | made})
+        except Exception:
+            hadoop, fs = self._fs(spark)
+            fs.delete(hadoop.Path(f"{self.path}/{folder}"), True)
+            raise
+        self._clear(spark)
+        return before["version"] + 1
+
+    def _clear(self, spark: SparkSession) -> None:
+        """Delete versions beyond the kept ones, and the folders that only they name."""
+        known = self.versions(spark)
+        gone, stay = known[: -self.kept], known[-self.kept :]
+        held = {p for v in stay for p in self.manifest(spark, v)["at"].values()}
+        hadoop, fs = self._fs(spark)
+        for v in gone:
+            for p in set(self.manifest(spark, v)["at"].values()) - held:
+                fs.delete(hadoop.Path(f"{self.path}/{p}"), True)
+            fs.delete(hadoop.Path(f"{self.path}/versions/{v}.json"), False)
 
 
 def write_candidates(df: DataFrame, path: str, overwrite: bool = False) -> None:

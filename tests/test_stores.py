@@ -43,7 +43,7 @@ def test_csv_and_store(spark, tmp_path):
     store.save(df.withColumn("ord", F.lit(1).cast("long")))
     store.save(df.where("title = 'x'").withColumns({"ord": F.lit(1).cast("long"), "link": F.lit("new")}))
     assert {(r["title"], r["link"]) for r in store.load(spark).collect()} == {("x", "new"), ("é,\n", "x")}
-    assert sorted(x.name[:2] for x in (tmp_path / "store").iterdir() if not x.name.startswith(".")) == ["CU", "v2"]
+    assert sorted(x.name for x in (tmp_path / "store" / "versions").iterdir() if not x.name.startswith(".")) == ["1.json", "2.json"]
 
 
 def test_store_by_address(spark, tmp_path):
@@ -61,6 +61,41 @@ def test_store_by_address(spark, tmp_path):
     assert [(r["link"], r["batch_seq"]) for r in store.load(spark).collect()] == [("two", 2)]
 
 
+def _batch(spark, keys, link):
+    return spark.createDataFrame([("k", str(x), "s", f"{link}{i}", i) for i, x in enumerate(keys)], "keyword string, title string, source string, link string, ord long")
+
+
+def _files(path):
+    return {p.relative_to(path): p.stat().st_mtime_ns for p in (path / "data").rglob("*.parquet")}
+
+
+def test_a_save_writes_what_its_rows_fall_in(spark, tmp_path):
+    store = sinks.Store(str(tmp_path), buckets=16)
+    assert store.save(_batch(spark, range(500), "a")) == 1 and len(store.manifest(spark)["at"]) == 16
+    before, first = _files(tmp_path), store.manifest(spark)["at"]
+    assert store.save(_batch(spark, [7, 7, 1000], "b")) == 2
+    after, second = _files(tmp_path), store.manifest(spark)["at"]
+    changed = {b for b in second if second[b] != first[b]}
+    assert 1 <= len(changed) <= 2 and len(set(after) - set(before)) <= 2 and all(after[f] == t for f, t in before.items())  # nothing else was touched
+    got = {r["title"]: r["link"] for r in store.load(spark).collect()}
+    assert len(got) == 501 and got["7"] == "b1" and got["1000"] == "b2" and got["8"] == "a8"  # the last of a batch counts
+    assert {r["title"]: r["link"] for r in store.load(spark, 1).collect()}["7"] == "a7"  # the version before can still be read
+    assert store.save(_batch(spark, [7], "c")) == 3 and store.versions(spark) == [2, 3] and all((tmp_path / p).exists() for v in (2, 3) for p in store.manifest(spark, v)["at"].values())
+    assert sum(p.is_dir() for p in (tmp_path / "data").glob("*/bucket=*")) == len({p for v in (2, 3) for p in store.manifest(spark, v)["at"].values()})
+
+
+def test_of_two_writers_one_loses(spark, tmp_path):
+    store = sinks.Store(str(tmp_path), buckets=4)
+    store.save(_batch(spark, range(10), "a"))
+    seen = store.manifest(spark)
+    assert sinks.Store(str(tmp_path)).save(_batch(spark, [1], "b"), on=seen) == 2  # the number of buckets is the store's
+    with pytest.raises(sinks.StoreConflict):
+        store.save(_batch(spark, [1, 2], "c"), on=seen)
+    got = {r["title"]: r["link"] for r in store.load(spark).collect()}
+    assert got["1"] == "b0" and got["2"] == "a2" and store.versions(spark) == [1, 2] and len(list((tmp_path / "data").iterdir())) == 2
+    assert store.save(_batch(spark, [1, 2], "c")) == 3 and store.load(spark).where("title = '2'").first()["link"] == "c1"
+
+
 def test_feed(spark, tmp_path):
     item = "<item><title>T{0} &amp;amp; x</title><link>http://a.example/{0}</link><pubDate>Sun, 04 Oct 2026 10:00:00 GMT</pubDate><source url='u'>S</source><description>&lt;b&gt;two words&lt;/b&gt;</description></item>"
     (tmp_path / "f.xml").write_text("<rss><channel>" + item.format(1) + "<item><title>no link</title></item>" + item.format(2) + item.format(3) + "</channel></rss>")
