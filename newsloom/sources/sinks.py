@@ -174,10 +174,14 @@ class Store:
     def load(self, spark: SparkSession, version: int | None = None) -> DataFrame | None:
         return self._read(spark, self.manifest(spark, version))
 
-    def save(self, rows: DataFrame, on: dict | None = None) -> int:
-        """rows: the result columns and ord; the number of the version made, 0 without rows. on: the manifest that the save builds on, the last by default."""
+    def save(self, rows: DataFrame, on: dict | None = None, tag: tuple[str, int] | None = None) -> int:
+        """rows: the result columns and ord; the number of the version made, 0 without rows. on: the manifest that the save builds on, the last by default.
+        tag: (writer, number) of a batch of a stream; a batch that the writer has saved already, or an earlier one, changes nothing, and 0 is returned."""
         spark = rows.sparkSession
         before = on or self.manifest(spark)
+        tags = before.get("tags", {})
+        if tag and tags.get(tag[0], -1) >= tag[1]:
+            return 0
         bucket = F.pmod(F.xxhash64("unique_key"), F.lit(before["buckets"])).cast("int")
         new = rows.withColumns({"batch_seq": F.lit(before["version"] + 1).cast("long"), "unique_key": unique_key()}).withColumn("bucket", bucket)
         touched = {r[0] for r in new.select("bucket").distinct().collect()}  # as many as there are buckets
@@ -189,7 +193,7 @@ class Store:
         both.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         made = {str(b): f"{folder}/bucket={b}" for b in sorted(touched)}
         try:
-            self._commit(spark, {"version": before["version"] + 1, "buckets": before["buckets"], "at": before["at"] | made})
+            self._commit(spark, {"version": before["version"] + 1, "buckets": before["buckets"], "at": before["at"] | made, "tags": tags | dict([tag] if tag else [])})
         except Exception:
             hadoop, fs = self._fs(spark)
             fs.delete(hadoop.Path(f"{self.path}/{folder}"), True)

@@ -31,9 +31,10 @@ def counts_by_window(articles: DataFrame, label: str, window: str = "1 hour", la
 
 
 def keep(results: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each batch of result rows (with ord) to the store; the last one of a key stays. Replayed batches change nothing."""
+    """Write each batch of result rows (with ord) to the store; the last one of a key stays. The store's manifest has the number of this stream's last
+    batch, so a batch that is replayed after a failure changes nothing."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        store.save(batch)
+    def save(batch: DataFrame, number: int) -> None:
+        store.save(batch, tag=(checkpoint, number))
 
     return results.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
