@@ -146,6 +146,14 @@ def rule_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("id", "label", "phrase").agg(F.array_sort(F.collect_set("field")).alias("fields"), (F.count_if(F.col("field") != "content") == 0).alias("body_only"))
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows that agree on keys (null agrees with null) the first in order, ties by all other columns; with df's columns. One aggregate whose state is one
+    row, made in the tasks first, so a key that very many rows have is no hot spot."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first"))
+    return first.select(*keys, *[F.col("first")[c].alias(c) for c in [*order, *rest]]).select(*df.columns)
+
+
 # --- stored results ---------------------------------------------------------------------------------
 
 

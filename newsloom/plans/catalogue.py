@@ -629,12 +629,12 @@ def article_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_DECIDED}, x AS (SELECT a.ord, a.link, trim(a.content) AS old, p.html FROM decided d JOIN articles a ON a.ord = d.ord LEFT JOIN pages p ON p.page_id = a.ord WHERE final_label = '{REVIEW}')
-SELECT CASE WHEN old <> '' THEN 'CONTENT_PRESENT' WHEN ord % 3 = 0 THEN 'NO_LINK' WHEN html IS NULL THEN 'REQUEST_FAILED' ELSE 'PENDING' END AS status, count(*) AS n FROM x GROUP BY 1""")
+SELECT CASE WHEN old <> '' THEN 'CONTENT_PRESENT' WHEN ord % 3 = 0 THEN 'NO_LINK' WHEN html IS NULL THEN 'REQUEST_FAILED' WHEN NOT regexp_matches(html, '\\S') THEN 'NO_CONTENT' ELSE 'PENDING' END AS status, count(*) AS n FROM x GROUP BY 1""")
 def retry_outcomes(spark: SparkSession, d: str) -> DataFrame:
     # kept first: a filter on the decision would be pushed below all that it is made of, each reference written out
-    kept = A.decided(spark, d).select("ord", "link", "content", F.col("decision.final_label").alias("final_label")).persist()
+    kept = dedup.written(A.decided(spark, d).select("ord", "link", "content", F.col("decision.final_label").alias("final_label")))
     held = kept.where(F.col("final_label") == REVIEW)
-    pages = A.table(spark, d, "pages").select(F.col("page_id").alias("ord"), F.lit("fetched").alias("new"))
+    pages = A.table(spark, d, "pages").select(F.col("page_id").alias("ord"), F.col("html").alias("new"))
     j = held.join(pages, "ord", "left")
     rows = j.select(F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("link")).alias("link"), F.col("content").alias("old_content"), F.coalesce("new", F.lit("")).alias("content"), F.when(F.col("new").isNull(), "REQUEST_FAILED").alias("enrichment_status"), F.lit(False).alias("already"))
     return rows.groupBy(pipeline.retry_status(True, True, F.lit(True)).alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -659,9 +659,19 @@ def round_robin_pick(spark: SparkSession, d: str) -> DataFrame:
     return feeds.round_robin(c, 40, 180).select("query_ord", F.col("_turn").alias("pick"), "event_id")
 
 
-@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("""SELECT doc_id, source, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS place FROM documents) WHERE place = 1""")
 def first_wins_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    """Whole rows: of equal texts the first by doc_id."""
+    return audit.first_of_each(A.table(spark, d, "documents").select("doc_id", "source", "lang", "text"), ["text"], ["doc_id"])
+
+
+@query(f"""{_DECIDED}, t AS (SELECT CASE WHEN ord % 7 = 0 THEN '' WHEN ord % 11 = 0 THEN '1.5' ELSE CAST(round(pred_score, 3) AS VARCHAR) END AS x FROM decided), v AS (SELECT CASE WHEN TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 1 THEN TRY_CAST(x AS DOUBLE) END AS x FROM t)
+SELECT count(x) AS valid, count(*) - count(x) AS invalid, count(CASE WHEN x < 0.5 THEN 1 END) AS below, min(x) AS low, max(x) AS high, round(avg(x), 6) AS mean FROM v""")
+def audit_metric(spark: SparkSession, d: str) -> DataFrame:
+    """A stored score column as text, some of it empty and some out of range."""
+    x = A.decided(spark, d)
+    shown = F.when(F.col("ord") % 7 == 0, "").when(F.col("ord") % 11 == 0, "1.5").otherwise(F.round("pred_score", 3).cast("string"))
+    return audit.metric(x.select(shown.alias("model_score")), "model_score", 0.5).withColumn("mean", F.round("mean", 6))
 
 
 @query("""WITH c AS (SELECT label, list_transform(generate_series(1, len(any_value(embedding))), lambda i: i) AS dims FROM embeddings GROUP BY label) SELECT label, len(dims) AS dims FROM c""")

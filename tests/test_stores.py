@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import calibrate, governance, metrics
+from newsloom.operators import audit, calibrate, governance, metrics
 from newsloom.operators.ruleset import REVIEW, Policy
 from newsloom.sources import feeds, sinks
 
@@ -122,6 +122,14 @@ def test_gates(spark, tmp_path):
         governance.replace_json(path, {"b": float("nan")})
 
 
+def test_first_of_each(spark):
+    rows = [("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), (None, 5, "n"), (None, 4, "m"), ("", 9, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v string").select("v", "k", "o").repartition(3)
+    got = audit.first_of_each(df, ["k"], ["o"])
+    assert got.columns == ["v", "k", "o"] and sorted(map(tuple, got.collect()), key=str) == sorted([("y", "a", 1), ("m", None, 4), (None, "", 9)], key=str)
+    assert audit.first_of_each(df.where("false"), ["k"], ["o"]).count() == 0
+
+
 def test_round_robin(spark):
     def picked(rows, target=10):
         df = spark.createDataFrame(rows, "query_ord int, place int, event_id string")
