@@ -338,10 +338,13 @@ samples AS (SELECT d.ord, a.keyword AS gold, a.source AS keyword, left(sha256(lo
   pred_label = a.keyword AS correct, final_label AS before, relaxed AS after FROM decided d JOIN articles a ON a.ord = d.ord JOIN relaxed_rows r ON r.ord = d.ord)"""
 
 
-def _samples(spark: SparkSession, d: str, steps: int = 20) -> DataFrame:
+_RAW = _SAMPLES.replace("round(floor(pred_score * 20) / 20, 2)", "pred_score").replace("round(floor(pred_margin * 20) / 20, 2)", "pred_margin")
+
+
+def _samples(spark: SparkSession, d: str, steps: int | None = 20) -> DataFrame:
     x = A.decided(spark, d)
     open_ = decide.decision(A.rule_set(), Policy(review_model_score=0.0, ambiguity_score=0.0, ambiguity_margin=0.0))["final_label"]
-    step = lambda c: F.round(F.floor(F.col(c) * steps) / steps, 2)
+    step = lambda c: F.round(F.floor(F.col(c) * steps) / steps, 2) if steps else F.col(c)
     event = F.substring(F.sha2(F.lower(F.regexp_replace("title", "\\s+", "")), 256), 1, 16)
     return x.select("ord", "gold", F.col("source").alias("keyword"), event.alias("event_id"), step("pred_score").alias("score"), step("pred_margin").alias("margin"), (F.col("pred_label") == F.col("gold")).alias("correct"), F.col("decision.final_label").alias("before"), open_.alias("after"))
 
@@ -358,9 +361,11 @@ def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.select("score", "margin", "support", *[F.round(c, 6).alias(c) for c in ("coverage", "accuracy", "lower_bound")])
 
 
-@query(f"{_SAMPLES}, {_GRID} SELECT score, margin, support, round(accuracy, 6) AS accuracy FROM grid WHERE support >= 15 AND lower_bound >= 0.6 ORDER BY support DESC, lower_bound DESC, accuracy DESC, score, margin LIMIT 1")
+@query(f"{_RAW}, {_GRID} SELECT round(score, 9) AS score, round(margin, 9) AS margin, support, round(accuracy, 6) AS accuracy FROM grid WHERE support >= 15 AND lower_bound >= 0.6 ORDER BY support DESC, lower_bound DESC, accuracy DESC, score, margin LIMIT 1")
 def best_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.best_threshold(calibrate.threshold_grid(_samples(spark, d), 0.6, 15)).select("score", "margin", "support", F.round("accuracy", 6).alias("accuracy"))
+    """Over the scores as they are."""
+    best = calibrate.best_threshold(calibrate.threshold_grid(_samples(spark, d, None), 0.6, 15, best=True))
+    return best.select(F.round("score", 9).alias("score"), F.round("margin", 9).alias("margin"), "support", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(f"""{_SAMPLES}, {_GRID}, h AS (SELECT score AS hs, margin AS hm, support AS hn, coverage AS hcov, accuracy AS ha, lower_bound AS hb FROM grid WHERE support >= 15 AND lower_bound >= 0.8),

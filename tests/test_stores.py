@@ -1,6 +1,7 @@
 """Metrics, calibration, stores and gates on fixed values."""
 
 import csv
+import math
 import random
 
 import pytest
@@ -20,6 +21,32 @@ def test_metrics(spark):
     assert (c["rule_applied_count"], c["rule_changed_count"], c["wrong_rule_count"], c["wrong_rule_rate"], c["corrected_count"], c["harmful_change_count"]) == (4, 2, 2, 0.5, 1, 1)
 
 
+@pytest.mark.parametrize("n,steps", [(0, 5), (1, 5), (60, 4), (400, 10_000)])
+def test_sweep_equals_all_pairs(spark, n, steps, monkeypatch):
+    """Every pair of observed values against every sample, few values and many; a task holds a few cells at a time."""
+    monkeypatch.setattr(calibrate, "CELLS", 700)
+    r = random.Random(n)
+    rows = []
+    for _ in range(n):
+        score = r.randrange(1, steps + 1) / steps
+        rows.append((score, min(score, r.randrange(steps + 1) / steps), r.random() < 0.4 + score / 2))
+    df = spark.createDataFrame(rows, "score double, margin double, correct boolean")
+    want = {}
+    for s in {x[0] for x in rows}:
+        for m in {x[1] for x in rows}:
+            inside = [x[2] for x in rows if x[0] >= s and x[1] >= m]
+            if len(inside) >= 5:
+                k, c, p = len(inside), sum(inside), sum(inside) / len(inside)
+                low = (p + 1.9208 / k - 1.96 * math.sqrt(p * (1 - p) / k + 0.9604 / (k * k))) / (1 + 3.8416 / k)
+                if low >= 0.6:
+                    want[s, m] = (k, c)
+    got = calibrate.threshold_grid(df, 0.6, 5).collect()
+    assert {(x["score"], x["margin"]): (x["support"], round(x["accuracy"] * x["support"])) for x in got} == want and len(got) == len(want)
+    best = calibrate.best_threshold(calibrate.threshold_grid(df, 0.6, 5, best=True)).collect()
+    top = sorted(want, key=lambda x: (-want[x][0], -want[x][1], *x))[:1]
+    assert [(x["score"], x["margin"]) for x in best] == top
+
+
 def test_tiers(spark):
     rows = [(0.9, 0.3, True)] * 20 + [(0.6, 0.1, i < 18) for i in range(20)] + [(0.3, 0.01, i < 5) for i in range(20)]
     r = calibrate.tiers(spark.createDataFrame(rows, "score double, margin double, correct boolean"), 0.80, 0.60).first()
