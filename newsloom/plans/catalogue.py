@@ -244,6 +244,22 @@ def dedup_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(_stories(spark, d), entities=False, fold=False).select("ord", "group_article_count", F.transform("related_articles", lambda r: r["link"]).alias("references"))
 
 
+@query("""WITH RECURSIVE a AS (SELECT source, doc_id AS ord, (doc_id * 7919) % 997 AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+r AS (SELECT DISTINCT source, 0::BIGINT AS place, []::STRUCT(rep BIGINT, lo BIGINT, hi BIGINT)[] AS gs, NULL::BIGINT AS ord, NULL::BIGINT AS rep FROM a UNION ALL
+  SELECT source, place, CASE WHEN k IS NULL THEN list_append(gs, {'rep': ord, 'lo': h, 'hi': h}) ELSE list_transform(gs, lambda g: CASE WHEN g.rep = k THEN {'rep': g.rep, 'lo': least(g.lo, h), 'hi': greatest(g.hi, h)} ELSE g END) END, ord, coalesce(k, ord) FROM (
+    SELECT a.source, a.place, a.ord, a.h, r.gs, list_filter(r.gs, lambda g: a.h >= g.hi - 48 AND a.h <= g.lo + 48)[1].rep AS k FROM r JOIN a ON a.source IS NOT DISTINCT FROM r.source AND a.place = r.place + 1))
+SELECT ord, rep FROM r WHERE ord IS NOT NULL""")
+def first_fit_48h(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of one title by each source, out of order in time: each joins the first group all of whose members are within 48 hours. Components of
+    over 20 are cut into spans of ten days, which need rounds."""
+    a = A.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.xxhash64("source").alias("comp"), F.coalesce("source", F.lit("")).alias("source_key"), ((F.col("doc_id") * 7919) % 997 * F.lit(3_600_000_000)).alias("us"))
+    none, key = F.array().cast("array<string>"), F.col("comp")
+    given = {"title_key": F.lit("t"), "source_key": F.col("source_key"), "us": F.col("us"), "exact": key, "near": key, "shown_title": F.lit("t"), "cues": none, "words": none, "n_distinct": F.lit(1), "word_text": F.lit("t"), "numbers": none,
+             "description_words": none, "description_numbers": none, "description_text": F.lit("")}
+    original = F.struct(*[given[c].alias(c) for c in dedup.ORIGINAL])
+    return dedup.first_fit(a.select("comp", "ord", F.col("us").alias("at"), F.lit(False).alias("undated"), F.array(original).alias("originals")), whole=20, span_hours=240)
+
+
 def pairs_48h(a: DataFrame, keys: list[str], at: str, id_: str) -> DataFrame:
     """Pairs of a's rows that agree on keys and are at most 48 hours apart, the other's columns with ``_b``. Time is cut into
     spans of 48 hours, which are part of the join key: a key that very many rows have is spread over its spans."""
