@@ -25,3 +25,14 @@ def test_a_run_prepares_each_text_once(spark, monkeypatch):
     out = pipeline.classified(df, pipeline.Settings(A.rule_set(), classifier, A.LABELS), 5)
     assert max(p.count("기사제목") for p in plans) <= 2
     assert out.count() == 5 and "own_description" not in out.columns
+
+
+def test_pairs_of_sets_are_all_pairs(spark):
+    rng = random.Random(3)
+    words = [["a", "b", "c", "d"], ["a", "b", "c", "정부는"], ["a", "b", "c", "정부는의"], ["q", "r", "s", "t"]]
+    rows = [(i, sorted(rng.choice(words))) for i in range(60)]
+    agree = lambda x, y: T.compatible_words(x, y)
+    df = spark.createDataFrame(rows, "ord long, words array<string>")
+    got = sorted(map(tuple, catalogue.pairs_of_sets(df, agree, block=4).collect()))
+    each = df.alias("x").crossJoin(df.select(F.col("ord").alias("o"), F.col("words").alias("w"))).where((F.col("ord") < F.col("o")) & agree(F.col("words"), F.col("w")))
+    assert got == sorted((r["ord"], r["o"]) for r in each.collect()) and len(got) > 400
