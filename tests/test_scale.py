@@ -36,3 +36,17 @@ def test_pairs_of_sets_are_all_pairs(spark):
     got = sorted(map(tuple, catalogue.pairs_of_sets(df, agree, block=4).collect()))
     each = df.alias("x").crossJoin(df.select(F.col("ord").alias("o"), F.col("words").alias("w"))).where((F.col("ord") < F.col("o")) & agree(F.col("words"), F.col("w")))
     assert got == sorted((r["ord"], r["o"]) for r in each.collect()) and len(got) > 400
+
+
+def test_slices_keep_rows_in_order(spark):
+    df = spark.range(0, 1_001, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("the x the "), F.col("id").cast("string"))).alias("t"))
+    got = {r["id"]: r["s"] for r in df.select("id", rules.spans(F.col("t"), "[0-9]+").alias("s")).collect()}
+    assert len(got) == 1_001 and all(got[i] is None if i % 7 == 0 else [(x["s"], x["e"]) for x in got[i]] == [(10, 10 + len(str(i)))] for i in got)
+    assert T.SLICE < 1_001
+
+
+def test_space_is_pythons(spark):
+    odd = [chr(c) for c in range(1, 0x3100) if chr(c).isspace()]
+    texts = ["".join(odd), *[f"a{c}b" for c in odd], *[f"a {c}b" for c in odd], *[f"a{c} b{c}" for c in odd], "a  b", " a b "]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(T.squeezed("t")).collect()]
+    assert got == [" ".join(t.split()) for t in texts]
