@@ -45,6 +45,10 @@ def test_slices_keep_rows_in_order(spark):
     assert T.SLICE < 1_001
 
 
+def test_texts_are_ranked_once(spark):
+    assert plan(catalogue.rule_scores(spark, SF)).count("ArrowEvalPython") == 1
+
+
 def test_space_is_pythons(spark):
     odd = [chr(c) for c in range(1, 0x3100) if chr(c).isspace()]
     texts = ["".join(odd), *[f"a{c}b" for c in odd], *[f"a {c}b" for c in odd], *[f"a{c} b{c}" for c in odd], "a  b", " a b "]
