@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import dedup, extract, pipeline, predict, rules
+from newsloom.operators import dedup, pipeline, predict, rules
 from newsloom.plans import articles as A
 from newsloom.plans import catalogue
 
@@ -49,8 +49,19 @@ def test_texts_are_ranked_once(spark):
     assert plan(catalogue.rule_scores(spark, SF)).count("ArrowEvalPython") == 1
 
 
+def test_decisions_are_read_from_what_is_written(spark):
+    assert all("ArrowEvalPython" not in plan(f(spark, SF)) for f in (catalogue.overall_metrics, catalogue.evidence_wilson))
+
+
 def test_space_is_pythons(spark):
     odd = [chr(c) for c in range(1, 0x3100) if chr(c).isspace()]
     texts = ["".join(odd), *[f"a{c}b" for c in odd], *[f"a {c}b" for c in odd], *[f"a{c} b{c}" for c in odd], "a  b", " a b "]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(T.squeezed("t")).collect()]
     assert got == [" ".join(t.split()) for t in texts]
+
+
+def test_shares_count_whole_words(spark):
+    texts = ["the then the,the of", "los la que el", "", None, "è the éthe"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [(r["pred_label"], round(r["pred_score"], 4)) for r in predict.by_shares(rows, F.col("t"), A.MODEL_WORDS).orderBy("i").collect()]
+    assert got == [("en", 1.0), ("es", 0.6667), ("en", 0.0), ("en", 0.0), ("en", 1.0)]
