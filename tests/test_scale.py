@@ -65,3 +65,19 @@ def test_shares_count_whole_words(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     got = [(r["pred_label"], round(r["pred_score"], 4)) for r in predict.by_shares(rows, F.col("t"), A.MODEL_WORDS).orderBy("i").collect()]
     assert got == [("en", 1.0), ("es", 0.6667), ("en", 0.0), ("en", 0.0), ("en", 1.0)]
+
+
+def test_values_at_ranks_are_exact(spark):
+    keys = [random.Random(5).randrange(300) for _ in range(1_000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for parts in (2, 64):
+        assert catalogue.values_at(df, "k", [-1, 0, 99, 500, 999], parts) == [sorted(keys)[max(r, 0)] for r in (-1, 0, 99, 500, 999)]
+
+
+def test_a_batch_reads_its_range_of_the_table(spark, monkeypatch):
+    """Each batch's rows are told by the reader; rows written apart would be read whole for each."""
+    plans = []
+    monkeypatch.setattr(catalogue.sinks.Store, "save", lambda self, rows: plans.append(plan(rows)))
+    monkeypatch.setattr(catalogue.sinks.Store, "load", lambda self, spark: spark.createDataFrame([], "o_custkey long, o_orderstatus string, o_orderkey long, batch_seq long"))
+    catalogue.store_batches(spark, SF)
+    assert len(plans) == 10 and all("ExistingRDD" not in p and "LessThanOrEqual(o_orderkey" in p for p in plans)
