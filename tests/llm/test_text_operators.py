@@ -75,6 +75,19 @@ def test_collocations_of_awkward_tables(docs, empty):
     assert listed(phrases.collocations(empty)) == []
 
 
+def test_phrases_are_summed_in_parts_and_leave_nothing_behind(docs, monkeypatch):
+    """Small parts and blocks; of what is stored for each level the totals and the phrases stay alone."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices("red blue green old new house tree of the".split(), k=60)), r.choice(["en", "fr"])) for i in range(40)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    folders, real = [], phrases._folder
+    monkeypatch.setattr(phrases, "_folder", lambda x: folders.append(real(x)) or folders[-1])
+    assert listed(phrases.collocations(df, top=50, least=3, block_words=300, part_words=200)) == sorted(plain_collocations(rows, 3, 50))
+    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folders[0])
+    left = {x.getPath().getName() for x in path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).listStatus(path)}
+    assert left == {"totals", "phrases1", "phrases2", "phrases3", "phrases4"}
+
+
 def test_words_and_places():
     b, starts, ends, doc, place, keys = phrases.words(["en", "en", "fr"], ["Ab ab, AB".encode(), b"", b"ab"])
     assert [bytes(b[s:e]) for s, e in zip(starts, ends)] == [b"ab"] * 4 and doc.tolist() == [0, 0, 0, 2]
