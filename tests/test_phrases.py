@@ -96,3 +96,16 @@ def test_phrases_inside_phrases(spark):
     assert got == want and len({x[-1] for x in got}) == 2
     table = audit.phrases_of(spark.createDataFrame(left, "a string, b string"), "a", "b")
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, audit.phrase_table(spark, left).collect()))
+
+
+def test_few_phrases_of_one_literal_are_searched_for_one_by_one(monkeypatch):
+    """With the same spans as from the trie, which then holds the others alone."""
+    phrases = ["a", "ab", "aba", "a b", "가 b", "가a", "aa", "ba", "반도체", "b a b", "aa a"]
+    few = rules.Automaton(phrases)
+    assert len(few.trie) == 5 and sorted(few.few) == [0, 1, 2, 6, 7, 8]
+    monkeypatch.setattr(rules, "FEW", 0)
+    many, r = rules.Automaton(phrases), random.Random(4)
+    assert not many.few
+    for _ in range(2_000):
+        text = "".join(r.choices("aabb 가\t .반도체", k=r.randint(0, 25)))
+        assert few.spans(text) == many.spans(text)
