@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import pipeline, predict
+from newsloom.operators import pipeline, predict, rules
 from newsloom.operators.ruleset import FAILED, REVIEW
 from newsloom.plans import articles as A
+from newsloom.plans import catalogue
+from newsloom.sources import sinks
 
 AT = "2026-01-01T00:00:00+00:00"
 KIND = "ord long, keyword string, title string, source string, link string, published_at string, description string, content string"
@@ -76,3 +78,41 @@ def test_statistics_are_those_of_the_rows(stories):
     rows = got.rows.collect()
     assert got.statistics["rule_applied_count"] == sum(bool(r["decision"]["rule_applied"]) for r in rows) and got.statistics["collected_count"] == 8
     assert run(stories.where("ord < 0"), shares).status == "NO_RESULTS"
+
+
+def test_one_article_lost_and_one_doubled_is_no_result(stories):
+    got = run(stories, lambda df: shares(df).where("ord <> 3").unionByName(shares(df).where("ord = 1")))
+    assert (got.status, got.stage, got.cause, got.rows) == ("MODEL_ERROR", "CLASSIFICATION", "PREDICTION_COUNT_MISMATCH", None)
+
+
+@pytest.mark.parametrize("where", ["plan", "task"])
+def test_a_failure_that_is_no_models_is_raised(stories, monkeypatch, where):
+    def broken(df, rules_):
+        if where == "plan":
+            raise RuntimeError("no ranking today")
+        return real(df, rules_).withColumn("rule_margin", F.raise_error(F.lit("no ranking today")).cast("int"))
+
+    real = rules.rank_articles
+    monkeypatch.setattr(rules, "rank_articles", broken)
+    with pytest.raises(Exception, match="no ranking today"):
+        run(stories, shares)
+
+
+def test_partial_rows_are_not_the_result_of_full_run(spark, monkeypatch):
+    calls, real = [], predict.by_shares
+
+    def second_fails(df, *args):
+        calls.append(1)
+        return real(df, *args) if len(calls) == 1 else real(df, *args).limit(0)
+
+    monkeypatch.setattr(predict, "by_shares", second_fails)
+    with pytest.raises(Exception, match="MODEL_ERROR: RECLASSIFICATION PREDICTION_COUNT_MISMATCH"):
+        catalogue.full_run(spark, "/root/testdata/sf0.001").count()
+    assert len(calls) == 2
+
+
+def test_full_run_without_articles_has_no_rows(spark, stories, tmp_path):
+    for name in ("documents", "pages"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalogue.full_run(spark, str(tmp_path))
+    assert got.count() == 0 and got.dtypes == sinks.result_rows(run(stories, shares).rows).dtypes
